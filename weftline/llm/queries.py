@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import near_dup, quality_rules
+from weftline.llm import near_dup, quality_rules, sharding, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +21,62 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_dups(_table(spark, sf_dir, "documents"), width=2)
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_minhash_near_dedup)}
-SQL: dict[str, str] = {}
+def op7_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"), n=40)
+
+
+#: The rules of the query: host, path, verdict.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op8_url_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judged(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP8_SQL = r"""
+WITH rules(rh, rp, rv) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+rests AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, rest, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rests),
+keyed AS (SELECT row_number() OVER () AS k, coalesce(host, '') AS host, coalesce(path, '') AS path, page_id FROM parts),
+fits AS (
+  SELECT k, max_by(rh || rp, length(rh || rp)) AS rule, max_by(rv, length(rh || rp)) AS verdict
+  FROM keyed JOIN rules ON ('.' || host) LIKE ('%.' || rh) AND starts_with(path, rp) GROUP BY k)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM keyed LEFT JOIN fits USING (k)
+"""
+
+
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, _table(spark, sf_dir, "pages"))
+
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS s FROM p),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY s, n) AS top FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, s AS payload_digest,
+       CASE WHEN n >= 1000 AND top IS NOT NULL AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND top IS NOT NULL AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM t
+"""
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op4_quality_rules,
+        op5_minhash_near_dedup,
+        op7_balanced_label_propagation,
+        op8_url_range_join,
+        op10_warc_round_trip,
+    )
+}
+SQL: dict[str, str] = {"op8_url_range_join": OP8_SQL, "op10_warc_round_trip": OP10_SQL}
