@@ -81,9 +81,8 @@ def prefix_hash(b: np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
     return p
 
 
-def word_hashes(b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every lower-cased word in order, and for each document the offset of its first word (one more than documents)."""
-    b = LOWER[b]
+def _word_edges(b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words; a document's edge ends a word."""
     word = ~IS_SPACE[b]
     first = word.copy()
     first[1:] &= ~word[:-1]
@@ -93,8 +92,17 @@ def word_hashes(b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     last[:-1] &= ~word[1:]
     inner = edges[edges > 0] - 1
     last[inner] |= word[inner]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    p = prefix_hash(b)
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def word_starts(b: np.ndarray, o: np.ndarray) -> np.ndarray:
+    return _word_edges(b, o)[0]
+
+
+def word_hashes(b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every lower-cased word in order, and for each document the offset of its first word (one more than documents)."""
+    starts, ends = _word_edges(b, o)
+    p = prefix_hash(LOWER[b])
     h = mix((p[ends] - p[starts]) * powers(BASE_INV, len(b) + 1)[starts] + (ends - starts).astype(U64))
     return h, np.searchsorted(starts, o)
 

@@ -4,13 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import near_dup, quality_rules, sharding, url_filters, warc
+from weftline.llm import decontaminate, near_dup, quality_rules, sharding, substring_dedup, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+OP1_SQL = r"""
+WITH pieces AS (
+  SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\n', e'\n\x01', 'g'), '([.!?][ \t\x0B\x0C\r])', e'\\1\x01', 'g'), e'\x01') AS parts
+  FROM documents),
+numbered AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS k FROM pieces),
+placed AS (SELECT doc_id, part, k, coalesce(sum(strlen(part)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM numbered),
+normal AS (
+  SELECT doc_id, part, k, start, start + strlen(part) AS "end",
+         regexp_replace(regexp_replace(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\x0C\r]+', ' ', 'g'), '^ | $', '', 'g') AS norm
+  FROM placed),
+ranked AS (
+  SELECT *, norm <> '' AND len(string_split(norm, ' ')) >= 8 AS big,
+         row_number() OVER (PARTITION BY norm ORDER BY doc_id, start) > 1 AS later
+  FROM normal)
+SELECT doc_id, sum(strlen(part))::BIGINT AS n_bytes, coalesce(sum(strlen(part)) FILTER (big AND later), 0)::BIGINT AS n_removed,
+       count(*) FILTER (big AND later) AS n_spans,
+       coalesce(string_agg(start || '-' || "end" || ',', '' ORDER BY k) FILTER (big AND later), '') AS spans,
+       sha256(coalesce(string_agg(part, '' ORDER BY k) FILTER (NOT (big AND later)), '')) AS kept_sha256
+FROM ranked GROUP BY doc_id
+"""
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
@@ -54,6 +80,10 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM key
 """
 
 
+def op9_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, _table(spark, sf_dir, "pages"))
 
@@ -72,11 +102,13 @@ FROM t
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_line_dedup,
         op4_quality_rules,
         op5_minhash_near_dedup,
         op7_balanced_label_propagation,
         op8_url_range_join,
+        op9_greedy_tiling,
         op10_warc_round_trip,
     )
 }
-SQL: dict[str, str] = {"op8_url_range_join": OP8_SQL, "op10_warc_round_trip": OP10_SQL}
+SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op8_url_range_join": OP8_SQL, "op10_warc_round_trip": OP10_SQL}
