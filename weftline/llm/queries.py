@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, near_dup, quality_rules, sharding, substring_dedup, url_filters, warc
+from weftline.llm import decontaminate, near_dup, quality_rules, run_length_index, sharding, substring_dedup, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ FROM ranked GROUP BY doc_id
 """
 
 
+def op3_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_length_index.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
@@ -103,6 +107,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup,
+        op3_run_length_index,
         op4_quality_rules,
         op5_minhash_near_dedup,
         op7_balanced_label_propagation,
