@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, near_dup, quality_rules, run_length_index, sharding, substring_dedup, url_filters, warc
+from weftline.llm import decontaminate, near_dup, packing, quality_rules, run_length_index, sharding, substring_dedup, url_filters, warc, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ FROM ranked GROUP BY doc_id
 """
 
 
+def op2_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), capacity=packing.Capacity(tokens=1024))
+
+
 def op3_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_length_index.dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -51,6 +55,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_dups(_table(spark, sf_dir, "documents"), width=2)
 
 
+def op6_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op7_balanced_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), n=40)
 
@@ -107,9 +115,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup,
+        op2_vector_best_fit,
         op3_run_length_index,
         op4_quality_rules,
         op5_minhash_near_dedup,
+        op6_wavelet_matrix,
         op7_balanced_label_propagation,
         op8_url_range_join,
         op9_greedy_tiling,

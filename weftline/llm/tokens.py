@@ -15,6 +15,7 @@ their own; no text is cut short.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -45,7 +46,7 @@ class WordCache:
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         n = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((x for f in found for x in f), np.uint16, int(n.sum())), n
+        return np.fromiter(chain.from_iterable(found), np.uint16, int(n.sum())), n
 
     def _pieces(self, words: list[str]) -> np.ndarray:
         """Places of the words in the cache, which takes up those it lacks."""
