@@ -97,7 +97,9 @@ class Items:
             doc = np.searchsorted(at, i, "right") - 1
             order = np.lexsort((item, doc))
             doc, item, i, j = doc[order], item[order], i[order], j[order]
-            cuts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])) if len(doc) else []
+            if not len(doc):
+                continue
+            cuts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]))
             for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True):
                 d, q, need = int(doc[a]), int(item[a]), least * self.words[item[a]] - 1e-9
                 if len(np.unique((j[a:b, None] + np.arange(w)).ravel())) >= need:

@@ -140,7 +140,9 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, capacity: Capacity |
             n, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
             sequence, offset = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
             order = np.argsort(n, kind="stable")
-            cuts = np.flatnonzero(np.concatenate([[True], n[order][1:] != n[order][:-1]])) if len(n) else []
+            if not len(n):
+                continue
+            cuts = np.flatnonzero(np.concatenate([[True], n[order][1:] != n[order][:-1]]))
             for a, b in zip(cuts, [*cuts[1:], len(n)], strict=True):
                 rows = order[a:b]
                 length = int(n[rows[0]])
