@@ -149,3 +149,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, width: int = 5, least: float
         part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, width: int = 5, least: float = 0.8, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of `docs` that `leaks` would not report, with all their columns; each is judged where it is read, without a shuffle."""
+    at = docs.columns.index("text")
+    for block in blocks(benchmark, width, block_words):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[f[0] for f in shared.value.covered(*word_hashes(*flat(part.column(at))), least)]] = False
+                    yield part.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -2,13 +2,16 @@
 
 A document's set holds its distinct shingles; the sketch keeps the k smallest hashes (the whole set if that is smaller).
 Two sets of Jaccard similarity s share about s*k values of the union's k smallest, and all of those are in both sketches.
-So a required overlap T is fixed six standard deviations below threshold*k (exact for sets that fit a sketch), and a
-pair with that overlap must meet in the inverted list of one of the (size - T + 1) rarest retained values of either side.
-Rarity is read from a fixed-size counter table over all retained values; any counts give right results, good ones give short lists.
-
-Within an inverted list the members are compared with a pivot, not with each other; where a list still spans several
-components after the pivot rounds, all its pairs between different components are compared. Union sketches filter
-the candidates, and full sets confirm every link. Copies (equal sets) are one class from the start.
+So a required overlap T is fixed five standard deviations below threshold*k (exact for sets of at most threshold*k), and
+a pair with that overlap meets in the inverted list of one of the (size - T + 1) rarest retained values of either side.
+At the rarest value that they share, what follows it in either sketch bounds the overlap; pairs are generated only where
+that bound still reaches what they need. Rarity is read from a fixed-size counter table over all retained values; any
+counts give right results, good ones short lists.
+
+Within an inverted list the members are first compared with one pivot, the member with the fewest rarer values, which is
+the original of a family of edited copies if it is there. Where a list still spans several components, the remaining
+pairs between different components are compared. Union sketches filter the candidates, and full sets confirm every link.
+Copies (equal sets) are one class from the start.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,12 +30,15 @@ from weftline.llm.common import components, scratch
 from weftline.llm.kernels import flat, list_array, ragged, shingle_sets, slices
 
 COUNTERS = 1 << 18
+MARKS = 1 << 22
+_PLACE = 1 << 20
 
 
-def _sets(text: str, width: int):
+def _sets(width: int):
     def each(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-        for part in slices(batch, text):
-            b, o = flat(part.column(part.schema.get_field_index(text)))
+        at = batch.schema.get_field_index("text")
+        for part in slices(batch, "text"):
+            b, o = flat(part.column(at))
             yield part, list(shingle_sets(b, o, width))
 
     return each
@@ -42,102 +48,109 @@ def _ids(sets: list[np.ndarray]) -> pa.Array:
     return pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
 
 
-def _sketch(df: DataFrame, width: int, k: int) -> DataFrame:
-    """doc_id, n, cid (class of equal sets; null for an empty set), sketch."""
-    sets = _sets("text", width)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, found in sets(batch):
-                kept = [s[:k].view(np.int64) for s in found]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in found], pa.int64()), _ids(found), list_array(ragged([len(s) for s in kept]), pa.array(np.concatenate(kept or [np.zeros(0, np.int64)])))],
-                    names=["doc_id", "n", "cid", "sketch"],
-                )
-
-    return df.mapInArrow(run, "doc_id long, n long, cid binary, sketch array<long>")
-
-
-def _counters(sketches: DataFrame) -> np.ndarray:
+def _counters(docs: DataFrame, width: int, k: int) -> np.ndarray:
     """How many sketches hold a value of each residue: COUNTERS numbers, whatever the corpus."""
+    sets = _sets(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            v = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-            total += np.bincount(v % COUNTERS, minlength=COUNTERS)
+            for _, found in sets(batch):
+                v = np.concatenate([s[:k] for s in found])
+                total += np.bincount((v % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "c"])
 
-    got = sketches.select("sketch").mapInArrow(run, "at int, c long").groupBy("at").agg(F.sum("c").alias("c")).toArrow()
+    got = docs.select("text").mapInArrow(run, "at int, c long").groupBy("at").agg(F.sum("c").alias("c")).toArrow()
     out = np.zeros(COUNTERS, np.int64)
     out[got["at"].to_numpy()] = got["c"].to_numpy()
     return out
 
 
+def least_overlap(k: int, threshold: float) -> int:
+    """Overlap that sketches of k values have at that similarity, five deviations down."""
+    return max(1, math.floor(threshold * k - 5 * math.sqrt(k * threshold * (1 - threshold))))
+
+
 def required(n: np.ndarray, k: int, threshold: float) -> np.ndarray:
     """Overlap that the sketches of a similar pair have, given the size of either set."""
-    deviation = math.sqrt(k * threshold * (1 - threshold))
-    return np.where(n * 1.0 <= threshold * k, np.ceil(threshold * n - 1e-9), max(1, math.floor(threshold * k - 6 * deviation))).astype(np.int64)
+    return np.where(n <= threshold * k, np.ceil(threshold * n - 1e-9), least_overlap(k, threshold)).astype(np.int64)
 
 
-def _postings(sketches: DataFrame, k: int, threshold: float, counters: np.ndarray) -> DataFrame:
-    """value, cid, n: the rarest retained values of every non-empty set."""
-    shared = sketches.sparkSession.sparkContext.broadcast(counters.astype(np.int32))
+def _base(docs: DataFrame, width: int, k: int, threshold: float, counters: np.ndarray) -> DataFrame:
+    """doc_id, n, cid (class of equal sets; null for an empty one), prefix (rarest retained values, rarest first), bits (the set's hashes, 16 bits each, ascending)."""
+    shared = docs.sparkSession.sparkContext.broadcast(counters.astype(np.int32))
+    sets = _sets(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = shared.value
         for batch in batches:
-            n = batch.column(1).to_numpy()
-            lists = batch.column(2)
-            v, size = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
-            row = np.repeat(np.arange(len(n)), size)
-            order = np.lexsort((v, count[v % COUNTERS], row))
-            place = np.arange(len(v)) - np.repeat(ragged(size)[:-1], size)
-            take = order[place < np.repeat(size - required(n, k, threshold) + 1, size)]
-            yield pa.RecordBatch.from_arrays([pa.array(v[take]), batch.column(0).take(pa.array(row[take])), pa.array(n[row[take]])], names=["value", "cid", "n"])
-
-    return sketches.where("cid IS NOT NULL").select("cid", "n", "sketch").mapInArrow(run, "value long, cid binary, n long")
-
-
-def _estimated(pairs: DataFrame, sketches: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Pairs whose union sketch puts the similarity within six deviations of the threshold or above; sketches: cid, sketch."""
-    a = sketches.select(F.col("cid").alias("a"), F.col("sketch").alias("sa"))
-    b = sketches.select(F.col("cid").alias("b"), F.col("sketch").alias("sb"))
+            for part, found in sets(batch):
+                n = np.array([len(s) for s in found], np.int64)
+                size = np.minimum(n, k)
+                v = np.concatenate([s[:k] for s in found])
+                row = np.repeat(np.arange(len(n)), size)
+                order = np.lexsort((v, count[(v % np.uint64(COUNTERS)).astype(np.int64)], row))
+                place = np.arange(len(v)) - np.repeat(ragged(size)[:-1], size)
+                many = np.where(n > 0, size - required(n, k, threshold) + 1, 0)
+                take = order[place < np.repeat(many, size)]
+                bits = [(s >> np.uint64(48)).astype("<u2").tobytes() for s in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), _ids(found), list_array(ragged(many), pa.array(v[take].view(np.int64))), pa.array(bits, pa.binary())], names=["doc_id", "n", "cid", "prefix", "bits"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, cid binary, prefix array<long>, bits binary")
+
+
+def estimate(x: np.ndarray, y: np.ndarray, k: int) -> tuple[float, int]:
+    """Similarity by the union's k smallest values, of ascending arrays, and how many values that rests on."""
+    z = np.sort(np.concatenate([x[:k], y[:k]]))
+    twice = np.zeros(len(z), bool)
+    twice[1:] = z[1:] == z[:-1]
+    union = z[~twice]
+    size = min(k, len(union))
+    return float((z[twice] <= union[size - 1]).sum()) / size, size
+
+
+def _likely(pairs: DataFrame, bits: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs that pass the union sketch (five deviations of slack), then the similarity of the 16-bit sets, which is never below the true one."""
+    threshold = percent / 100
+    a = bits.select(F.col("cid").alias("a"), F.col("bits").alias("ba"))
+    b = bits.select(F.col("cid").alias("b"), F.col("bits").alias("bb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            la, lb = batch.column(2), batch.column(3)
-            va, oa = la.flatten().to_numpy(zero_copy_only=False).view(np.uint64), la.offsets.to_numpy()
-            vb, ob = lb.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lb.offsets.to_numpy()
-            oa, ob = oa - oa[0], ob - ob[0]
-            for i in range(batch.num_rows):
-                x, y = va[oa[i] : oa[i + 1]], vb[ob[i] : ob[i + 1]]
-                z = np.sort(np.concatenate([x, y]))
-                same = z[1:][z[1:] == z[:-1]]
-                if len(x) < k and len(y) < k:
-                    size, slack = len(z) - len(same), 0.0
-                else:  # the k smallest of the union
-                    size = min(k, len(z) - len(same))
-                    u = np.unique(z)[size - 1]
-                    same = same[same <= u]
-                    slack = 6 * math.sqrt(threshold * (1 - threshold) / size)
-                keep.append(len(same) >= (threshold - slack) * size - 1e-9)
+            for p, q in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(p.as_buffer(), "<u2"), np.frombuffer(q.as_buffer(), "<u2")
+                guess, size = estimate(x, y, k)
+                if guess < threshold - 5 * math.sqrt(threshold * (1 - threshold) / size) - 4 / size:
+                    keep.append(False)
+                    continue
+                u, cu = np.unique(x, return_counts=True)
+                v, cv = np.unique(y, return_counts=True)
+                _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+                same = int(np.minimum(cu[i], cv[j]).sum())
+                keep.append(100 * same >= percent * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "ba", "bb").mapInArrow(run, "a binary, b binary")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union of the full sets; reps: cid, rep (a doc_id of that class)."""
-    need = reps.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi").select("rep").distinct()
-    texts = docs.select("doc_id", "text").join(need, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = _sets("text", width)
+    """Pairs with 100 * intersection >= percent * union of the full sets; reps: cid, rep (a doc_id of that class).
+
+    Sets are made again where the texts are read, for the documents that a bit table of MARKS bits does not rule out.
+    """
+    need = reps.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi")
+    mark = F.pmod(F.xxhash64("rep"), F.lit(MARKS)).cast("int")
+    table = np.zeros(MARKS, bool)
+    table[need.select(mark.alias("m")).distinct().toArrow()["m"].to_numpy()] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
+    sets = _sets(width)
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.unpackbits(shared.value).view(bool)
         for batch in batches:
-            for _, found in sets(batch):
+            for _, found in sets(batch.filter(pa.array(marked[batch.column(0).to_numpy()]))):
                 yield pa.RecordBatch.from_arrays([_ids(found), pa.array([s.tobytes() for s in found], pa.binary())], names=["cid", "full"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,13 +162,29 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, p
                 keep.append(100 * same >= percent * (len(z) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    whole = scratch(texts.mapInArrow(full, "cid binary, full binary").dropDuplicates(["cid"]), "sets")
+    again = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)).cast("int").alias("m"), "text").mapInArrow(full, "cid binary, full binary")
+    whole = scratch(again.join(need.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
     x = whole.select(F.col("cid").alias("a"), F.col("full").alias("fa"))
     y = whole.select(F.col("cid").alias("b"), F.col("full").alias("fb"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "fa", "fb").mapInArrow(run, "a binary, b binary")
 
 
-def near_dups(docs: DataFrame, *, width: int = 5, percent: int = 80, k: int = 64, pivot_rounds: int = 2) -> DataFrame:
+def _may_link(k: int, percent: int) -> Column:
+    """Whether two postings (n, p of one, m, q of the other) of one value may be the rarest shared one of a link."""
+    exact = F.floor(F.lit(percent * k / 100)).cast("long")
+    t = least_overlap(k, percent / 100)
+
+    def need(n: Column) -> Column:
+        return F.when(n <= exact, F.ceil((n * percent) / 100)).otherwise(F.lit(t)).cast("long")
+
+    n, m, p, q = F.col("n"), F.col("m"), F.col("p"), F.col("q")
+    both = F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
+    wanted = F.when((n <= exact) & (m <= exact), both).otherwise(F.greatest(need(n), need(m)))
+    room = F.least(F.least(n, F.lit(k)) - p, F.least(m, F.lit(k)) - q)
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (room >= wanted)
+
+
+def near_dups(docs: DataFrame, *, width: int = 5, percent: int = 80, k: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row for each row of `docs` (columns doc_id and text; others are ignored).
 
     Links hold where 100 * intersection >= percent * union; component_id is the smallest doc_id reachable over links.
@@ -163,38 +192,38 @@ def near_dups(docs: DataFrame, *, width: int = 5, percent: int = 80, k: int = 64
     `width` words is one shingle. Repeated rows are copies of each other. Rows with a null doc_id take part; where a
     component has no other doc_id, its id is null. An empty table gives an empty result.
     """
-    threshold = percent / 100
     docs = docs.select("doc_id", "text")
-    base = scratch(_sketch(docs, width, k), "sketch")
-    reps = base.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep"))
-    post = _postings(base, k, threshold, _counters(base))
-    lists = post.groupBy("value").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo <> hi").select("value")
-    post = scratch(post.join(lists, "value", "left_semi").distinct(), "postings")
-    members = post.select("cid").distinct()
-    sketches = scratch(base.join(members, "cid", "left_semi").select("cid", "sketch").dropDuplicates(["cid"]), "sketches")
     spark = docs.sparkSession
+    base = scratch(_base(docs, width, k, percent / 100, _counters(docs, width, k)), "sketches")
+    reps = base.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep"))
+    post = base.where("cid IS NOT NULL").select("cid", "n", F.posexplode("prefix").alias("p", "value")).select("value", "cid", (F.col("n") * _PLACE + F.col("p")).alias("np"))
+    short = post.select("value", F.xxhash64("cid").alias("h"))
+    lists = short.groupBy("value").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("value")
+    post = scratch(post.join(lists, "value", "left_semi").distinct(), "postings").select("value", "cid", F.expr(f"np div {_PLACE}").alias("n"), (F.col("np") % _PLACE).alias("p"))
+    bits = base.where("cid IS NOT NULL").join(post.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.min("bits").alias("bits"))
+    bits = scratch(bits, "bits")
     edges = spark.createDataFrame([], T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())]))
     comps = None
-    alike = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-    for turn in range(pivot_rounds + 1):
-        open_ = post.withColumn("comp", F.col("cid")) if comps is None else post.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        if comps is not None:
+    for pivots in (True, False):
+        if comps is None:
+            open_ = post.withColumn("comp", F.col("cid"))
+        else:
+            open_ = post.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
             mixed = open_.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value")
             open_ = scratch(open_.join(mixed, "value", "left_semi"), "open")
-            if open_.isEmpty():
-                break
-        if turn < pivot_rounds:
-            first = F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), F.col("cid").alias("a"), F.col("n").alias("m"), F.col("comp").alias("ca")))
-            other = open_.groupBy("value").agg(first.alias("p")).select("value", "p.a", "p.m", "p.ca")
-            pairs = open_.join(other, "value").where((F.col("ca") != F.col("comp")) & alike).select("a", F.col("cid").alias("b"))
+        if pivots:
+            central = F.min(F.struct((F.col("p") / F.least("n", F.lit(k))).alias("r"), F.xxhash64("cid").alias("h"), F.col("cid").alias("a"), F.col("n").alias("m"), F.col("p").alias("q")))
+            other = scratch(open_.groupBy("value").agg(central.alias("c")).select("value", "c.a", "c.m", "c.q"), "pivots")
+            pairs = open_.join(other, "value").where((F.col("a") != F.col("cid")) & _may_link(k, percent))
         else:
-            other = open_.select("value", F.col("cid").alias("a"), F.col("n").alias("m"), F.col("comp").alias("ca"))
-            pairs = open_.join(other, "value").where((F.col("ca") < F.col("comp")) & alike).select("a", F.col("cid").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        likely = scratch(_estimated(pairs, sketches, k, threshold), "likely")
+            other = open_.select("value", F.col("cid").alias("a"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("comp").alias("ca"))
+            pairs = open_.join(other, (open_.value == other.value) & (F.col("ca") < F.col("comp")) & _may_link(k, percent))
+        pairs = pairs.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct()
+        likely = scratch(_likely(pairs, bits, k, percent), "likely")
         found = scratch(_confirmed(likely, docs, reps, width, percent), "links")
         edges = edges.union(found)
-        comps = scratch(components(edges), "components")
+        if comps is None or not found.isEmpty():
+            comps = components(edges)
     named = reps.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_class = named.join(ids, "comp").select("cid", "component_id")

@@ -60,8 +60,8 @@ def _repeat_words(words: Column) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), of_hashes)
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts of its whole text; null texts count as having no words. One row for each row."""
+def statistics(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id, the columns in `also` and the counts of its whole text; null texts count as having no words. One row for each row."""
     t = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SEPARATORS, "")) > 0)
@@ -70,6 +70,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     upper = F.length(t) - F.length(F.regexp_replace(t, "[A-Z]", ""))
     return docs.select(
         "doc_id",
+        *also,
         counted.alias("w"),
         lined.alias("l"),
         F.length(F.translate(t, SEPARATORS, "")).cast("long").alias("word_chars"),
@@ -77,7 +78,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         upper.cast("long").alias("n_upper"),
         _without(t, "0123456789").cast("long").alias("n_digits"),
         _without(t, "!").cast("long").alias("n_exclaim"),
-    ).select("doc_id", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_upper", "n_digits", "n_exclaim")
+    ).select("doc_id", *also, "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_upper", "n_digits", "n_exclaim")
 
 
 def base_failed() -> Column:
@@ -197,3 +198,12 @@ def judged(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     rules = learn(stats, labels, **how)
     out = stats.withColumn("base_failed", base_failed()).withColumn("rule", rules.rule_number())
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+def passing(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """The rows of `docs` that pass the base rules and the learned list, with all their columns; see `judged`."""
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    held = docs.select(F.col("doc_id"), F.col("text"), F.struct(*[F.col(c).alias(n) for c, n in zip(docs.columns, own, strict=True)]).alias("__row"))
+    stats = scratch(statistics(held, "__row"), "quality")
+    rules = learn(stats, labels, **how)
+    return stats.where(~base_failed() & rules.rule_number().isNull()).select(*[F.col(f"__row.{n}").alias(c) for c, n in zip(docs.columns, own, strict=True)])

@@ -99,3 +99,27 @@ def dedup(docs: DataFrame, *, min_words: int = 8) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_text", "kept_sha256"])
 
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans string, kept_text string, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, *, min_words: int = 8) -> DataFrame:
+    """The rows of `docs` with the repeated units cut out of text, and n_chars (if there is one) set to its new length.
+
+    Texts of which only white space is left are dropped, null texts too. Other columns stay as they are.
+    """
+    marks = repeats(docs, min_words).select(F.col("doc_id").alias("__d"), F.col("spans").alias("__spans"))
+    joined = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("__d")), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__spans")
+    names = docs.columns
+    text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                b, o = flat(part.column(text))
+                kept = [cut(b[o[i] : o[i + 1]].tobytes(), [(s["start"], s["end"]) for s in found or []]).decode() for i, found in enumerate(part.column(len(names)).to_pylist())]
+                columns = part.columns[: len(names)]
+                columns[text] = pa.array(kept, pa.string())
+                if chars is not None:
+                    columns[chars] = pa.array(map(len, kept), columns[chars].type)
+                yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array([bool(k.strip(" \t\n\x0b\f\r")) for k in kept], pa.bool_()))
+
+    return joined.mapInArrow(run, docs.schema)
