@@ -184,7 +184,7 @@ def _may_link(k: int, percent: int) -> Column:
     return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (room >= wanted)
 
 
-def near_dups(docs: DataFrame, *, width: int = 5, percent: int = 80, k: int = 256) -> DataFrame:
+def near_dups(docs: DataFrame, *, width: int = 5, percent: int = 80, k: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row for each row of `docs` (columns doc_id and text; others are ignored).
 
     Links hold where 100 * intersection >= percent * union; component_id is the smallest doc_id reachable over links.
