@@ -1 +1 @@
-
+"""Rule programs and SQL text to DataFrames."""

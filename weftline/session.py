@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -17,3 +20,39 @@ def ship(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     return spark
+
+
+_made: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _clean() -> None:
+    for path, spark in _made.items():
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone by now
+            return
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only where that is unset."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.weftline.scratch", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="weftline-")
+        spark.conf.set("spark.weftline.scratch", found)
+    return found.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/weftline/{label}-{uuid.uuid4().hex[:12]}"
+    _made[path] = spark
+    return path
+
+
+def scratch(df: DataFrame, label: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs only its own tasks."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
