@@ -1 +1 @@
-
+"""Weight algebras, time vectors, histograms."""

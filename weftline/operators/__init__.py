@@ -1 +1 @@
-
+"""Operators on DataFrames: weighted relations, joins, graphs, sequences."""
