@@ -1 +1 @@
-
+"""Change logs, snapshots, catalog, program files."""
