@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-MAX_BYTES = 2_000_000
+MAX_BYTES = 1_000_000
 U64 = np.uint64
 
 _rng = np.random.default_rng(20240229)
@@ -39,7 +39,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
         have = np.full(max(n, 1 << 16), base, U64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if n <= 4 * MAX_BYTES:
+        if n <= 2 * MAX_BYTES:
             _powers[int(base)] = have
     return have[:n]
 

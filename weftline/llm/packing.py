@@ -97,7 +97,7 @@ def pieces(docs: DataFrame, tokenizer: str, tokens: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch, "text", 8_000_000):
+            for part in slices(batch, "text", 4_000_000):
                 ids, at = with_end(*encode(part.column(1)))
                 data = memoryview(ids.astype("<u4")).cast("B")
                 n = np.diff(at)

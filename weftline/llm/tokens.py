@@ -26,7 +26,8 @@ from tokenizers import Tokenizer
 from weftline.llm.kernels import ragged, ranges
 
 END = 2
-CACHE = 200_000
+CACHE = 150_000
+PART_TEXTS, PART_CHARS = 4096, 200_000
 #: Anything but single spaces and line feeds between other characters; \s of the pre-tokenizers is Unicode white space.
 ODD = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$"
 
@@ -44,9 +45,19 @@ class WordCache:
         self.at = np.zeros(1, np.int64)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.uint16, int(n.sum())), n
+        """Ids of texts, some at a time: the library's encodings take far more memory than their ids."""
+        ids, n = [np.zeros(0, np.uint16)], np.zeros(len(texts), np.int64)
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and to - at < PART_TEXTS and (to == at or size + len(texts[to]) <= PART_CHARS):
+                size += len(texts[to])
+                to += 1
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[at:to], add_special_tokens=False)]
+            n[at:to] = list(map(len, found))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint16, int(n[at:to].sum())))
+            at = to
+        return np.concatenate(ids), n
 
     def _pieces(self, words: list[str]) -> np.ndarray:
         """Places of the words in the cache, which takes up those it lacks."""

@@ -185,7 +185,7 @@ def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, shard_tok
             held, size = [], 0
 
         for batch in batches:
-            for part in slices(batch, "text", 8_000_000):
+            for part in slices(batch, "text", 4_000_000):
                 task = part.column(2)[0].as_py()
                 ids, at = with_end(*encode(part.column(1)))
                 held.append((ids.astype(np.uint16), at, part.column(0).cast(pa.int64())))
