@@ -187,6 +187,9 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     kinds = []
     for i in range(len(parts[0].columns)):
         found = "any"
+        if len({p.dtypes[i][1] for p in parts}) == 1 and parts[0].dtypes[i][1] != "void":
+            kinds.append(parts[0].dtypes[i][1])
+            continue
         for p in parts:
             have = p.dtypes[i][1]
             have = {"int": "bigint", "smallint": "bigint", "void": "any", "float": "double"}.get(have, have)
