@@ -27,7 +27,7 @@ def test_semiring_laws(name):
 
 def test_semirings_on_columns_agree_with_values(spark):
     for name, ring in SEMIRINGS.items():
-        pairs = [(a, b) for a in SAMPLES[name] for b in SAMPLES[name] if not (name == "counting" and False)]
+        pairs = [(a, b) for a in SAMPLES[name] for b in SAMPLES[name]]
         df = spark.createDataFrame(pairs, f"a {ring.type}, b {ring.type}")
         got = df.select("a", "b", ring.times_col(F.col("a"), F.col("b")).alias("t")).collect()
         assert all(r["t"] == pytest.approx(ring.times(r["a"], r["b"])) for r in got)
