@@ -175,11 +175,11 @@ def suffixes_deduped(rows: list[tuple], least: int) -> dict:
     return out
 
 
-@pytest.mark.parametrize("block", [run_length_index.BLOCK, 3000, 10])
-def test_run_length_index_dedup(docs, empty, block):
+@pytest.mark.parametrize(("block", "most"), [(run_length_index.BLOCK, run_length_index.MOST), (3000, 2500), (10, 10)])
+def test_run_length_index_dedup(docs, empty, block, most):
     """Large blocks, several blocks, and every fingerprint counted string by string."""
     want = suffixes_deduped([(r["doc_id"], r["text"]) for r in docs.collect()], 60)
-    got = by_id(run_length_index.dedup(docs, least=60, gram=16, block=block))
+    got = by_id(run_length_index.dedup(docs, least=60, gram=16, block=block, most=most))
     assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == want
     assert sum(w[1] for w in want.values()) > 1000
     if block == 10:

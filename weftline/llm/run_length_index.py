@@ -8,7 +8,7 @@ segments. Equal segments are aggregated first (their strings are repeated by tha
 The different segments of the other fingerprints are indexed in blocks of bounded size: suffixes are sorted, the
 Burrows-Wheeler transform is kept as runs, and text places are sampled at the run ends. Longest matches inside a run
 follow from those at its ends, so streaming over the text from the sampled ends yields the matching statistics of every
-place, and places of `least` or more are marked. A fingerprint with more than BLOCK bytes of different segments is not
+place, and places of `least` or more are marked. A fingerprint with more than MOST bytes of different segments is not
 indexed: its strings are counted one by one by digest, which splits any such group.
 """
 
@@ -27,6 +27,8 @@ from weftline.llm.kernels import BASE_INV, U64, flat, mix, powers, prefix_hash,
 
 LEAST, GRAM = 400, 64
 BLOCK = 1 << 20
+#: The different segments of one fingerprint that an index takes, in bytes and end marks; an index ends at 2**21.
+MOST = 1_900_000
 _IX = 21
 _POS = 28
 
@@ -250,7 +252,7 @@ def _counted(segments: DataFrame, least: int) -> DataFrame:
     return rows.join(many, "s", "left_semi").select("f", "g", "lo", (F.col("lo") + 1).alias("hi"))
 
 
-def dedup(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+def dedup(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, block: int = BLOCK, most: int = MOST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans ("start-end," in bytes), kept_sha256, kept: one row for each row of `docs` (doc_id, text).
 
     kept holds the remaining bytes, which may end inside a character. Each byte covered by a string of `least` bytes that
@@ -263,8 +265,8 @@ def dedup(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, block: int =
     alike = rows.groupBy("f", "g", "meta").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start")).alias("at"))
     dealt = alike.repartition(4 * partitions(docs.sparkSession), "f")
     size = (F.shiftright("meta", 32) + least).cast("long")
-    by_f = dealt.groupBy(F.col("f").alias("ff")).agg(F.sum("c").alias("total"), F.count("*").alias("kinds"), F.sum(size).alias("size")).where("total > 1")
-    shared = scratch(dealt.join(by_f, F.col("f") == F.col("ff")).select("f", "g", "meta", "c", "at", "kinds", (F.col("size") > block).alias("hot")), "shared")
+    by_f = dealt.groupBy(F.col("f").alias("ff")).agg(F.sum("c").alias("total"), F.count("*").alias("kinds"), F.sum(size + 1).alias("size")).where("total > 1")
+    shared = scratch(dealt.join(by_f, F.col("f") == F.col("ff")).select("f", "g", "meta", "c", "at", "kinds", (F.col("size") > most).alias("hot")), "shared")
     wanted = shared.where("kinds > 1").select("f", "g", "meta", "hot", F.col("at.doc_id").alias("doc_id"), F.col("at.start").alias("start"))
     data = scratch(_bytes(docs, wanted, least).dropDuplicates(["f", "g"]), "bytes")
     marks = _indexed(data.where("NOT hot"), least, block).unionByName(_counted(data.where("hot"), least))
