@@ -1,58 +1,16 @@
-"""Spark plumbing shared by the text operators: scratch tables, gapless ranks, connected components."""
+"""Spark plumbing shared by the text operators: gapless ranks, connected components, scratch tables."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_made: dict[str, SparkSession] = {}
+from weftline.session import scratch, scratch_path
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.weftline.scratch", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.conf.set("spark.weftline.scratch", found)
-    return found.rstrip("/")
-
-
-@atexit.register
-def _clean() -> None:
-    for path, spark in _made.items():
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the JVM may be gone by now
-            return
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/weftline/{label}-{uuid.uuid4().hex[:12]}"
-    _made[path] = spark
-    return path
-
-
-def drop_scratch(spark: SparkSession, *paths: str) -> None:
-    """Removes scratch tables that no later step reads."""
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        _made.pop(path, None)
-
-
-def scratch(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs only its own tasks."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["components", "let", "partitions", "rank_within", "scratch", "scratch_path"]
 
 
 def partitions(spark: SparkSession) -> int:
