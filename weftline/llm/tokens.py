@@ -26,7 +26,7 @@ from tokenizers import Tokenizer
 from weftline.llm.kernels import ragged, ranges
 
 END = 2
-CACHE = 150_000
+CACHE = 600_000
 PART_TEXTS, PART_CHARS = 4096, 200_000
 #: Anything but single spaces and line feeds between other characters; \s of the pre-tokenizers is Unicode white space.
 ODD = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$"
