@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from weftline.plans import rewrite, sql
+from weftline.plans import local, rewrite, sql
 from weftline.plans.analysis import TypeConflict, UnsafeRule, Unstratifiable, check_safety, infer_types, strata, stratify
 from weftline.plans.engine import Engine
 from weftline.plans.ir import Compare, Const, Positive, Sym
@@ -14,6 +14,13 @@ from weftline.streaming.incremental import Maintained
 TC = "path(X, Y) :- edge(X, Y). path(X, Z) :- edge(X, Y), path(Y, Z)."
 
 
+@pytest.fixture(params=["driver", "spark"])
+def where(request, monkeypatch):
+    """Small recursive components are worked out on the driver; the second form sends them to Spark's loop."""
+    if request.param == "spark":
+        monkeypatch.setattr(local, "INPUT_ROWS", 0)
+
+
 def rows(df):
     return sorted(map(tuple, df.collect()))
 
@@ -72,6 +79,26 @@ def test_rewrites():
     assert [x.atom.pred for x in r.body if isinstance(x, Positive)] == ["a", "b", "c"]
 
 
+RECURSIVE = [
+    ("even(0). s(0, 1). s(1, 2). even(Y) :- odd(X), s(X, Y). odd(Y) :- even(X), s(X, Y).", "even", [(0,), (2,)]),
+    ("p(0). e(0, 1). e(1, 2). e(2, 0). p(Y) :- p(X), e(X, Y).", "p", [(0,), (1,), (2,)]),
+    ("n(0). m(3). p(X) :- n(X). p(X + 1) :- p(X), m(M), X < M, not n(9).", "p", [(0,), (1,), (2,), (3,)]),
+    ("e(1, 1.5). p(X) :- e(X, _). p(Y) :- p(X), e(X, Y).", "p", [(1.0,), (1.5,)]),
+    ("e(1, 2). e(2, 1). e(2, 2). p(X) :- e(X, X). p(X) :- e(X, Y), p(Y), X != Y.", "p", [(1,), (2,)]),
+]
+
+
+@pytest.mark.parametrize(("text", "pred", "want"), RECURSIVE)
+def test_recursion(spark, where, text, pred, want):
+    assert rows(Engine(spark, text).query(pred)) == want
+
+
+def test_driver_attempt_that_outgrows_its_bound_goes_to_spark(spark, monkeypatch):
+    monkeypatch.setattr(local, "OUTPUT_ROWS", 3)
+    monkeypatch.setattr(local.solve, "__defaults__", (3,))
+    assert len(rows(Engine(spark, "edge(1, 2). edge(2, 3). edge(3, 4). " + TC).query("path"))) == 6
+
+
 @pytest.mark.parametrize(
     ("text", "pred", "want"),
     [
@@ -93,7 +120,7 @@ def test_semantics(spark, text, pred, want):
     assert rows(Engine(spark, text).query(pred)) == want
 
 
-def test_closure_with_insert_retract_and_magic(spark):
+def test_closure_with_insert_retract_and_magic(spark, where):
     e = Engine(spark, "edge(1, 2). edge(2, 3). edge(3, 1). edge(3, 4). " + TC)
     assert rows(e.query("path")) == closure([(1, 2), (2, 3), (3, 1), (3, 4)])
     assert rows(e.query("path(1, X)", magic=True)) == [(1,), (2,), (3,), (4,)]

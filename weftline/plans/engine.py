@@ -11,11 +11,12 @@ import operator
 import warnings
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.plans import rewrite
+from weftline.plans import local, rewrite
 from weftline.plans.analysis import Component, TypeConflict, check_safety, group_variables, stratify, unify, value_type
 from weftline.plans.ir import Aggregate, Arith, Atom, Compare, Const, Fact, Negated, Positive, Program, Rule, Sym, Term, Value, Var, variables
 from weftline.plans.parser import parse
@@ -263,6 +264,13 @@ def evaluate_component(component: Component, ctx: Context, max_rounds: int = MAX
         for p, parts in seeds.items():
             ctx.tables[p] = _union(parts).distinct()
         return
+    reads = {x.atom.pred for r in component.rules for x in r.body if not isinstance(x, Compare)} - inside
+    kinds = column_types(component, seeds, ctx)
+    if _solved_locally(component, reads, seeds, kinds, ctx):
+        return
+    for p in sorted(reads):  # every round reads them; they are worked out once
+        if p in ctx.tables:
+            ctx.tables[p] = scratch(ctx.tables[p], f"input-{p}")
     if (found := closure_edges(component)) is not None:
         base, _ = found
         p = component.predicates[0]
@@ -274,16 +282,12 @@ def evaluate_component(component: Component, ctx: Context, max_rounds: int = MAX
     for rule in exits:
         seeds[rule.head.pred].append(rule_frame(rule, ctx))
     known = {p: parts for p, parts in seeds.items() if parts}
-    full = {p: scratch(_union(parts).distinct(), f"full-{p}") for p, parts in known.items()}
-    while len(full) < len(inside):  # a predicate with recursive rules only takes its types from a first evaluation
-        for rule in loops:
-            needs = {x.atom.pred for x in rule.body if isinstance(x, Positive)} & inside
-            if rule.head.pred not in full and needs <= set(full):
-                ctx.tables |= full
-                full[rule.head.pred] = rule_frame(rule, ctx).distinct().limit(0)
-                break
-        else:
-            raise ValueError(f"{sorted(inside - set(full))}: no rule gives a first row")
+    if lost := inside - set(kinds):
+        raise ValueError(f"{sorted(lost)}: no rule gives a first row")
+    full = {}
+    for p in component.predicates:  # a predicate with recursive rules only starts empty
+        like = [F.col(c).cast(k).alias(c) for c, k in kinds[p]]
+        full[p] = scratch(_union(known[p]).select(*like).distinct(), f"full-{p}") if p in known else relation_like(ctx.spark, kinds[p])
     delta = dict(full)
     for _ in range(max_rounds):
         ctx.tables |= full
@@ -308,6 +312,65 @@ def evaluate_component(component: Component, ctx: Context, max_rounds: int = MAX
     raise RuntimeError(f"no fixpoint of {', '.join(component.predicates)} in {max_rounds} rounds")
 
 
+def column_types(component: Component, seeds: dict[str, list[DataFrame]], ctx: Context) -> dict[str, list[tuple[str, str]]]:
+    """Names and types of the component's columns, from its seeds and all its rules, to a fixpoint; no job runs."""
+    kinds = {p: _union(parts).dtypes for p, parts in seeds.items() if parts}
+    changed = True
+    while changed:
+        changed = False
+        for rule in component.rules:
+            p = rule.head.pred
+            if any(x.atom.pred in component.predicates and x.atom.pred not in kinds for x in rule.body if not isinstance(x, Compare)):
+                continue
+            probe = Context(ctx.spark, {**ctx.tables, **{q: relation_like(ctx.spark, k) for q, k in kinds.items()}})
+            found = rule_frame(rule, probe)
+            if p in kinds:
+                found = _union([relation_like(ctx.spark, kinds[p]), found])
+            if kinds.get(p) != found.dtypes:
+                kinds[p], changed = found.dtypes, True
+    return kinds
+
+
+def _solved_locally(component: Component, reads: set[str], seeds: dict[str, list[DataFrame]], kinds: dict[str, list[tuple[str, str]]], ctx: Context) -> bool:
+    """Evaluates the component on the driver if what it reads is within local.INPUT_ROWS, and says whether it did."""
+    if not local.can_solve(component):
+        return False
+    if set(kinds) < set(component.predicates):
+        return False
+    types = {p: [k for _, k in found] for p, found in kinds.items()}
+    if any(k not in ("bigint", "int", "double", "string", "boolean") for t in types.values() for k in t):
+        return False
+    left, inputs = local.INPUT_ROWS, {}
+    for p in sorted(reads):
+        rows = ctx.get(p, 0).limit(left + 1).collect()
+        left -= len(rows)
+        if left < 0:
+            return False
+        inputs[p] = map(tuple, rows)
+    given = {}
+    for p, parts in seeds.items():
+        if parts:
+            rows = _union(parts).limit(left + 1).collect()
+            left -= len(rows)
+            if left < 0:
+                return False
+            given[p] = map(tuple, rows)
+    try:
+        found = local.solve(component, inputs, given, types)
+    except local.TooLarge:
+        return False
+    for p, rows in found.items():
+        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in types[p]]
+        arrow = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+        table = pa.Table.from_arrays([pa.array(c, arrow[k]) for c, k in zip(columns, types[p], strict=True)], names=[f"c{i}" for i in range(len(types[p]))])
+        ctx.tables[p] = ctx.spark.createDataFrame(table) if types[p] else ctx.spark.range(len(rows)).select()
+    return True
+
+
+def relation_like(spark: SparkSession, dtypes: list[tuple[str, str]]) -> DataFrame:
+    return spark.createDataFrame([], ", ".join(f"c{i} {k}" for i, (_, k) in enumerate(dtypes)))
+
+
 class Engine:
     """A program over facts and registered tables.
 

@@ -1,0 +1,166 @@
+"""Recursive components over small relations, worked out on the driver.
+
+A round on a cluster costs a fixed time, whatever its size. Where all relations that a component reads are within a checked
+bound, semi-naive evaluation with hash indexes in memory takes milliseconds; if the result outgrows its own bound, the
+attempt is dropped and Spark evaluates the component instead.
+"""
+
+from __future__ import annotations
+
+import operator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+
+from weftline.plans.analysis import Component
+from weftline.plans.ir import Aggregate, Arith, Atom, Compare, Const, Negated, Positive, Rule, Sym, Term, Var, variables
+
+#: Rows that are read, of all inputs together, and rows that are derived, at most.
+INPUT_ROWS, OUTPUT_ROWS = 20_000, 400_000
+_TESTS = {"=": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
+
+
+class TooLarge(Exception):
+    pass
+
+
+def _plain(v):
+    return v.name if isinstance(v, Sym) else v
+
+
+def value(t: Term, env: dict):
+    if isinstance(t, Var):
+        return env[t.name]
+    if isinstance(t, Const):
+        return _plain(t.value)
+    a, b = value(t.left, env), value(t.right, env)
+    if a is None or b is None:
+        return None
+    if t.op in ("/", "mod"):
+        if b == 0:
+            return 0
+        if t.op == "mod":
+            return abs(a) % abs(b) * (-1 if a < 0 else 1)
+        return abs(a) // abs(b) * (1 if (a < 0) == (b < 0) else -1) if isinstance(a, int) and isinstance(b, int) else a / b
+    return {"+": operator.add, "-": operator.sub, "*": operator.mul}[t.op](a, b)
+
+
+class Table:
+    """Rows with indexes by the places that are asked for; both grow together."""
+
+    def __init__(self, rows: Iterable[tuple] = ()) -> None:
+        self.rows: set[tuple] = set()
+        self.indexes: dict[tuple[int, ...], dict[tuple, list[tuple]]] = {}
+        self.add(rows)
+
+    def add(self, rows: Iterable[tuple]) -> None:
+        rows = [r for r in rows if r not in self.rows]
+        self.rows.update(rows)
+        for places, index in self.indexes.items():
+            for r in rows:
+                index[tuple(r[i] for i in places)].append(r)
+
+    def find(self, places: tuple[int, ...], key: tuple) -> Iterable[tuple]:
+        if not places:
+            return self.rows
+        index = self.indexes.get(places)
+        if index is None:
+            index = self.indexes[places] = defaultdict(list)
+            for r in self.rows:
+                index[tuple(r[i] for i in places)].append(r)
+        return index.get(key, ())
+
+
+def _bind(atom: Atom, table: Table, envs: Iterator[dict], bound: set[str]) -> Iterator[dict]:
+    places = tuple(i for i, a in enumerate(atom.args) if isinstance(a, Const) or (isinstance(a, Var) and a.name in bound))
+    rest = [(i, a.name) for i, a in enumerate(atom.args) if isinstance(a, Var) and a.name not in bound]
+    for env in envs:
+        key = tuple(value(atom.args[i], env) for i in places)
+        for row in table.find(places, key):
+            out = dict(env)
+            for i, name in rest:
+                if name in out and name not in env and not _same(out[name], row[i]):
+                    break
+                out[name] = row[i]
+            else:
+                yield out
+
+
+def _same(a, b) -> bool:
+    return a == b
+
+
+def derive(rule: Rule, tables: dict[str, Table], first: tuple[int, Table] | None = None) -> Iterator[tuple]:
+    """Head rows of a rule; first puts a table under one positive literal, which is then looked at first."""
+    atoms = [(i, x.atom) for i, x in enumerate(rule.body) if isinstance(x, Positive)]
+    if first is not None:
+        atoms.sort(key=lambda p: p[0] != first[0])
+    waiting = [x for x in rule.body if isinstance(x, (Compare, Negated))]
+    envs: Iterator[dict] = iter([{}])
+    bound: set[str] = set()
+    while atoms:
+        k = 0 if not bound else max(range(len(atoms)), key=lambda j: (len(bound & set(variables(atoms[j][1]))), -j))
+        i, atom = atoms.pop(k)
+        table = first[1] if first is not None and first[0] == i else tables[atom.pred]
+        envs = _bind(atom, table, envs, set(bound))
+        bound |= set(variables(atom))
+        for x in [x for x in waiting if set(variables(x)) <= bound]:
+            waiting.remove(x)
+            envs = _keep(x, tables, envs)
+    for x in waiting:
+        envs = _keep(x, tables, envs)
+    for env in envs:
+        yield tuple(value(a, env) for a in rule.head.args)
+
+
+def _keep(x: Compare | Negated, tables: dict[str, Table], envs: Iterator[dict]) -> Iterator[dict]:
+    if isinstance(x, Compare):
+        for env in envs:
+            a, b = value(x.left, env), value(x.right, env)
+            if a is not None and b is not None and _TESTS[x.op](a, b):
+                yield env
+        return
+    places = tuple(i for i, a in enumerate(x.atom.args) if isinstance(a, (Const, Var)))
+    for env in envs:
+        if not any(True for _ in tables[x.atom.pred].find(places, tuple(value(x.atom.args[i], env) for i in places))):
+            yield env
+
+
+def can_solve(component: Component) -> bool:
+    return not any(isinstance(x, Aggregate) for r in component.rules for x in r.body)
+
+
+def solve(component: Component, inputs: dict[str, Iterable[tuple]], seeds: dict[str, Iterable[tuple]], types: dict[str, list[str]], most: int = OUTPUT_ROWS) -> dict[str, set[tuple]]:
+    """The component's relations; raises TooLarge beyond `most` derived rows. types casts whole numbers in double columns."""
+    inside = set(component.predicates)
+    tables = {p: Table(rows) for p, rows in inputs.items()}
+    for p in inside:
+        tables[p] = Table()
+
+    def fit(p: str, row: tuple) -> tuple:
+        kinds = types.get(p)
+        return row if kinds is None or "double" not in kinds else tuple(float(v) if k == "double" and v is not None else v for v, k in zip(row, kinds, strict=True))
+
+    fresh: dict[str, set[tuple]] = {p: {fit(p, r) for r in seeds.get(p, ())} for p in inside}
+    for rule in component.rules:
+        if not any(isinstance(x, Positive) and x.atom.pred in inside for x in rule.body):
+            fresh[rule.head.pred] |= {fit(rule.head.pred, r) for r in derive(rule, tables)}
+    for p, rows in fresh.items():
+        tables[p].add(rows)
+    while any(fresh.values()):
+        new: dict[str, set[tuple]] = {p: set() for p in inside}
+        changed = {p: Table(rows) for p, rows in fresh.items() if rows}
+        total = sum(len(tables[p].rows) for p in inside)
+        for rule in component.rules:
+            p = rule.head.pred
+            for i, x in enumerate(rule.body):
+                if isinstance(x, Positive) and x.atom.pred in changed:
+                    for row in derive(rule, tables, (i, changed[x.atom.pred])):
+                        row = fit(p, row)
+                        if row not in tables[p].rows:
+                            new[p].add(row)
+                            if total + len(new[p]) > most:
+                                raise TooLarge
+        for p, rows in new.items():
+            tables[p].add(rows)
+        fresh = new
+    return {p: tables[p].rows for p in inside}
