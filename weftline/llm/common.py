@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.session import scratch, scratch_path
+from weftline.session import drop_scratch, scratch, scratch_path
 
-__all__ = ["components", "let", "partitions", "rank_within", "scratch", "scratch_path"]
+__all__ = ["components", "drop_scratch", "let", "partitions", "rank_within", "scratch", "scratch_path"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -47,12 +47,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 200)
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("v"), F.col("comp").alias("c")), "v").groupBy("u").agg(F.min("c").alias("c"))
         step = labels.join(near, labels.node == near.u).select("node", F.least("comp", "c").alias("comp"), F.col("comp").alias("was"))
-        step = scratch(step, "labels")
+        step, old = scratch(step, "labels"), labels
         up = step.select(F.col("node").alias("p"), F.col("comp").alias("pc"))
         new = scratch(step.join(up, step.comp == up.p, "left").select("node", F.coalesce("pc", "comp").alias("comp"), (F.coalesce("pc", "comp") != F.col("was")).alias("moved")), "labels")
         labels = new.select("node", "comp")
-        if new.where("moved").isEmpty():
+        settled = new.where("moved").isEmpty()
+        drop_scratch(both.sparkSession, step, old, *([both] if settled else []))
+        if settled:
             return labels
+        labels._scratch = new._scratch
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import components, scratch
+from weftline.llm.common import components, drop_scratch, scratch
 from weftline.llm.kernels import flat, list_array, ragged, shingle_sets, slices
 
 COUNTERS = 1 << 18
@@ -162,8 +162,8 @@ def _likely(pairs: DataFrame, bits: DataFrame, k: int, percent: int) -> DataFram
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ba", "bb").mapInArrow(run, "a binary, b binary")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union of the full sets; reps: cid, rep (a doc_id of that class).
+def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs with 100 * intersection >= percent * union of the full sets; reps: cid, rep (a doc_id of that class). Also the scratch table of sets.
 
     Sets are made again where the texts are read, for the documents that a bit table of MARKS bits does not rule out.
     """
@@ -193,7 +193,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, p
     whole = scratch(again.join(need.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
     x = whole.select(F.col("cid").alias("a"), F.col("full").alias("fa"))
     y = whole.select(F.col("cid").alias("b"), F.col("full").alias("fb"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "fa", "fb").mapInArrow(run, "a binary, b binary")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "fa", "fb").mapInArrow(run, "a binary, b binary"), whole
 
 
 def _may_link(k: int, percent: int) -> Column:
@@ -223,14 +223,17 @@ def near_dups(docs: DataFrame, *, width: int = 5, percent: int = 80, k: int = 51
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     base = scratch(_base(docs, width, k, percent / 100, _counters(docs, width, k)), "sketches")
-    reps = base.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep"))
     post = base.where("cid IS NOT NULL").select("cid", "n", F.posexplode("prefix").alias("p", "value")).select("value", "cid", (F.col("n") * _PLACE + F.col("p")).alias("np"))
     short = post.select("value", F.xxhash64("cid").alias("h"))
     lists = short.groupBy("value").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("value")
-    post = scratch(post.join(lists, "value", "left_semi").distinct(), "postings").select("value", "cid", F.expr(f"np div {_PLACE}").alias("n"), (F.col("np") % _PLACE).alias("p"))
+    found = scratch(post.join(lists, "value", "left_semi").distinct(), "postings")
+    post = found.select("value", "cid", F.expr(f"np div {_PLACE}").alias("n"), (F.col("np") % _PLACE).alias("p"))
     bits = base.where("cid IS NOT NULL").join(post.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(*[F.min(c).alias(c) for c in ("bits", "s0", "s1")])
     bits = scratch(bits, "bits")
-    post = scratch(post.join(bits.select("cid", "s0", "s1"), "cid"), "postings")
+    rows, whole = scratch(base.select("doc_id", "n", "cid"), "rows"), base
+    reps = scratch(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep")), "classes")
+    first, post = found, scratch(post.join(bits.select("cid", "s0", "s1"), "cid"), "postings")
+    drop_scratch(spark, whole, first)
     edges = spark.createDataFrame([], T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())]))
     comps = None
     for pivots in (True, False):
@@ -249,13 +252,15 @@ def near_dups(docs: DataFrame, *, width: int = 5, percent: int = 80, k: int = 51
             pairs = open_.join(other, (open_.value == other.value) & (F.col("ca") < F.col("comp")) & _may_link(k, percent))
         pairs = pairs.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct()
         likely = scratch(_likely(pairs, bits, k, percent), "likely")
-        found = scratch(_confirmed(likely, docs, reps, width, percent), "links")
+        confirmed, full = _confirmed(likely, docs, reps, width, percent)
+        found = scratch(confirmed, "links")
+        drop_scratch(spark, likely, full, *([other] if pivots else [open_]))
         edges = edges.union(found)
         if comps is None or not found.isEmpty():
             comps = components(edges)
     named = reps.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_class = named.join(ids, "comp").select("cid", "component_id")
-    out = base.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(by_class, "cid", "left")
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(by_class, "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
