@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -55,4 +56,18 @@ def scratch(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs only its own tasks."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop_scratch(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes scratch tables that no later step reads, and lets Spark's cleaner find the shuffle files of finished steps."""
+    for t in tables:
+        path = getattr(t, "_scratch", None)
+        if path is not None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _made.pop(path, None)
+    gc.collect()
+    spark._jvm.System.gc()
