@@ -183,7 +183,8 @@ def learn(stats: DataFrame, labels: DataFrame, *, max_labelled: int = 20_000, **
     """
     names = list(FEATURES)
     labelled = stats.where(~base_failed()).join(labels.where("quality IN (0, 1)").select(F.col("doc_id").alias("__l"), F.col("quality").alias("__q")), F.col("doc_id") == F.col("__l"))
-    rows = labelled.select(F.xxhash64("doc_id").alias("__h"), "__q", *[F.expr(e).alias(n) for n, e in FEATURES.items()]).orderBy("__h", "__q").limit(max_labelled).collect()
+    few = labelled.select(F.xxhash64("doc_id").alias("__h"), "__q", *[F.expr(e).alias(n) for n, e in FEATURES.items()]).orderBy("__h", "__q").limit(max_labelled)
+    rows = few.agg(F.sort_array(F.collect_list(F.struct("__h", "__q", *names))).alias("rows")).first()["rows"]  # picked on the executors, sent once
     x = np.array([[float(r[n]) for n in names] for r in rows]).reshape(len(rows), len(names))
     return fit(x, np.array([r["__q"] == 0 for r in rows], bool), np.array([r["__h"] % 3 == 0 for r in rows], bool), names=names, **how)
 

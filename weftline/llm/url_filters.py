@@ -76,7 +76,7 @@ class Sweep:
         return found
 
 
-def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, *, default: str = "allow", ranges: int | None = None, bounds_from: int = 20_000) -> DataFrame:
+def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame, *, default: str = "allow", ranges: int | None = None, bounds_from: int = 5_000) -> DataFrame:
     """page_id, host, path, rule, verdict; one row for each row of `pages` (page_id, url).
 
     rules: (host, path, verdict) rows, or a DataFrame of those columns. A rule fits its host and its subdomains where the
@@ -91,7 +91,8 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]] | DataFrame,
     urls = with_host_path(pages.select(F.col("page_id").cast("string").alias("page_id"), "url")).select("page_id", "host", "path", turned.alias("key"), F.xxhash64("page_id", "url").alias("salt"))
     rules = rules.where("host IS NOT NULL AND path IS NOT NULL").select("host", "path", "verdict", turned.alias("key"))
     count = ranges or partitions(spark)
-    seen = sorted((r["key"], r["salt"]) for r in urls.select("key", "salt").orderBy("salt").limit(bounds_from).collect())
+    few = urls.select("key", "salt").orderBy("salt").limit(bounds_from).agg(F.collect_list(F.struct("key", "salt")).alias("few"))
+    seen = sorted((r["key"], r["salt"]) for r in few.first()["few"])  # picked on the executors, sent once
     bounds = [seen[len(seen) * i // count] for i in range(1, count)] if seen else []
 
     def dealt(urls_too: bool):
