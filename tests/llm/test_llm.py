@@ -105,6 +105,17 @@ def test_near_dups_of_a_family_and_long_sets(spark):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == linked(rows, 2)
 
 
+def test_near_dups_of_truncated_copies_around_the_sketch_size(spark):
+    """Contained pairs whose shared values are fewer than the overlap that sketches of a union beyond k have."""
+    rows = []
+    for n in [*range(400, 521, 12), 410, 454, 456, 512, 513]:
+        for kind, m in (("at", -(-4 * n // 5)), ("under", -(-4 * n // 5) - 1)):
+            w = [f"{kind}{n}_{i}" for i in range(n + 4)]
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(w[: m + 4]))]
+    got = by_id(near_dup.near_dups(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == linked(rows, 5)
+
+
 def test_near_dups_corner_cases(spark, empty):
     assert near_dup.near_dups(empty).count() == 0
     rows = near_dup.near_dups(spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (None, None)], "doc_id long, text string")).collect()

@@ -2,8 +2,10 @@
 
 A document's set holds its distinct shingles; the sketch keeps the k smallest hashes (the whole set if that is smaller).
 Two sets of Jaccard similarity s share about s*k values of the union's k smallest, and all of those are in both sketches.
-So a required overlap T is fixed five standard deviations below threshold*k (exact for sets of at most threshold*k), and
-a pair with that overlap meets in the inverted list of one of the (size - T + 1) rarest retained values of either side.
+So a required overlap T is fixed five standard deviations below threshold*k where the union holds more than k values. A
+smaller union is known whole, and the pair shares threshold*union exactly or more, which may be less than that T; a set of at
+most k values takes the smaller of the bounds that its unions may have. A pair with that overlap meets in the inverted list
+of one of the (size - T + 1) rarest retained values of either side.
 At the rarest value that they share, what follows it in either sketch bounds the overlap; pairs are generated only where
 that bound still reaches what they need. Rarity is read from a fixed-size counter table over all retained values; any
 counts give right results, good ones short lists.
@@ -97,7 +99,8 @@ def least_overlap(k: int, threshold: float) -> int:
 
 def required(n: np.ndarray, k: int, threshold: float) -> np.ndarray:
     """Overlap that the sketches of a similar pair have, given the size of either set."""
-    return np.where(n <= threshold * k, np.ceil(threshold * n - 1e-9), least_overlap(k, threshold)).astype(np.int64)
+    whole, t = np.ceil(threshold * n - 1e-9), least_overlap(k, threshold)
+    return np.where(n <= threshold * k, whole, np.where(n <= k, np.minimum(whole, t), t)).astype(np.int64)
 
 
 def _base(docs: DataFrame, width: int, k: int, threshold: float, counters: np.ndarray) -> DataFrame:
@@ -198,16 +201,10 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, p
 
 def _may_link(k: int, percent: int) -> Column:
     """Whether two postings (n, p of one, m, q of the other) of one value may be the rarest shared one of a link."""
-    exact = F.floor(F.lit(percent * k / 100)).cast("long")
-    t = least_overlap(k, percent / 100)
-
-    def need(n: Column) -> Column:
-        return F.when(n <= exact, F.ceil((n * percent) / 100)).otherwise(F.lit(t)).cast("long")
-
     n, m, p, q = F.col("n"), F.col("m"), F.col("p"), F.col("q")
     differ = F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("t1")))
     both = F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
-    wanted = F.when((n <= exact) & (m <= exact), both).otherwise(F.greatest(need(n), need(m)))
+    wanted = F.when((n <= k) & (m <= k), both).otherwise(F.lit(least_overlap(k, percent / 100)))
     room = F.least(F.least(n, F.lit(k)) - p, F.least(m, F.lit(k)) - q)
     return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (room >= wanted) & (differ <= most_differing(percent / 100))
 
