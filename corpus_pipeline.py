@@ -32,11 +32,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines and sentences that an earlier document (or place) holds; n_chars is that of the new text.
+    """Documents without the lines, sentences and runs of short ones that an earlier document (or place) holds; n_chars is that of the new text.
 
     Documents of which nothing but white space is left are dropped.
     """
-    return substring_dedup.without_repeats(docs)
+    return substring_dedup.without_repeats(docs, passages=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -172,6 +172,31 @@ def test_line_dedup(docs, empty, spark):
     assert set(cutdown) == {i for i, (_, k) in want.items() if k.strip()} and cutdown[0]["n_chars"] == len(want[0][1].decode()) and cutdown[0]["spans"] == "s"
 
 
+def test_pipeline_removes_repeated_runs_of_short_units(spark):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    words = lambda k: " ".join(f"v{rng.randrange(10**6)}" for _ in range(k))
+    short = [words(rng.randrange(1, 7)) + "." for _ in range(20)]
+    passage = " ".join(short[:10]) + "\n\n" + "\n".join(short[10:])
+    alone = "Read more."
+    texts = {1: f"{words(9)}.\n{passage}\n{words(9)}.\n{alone}\n", 2: f"{words(3)}.\n\n{passage}\n{words(3)}.\n{alone}\n", 3: f"{alone}\n{words(2)}.\n \n{words(2)}.\n"}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {i: r["text"] for i, r in by_id(corpus_pipeline.substring_dedup_stage(spark, frame, "")).items()}
+    assert got == {1: texts[1], 2: texts[2].replace(passage + "\n", ""), 3: texts[3]}
+
+
+def test_pipeline_keeps_the_least_occurrence_of_every_unit(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice(["", "a", "b c", "c b a", f"d{rng.randrange(60)}"]) + rng.choice([". ", ".\n", ".\n\n"]) for _ in range(rng.randrange(200)))) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {i: r["text"] for i, r in by_id(corpus_pipeline.substring_dedup_stage(spark, frame, "")).items()}
+    norms = lambda ts: {u for t in ts for _, _, u in units(t) if u}
+    assert norms(got.values()) >= norms(t for _, t in rows) and sum(map(len, got.values())) < sum(len(t) for _, t in rows)
+
+
 def suffixes_deduped(rows: list[tuple], least: int) -> dict:
     seen = collections.Counter(b[i : i + least] for _, t in rows for b in [(t or "").encode()] for i in range(len(b) - least + 1))
     out = {}

@@ -5,6 +5,10 @@ never touched; others are normalised (A-Z lower-cased, white space runs as one s
 digests anywhere in the corpus the occurrence of least rank, (doc_id, offset), stays; the others go. Digests are summed
 up before they are shuffled, so a unit that a third of all documents share is a few rows to its task; the table of
 repeated digests is then joined back, where Spark may split a large partition.
+
+With passages=True the exemption holds for runs, not units: from every unit on, and up to it, the shortest run of units of
+min_words words is digested, so what stands in a repeated passage of that many words goes whatever the length of its
+sentences or lines. The least occurrence of any unit stays: a run that goes has an equal one before it.
 """
 
 from __future__ import annotations
@@ -44,22 +48,59 @@ def unit_table(b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return row, starts - o[row], ends - o[row], n, *digests
 
 
-def units(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, start, end, d1, d2 for the units of min_words words or more."""
+def run_pairs(at: np.ndarray, bounds: np.ndarray, o: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shortest runs of `least` words from each unit on and up to each unit, inside its document, as indices into bounds.
+
+    bounds: ascending byte offsets of the units' starts and the last end; at: the words before each. Units without words
+    neither start nor end a run.
+    """
+    unit = np.flatnonzero(np.diff(at))
+    i = np.concatenate([unit, np.searchsorted(at, at[unit + 1] - least, "right") - 1])
+    j = np.concatenate([np.searchsorted(at, at[unit] + least), unit + 1])
+    there = (i >= 0) & (j < len(at))
+    i, j = i[there], j[there]
+    inside = bounds[j] <= o[np.searchsorted(o, bounds[i], "right")]
+    both = np.unique(i[inside] * len(at) + j[inside])
+    return both // max(len(at), 1), both % max(len(at), 1)
+
+
+def run_table(b: np.ndarray, o: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every run: document row, start and end in bytes from the document's start, and two digests."""
+    row, start, end, n, *_ = unit_table(b, o)
+    bounds = np.concatenate([start + o[row], (end + o[row])[-1:]])
+    at = np.concatenate([[0], np.cumsum(n)])[: len(bounds)]
+    i, j = run_pairs(at, bounds, o, min_words)
+    h, _ = word_hashes(b, o)
+    row = np.searchsorted(o, bounds[i], "right") - 1
+    digests = []
+    for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        total = np.zeros(len(h) + 1, U64)
+        np.cumsum(mix(h ^ U64(seed)) * powers(U64(seed | 1), len(h)), out=total[1:])
+        back = powers(U64(pow(seed | 1, -1, 2**64)), len(h) + 1)[at[i]]
+        digests.append(mix((total[at[j]] - total[at[i]]) * back + (at[j] - at[i]).astype(U64)).view(np.int64))
+    return row, bounds[i] - o[row], bounds[j] - o[row], *digests
+
+
+def units(docs: DataFrame, min_words: int, passages: bool = False) -> DataFrame:
+    """doc_id, start, end, d1, d2 for the units (with passages: the runs of units) of min_words words or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                row, start, end, n, d1, d2 = unit_table(*flat(part.column(1)))
-                keep = n >= min_words
+                if passages:
+                    row, start, end, d1, d2 = run_table(*flat(part.column(1)), min_words)
+                    keep = np.ones(len(row), bool)
+                else:
+                    row, start, end, n, d1, d2 = unit_table(*flat(part.column(1)))
+                    keep = n >= min_words
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[keep])), *(pa.array(x[keep]) for x in (start, end, d1, d2))], names=["doc_id", "start", "end", "d1", "d2"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, end long, d1 long, d2 long")
 
 
-def repeats(docs: DataFrame, min_words: int = 8) -> DataFrame:
-    """doc_id, spans (array of struct<start, end>): the units to remove from each document that has any."""
-    found = units(docs, min_words)
+def repeats(docs: DataFrame, min_words: int = 8, passages: bool = False) -> DataFrame:
+    """doc_id, spans (array of struct<start, end>): the units, or runs that may overlap, to remove from each document that has any."""
+    found = units(docs, min_words, passages)
     first = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("c")).where("c > 1").select("d1", "d2", "first")
     first = scratch(first, "first")
     later = found.join(first, ["d1", "d2"]).where(~F.struct("doc_id", "start").eqNullSafe(F.col("first")))
@@ -70,7 +111,7 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     out, at = [], 0
     for s, e in spans:
         out.append(data[at:s])
-        at = e
+        at = max(at, e)
     out.append(data[at:])
     return b"".join(out)
 
@@ -101,12 +142,12 @@ def dedup(docs: DataFrame, *, min_words: int = 8) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, spans string, kept_text string, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, *, min_words: int = 8) -> DataFrame:
-    """The rows of `docs` with the repeated units cut out of text, and n_chars (if there is one) set to its new length.
+def without_repeats(docs: DataFrame, *, min_words: int = 8, passages: bool = False) -> DataFrame:
+    """The rows of `docs` with the repeated units (or runs of units) cut out of text, and n_chars (if there is one) set to its new length.
 
     Texts of which only white space is left are dropped, null texts too. Other columns stay as they are.
     """
-    marks = repeats(docs, min_words).select(F.col("doc_id").alias("__d"), F.col("spans").alias("__spans"))
+    marks = repeats(docs, min_words, passages).select(F.col("doc_id").alias("__d"), F.col("spans").alias("__spans"))
     joined = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("__d")), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__spans")
     names = docs.columns
     text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
