@@ -186,6 +186,24 @@ def test_pipeline_removes_repeated_runs_of_short_units(spark):
     assert got == {1: texts[1], 2: texts[2].replace(passage + "\n", ""), 3: texts[3]}
 
 
+def test_pipeline_removes_repeated_passages_inside_a_line(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    words = lambda k: " ".join(f"v{rng.randrange(10**6)}" for _ in range(k))
+    passages = [words(60) for _ in range(20)]
+    texts = {}
+    for k, passage in enumerate(passages):
+        texts[2 * k] = f"{words(rng.randrange(9))}x{passage}y{words(9)}"
+        texts[2 * k + 1] = f"{words(rng.randrange(30))}z{passage} {words(9)}"
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {i: r["text"] for i, r in by_id(corpus_pipeline.substring_dedup_stage(spark, frame, "")).items()}
+    assert all(got[i] == texts[i] for i in range(0, 40, 2))
+    left = [len(set(p.split()) & set(got[2 * k + 1].split())) for k, p in enumerate(passages)]
+    assert max(left) < 40 and sum(left) < 20 * 22
+    assert all(set(texts[2 * k + 1].split()) - set(got[2 * k + 1].split()) <= set(p.split()) for k, p in enumerate(passages))
+
+
 def test_pipeline_keeps_the_least_occurrence_of_every_unit(spark):
     import corpus_pipeline
 

@@ -8,7 +8,10 @@ repeated digests is then joined back, where Spark may split a large partition.
 
 With passages=True the exemption holds for runs, not units: from every unit on, and up to it, the shortest run of units of
 min_words words is digested, so what stands in a repeated passage of that many words goes whatever the length of its
-sentences or lines. The least occurrence of any unit stays: a run that goes has an equal one before it.
+sentences or lines. The least occurrence of any unit stays: a run that goes has an equal one before it. Units of more than
+LONG words are also cut before every word whose hash is the least among its NEAR neighbours on either side, wherever the unit
+begins, and runs of FINE words between such cuts are digested too. So a passage without marks, or glued to other words, goes
+but for what stands before its first and after its last cut; a repetition of one word has no such cut.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import scratch
 from weftline.llm.kernels import IS_SPACE, U64, flat, mix, powers, slices, word_hashes, word_starts
 
+LONG, FINE, NEAR = 24, 16, 3
 STOPS = np.zeros(256, bool)
 STOPS[[ord(c) for c in ".!?"]] = True
 
@@ -64,21 +68,40 @@ def run_pairs(at: np.ndarray, bounds: np.ndarray, o: np.ndarray, least: int) ->
     return both // max(len(at), 1), both % max(len(at), 1)
 
 
+def word_cuts(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether each word's hash is the least of its document's words up to NEAR places away."""
+    g, row = mix(h ^ U64(0x165667B19E3779F9)), np.repeat(np.arange(len(first) - 1), np.diff(first))
+    cut = np.ones(len(h), bool)
+    for d in range(1, NEAR + 1):
+        apart = row[d:] != row[:-d]
+        cut[d:] &= apart | (g[d:] < g[:-d])
+        cut[:-d] &= apart | (g[:-d] <= g[d:])
+    return cut
+
+
 def run_table(b: np.ndarray, o: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For every run: document row, start and end in bytes from the document's start, and two digests."""
     row, start, end, n, *_ = unit_table(b, o)
     bounds = np.concatenate([start + o[row], (end + o[row])[-1:]])
     at = np.concatenate([[0], np.cumsum(n)])[: len(bounds)]
     i, j = run_pairs(at, bounds, o, min_words)
-    h, _ = word_hashes(b, o)
-    row = np.searchsorted(o, bounds[i], "right") - 1
+    h, first = word_hashes(b, o)
+    words = word_starts(b, o)
+    inner = np.setdiff1d(words[word_cuts(h, first) & np.repeat(n > LONG, n)], bounds)
+    fine = np.union1d(bounds, inner)
+    k, m = run_pairs(np.searchsorted(words, fine), fine, o, FINE)
+    before = np.concatenate([[0], np.cumsum(np.isin(fine, inner))])
+    cut_inside = before[m + 1] > before[k]
+    start, end = np.concatenate([bounds[i], fine[k[cut_inside]]]), np.concatenate([bounds[j], fine[m[cut_inside]]])
+    i, j = np.searchsorted(words, start), np.searchsorted(words, end)
+    row = np.searchsorted(o, start, "right") - 1
     digests = []
     for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
         total = np.zeros(len(h) + 1, U64)
         np.cumsum(mix(h ^ U64(seed)) * powers(U64(seed | 1), len(h)), out=total[1:])
-        back = powers(U64(pow(seed | 1, -1, 2**64)), len(h) + 1)[at[i]]
-        digests.append(mix((total[at[j]] - total[at[i]]) * back + (at[j] - at[i]).astype(U64)).view(np.int64))
-    return row, bounds[i] - o[row], bounds[j] - o[row], *digests
+        back = powers(U64(pow(seed | 1, -1, 2**64)), len(h) + 1)[i]
+        digests.append(mix((total[j] - total[i]) * back + (j - i).astype(U64)).view(np.int64))
+    return row, start - o[row], end - o[row], *digests
 
 
 def units(docs: DataFrame, min_words: int, passages: bool = False) -> DataFrame:
