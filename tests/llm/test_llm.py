@@ -406,6 +406,27 @@ def test_sharding_splits_a_group_beyond_the_quota(spark):
     assert len({r["shard"] for r in rows if r["doc_id"] < 60}) <= 4
 
 
+def shards_of(rows: list, texts: list[str]) -> dict:
+    out = collections.defaultdict(set)
+    for r in rows:
+        out[texts[r["doc_id"]]].add(r["shard"])
+    return out
+
+
+def test_sharding_gathers_groups_where_every_row_is_linked(spark):
+    texts = [f"t{i % 200}" for i in range(400)]
+    rows = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), n=8).collect()
+    assert set(collections.Counter(r["shard"] for r in rows).values()) == {50} and len({r["shard"] for r in rows}) == 8
+    assert all(len(s) == 1 for s in shards_of(rows, texts).values())
+
+
+def test_sharding_exchanges_between_full_shards(spark):
+    assert sorted(sharding._exchange({(0, 1): 5, (1, 0): 3, (2, 0): 4}, [0, 0, 0])) == [(0, 1, 3), (1, 0, 3)]
+    rows = spark.createDataFrame([(i, 16, 0, bytes([i // 4]), int(i % 4 == 3) ^ (i // 4 % 2)) for i in range(40)], "doc_id long, size long, text_crc32 long, gid binary, shard long")
+    got = sharding.propagate(rows, [20, 20], 4).collect()
+    assert collections.Counter(r["shard"] for r in got) == {0: 20, 1: 20} and len({(r["gid"], r["shard"]) for r in got}) == 10
+
+
 def test_url_filters(spark):
     rng = random.Random(6)
     hosts = ["org", "example.org", "www.example.org", "badexample.org", "com", "a.com", "A.B.com", "x.y.z.net", ""]
