@@ -420,6 +420,14 @@ def test_sharding_gathers_groups_where_every_row_is_linked(spark):
     assert all(len(s) == 1 for s in shards_of(rows, texts).values())
 
 
+def test_sharding_splits_hot_groups_over_the_fewest_shards(spark):
+    texts = ["hot"] * 400 + ["warm"] * 45 + [f"p{i // 2}" for i in range(200)] + [f"u{i}" for i in range(555)]
+    rows = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), n=40).collect()
+    assert set(collections.Counter(r["shard"] for r in rows).values()) == {30} and len({r["shard"] for r in rows}) == 40
+    held = shards_of(rows, texts)
+    assert len(held.pop("hot")) == 14 and len(held.pop("warm")) == 2 and all(len(s) == 1 for s in held.values())
+
+
 def test_sharding_exchanges_between_full_shards(spark):
     assert sorted(sharding._exchange({(0, 1): 5, (1, 0): 3, (2, 0): 4}, [0, 0, 0])) == [(0, 1, 3), (1, 0, 3)]
     rows = spark.createDataFrame([(i, 16, 0, bytes([i // 4]), int(i % 4 == 3) ^ (i // 4 % 2)) for i in range(40)], "doc_id long, size long, text_crc32 long, gid binary, shard long")

@@ -1,10 +1,11 @@
 """Balanced label propagation: documents of equal text move to a common shard while all shards keep their sizes.
 
 Links are never expanded into pairs: what a document sees of its group is a count for each shard. Labels start as runs of
-whole groups: they lie in a row that is cut into shares of the quotas, and a group that a cut divides goes whole to a shard with room for it. Then, in a
+whole groups: groups beyond a quota (fewer than n) get shards of their own and share the last, the others lie in a row
+that is cut into shares of the quotas, and a group that a cut divides goes whole to a shard with room for it. Then, in a
 round, every document asks for the shard that holds most of its group; pairs of shards exchange equal numbers of askers,
 full ones too, and a shard with room takes more up to its quota. In every other round only shards with room are asked for.
-A move raises the sum of the squared counts of a group by shard, so rounds end.
+A move raises the sum of the squared counts of a group by shard, so rounds end, and they go on until nothing moves.
 Documents without links are dealt last and fill every shard to its exact count. What reaches the driver is n rows of
 shards and of groups, and n*n flows. Built-in functions only.
 """
@@ -36,6 +37,19 @@ def _exchange(wanted: dict[tuple[int, int], int], room: list[int]) -> list[tuple
     return [(s, t, m) for (s, t), m in out.items() if m]
 
 
+def _piece_list(size: int, free: list[int]) -> list[tuple[int, int, int]]:
+    """(from, to, shard) for a group of that size: the tightest shard that takes the rest, or all of the one with most room."""
+    out, at = [], 0
+    while at < size:
+        fit = [s for s in range(len(free)) if free[s] >= size - at]
+        s = min(fit, key=free.__getitem__) if fit else max(range(len(free)), key=free.__getitem__)
+        take = min(free[s], size - at)
+        out.append((at, at + take, s))
+        free[s] -= take
+        at += take
+    return out
+
+
 def _reunite(divided: list[tuple[bytes, int, int]], ends: list[int], room: list[int]) -> dict[bytes, int]:
     """The shard for each divided group (gid, start, size) that some shard has room for; `room` is kept up to date."""
     out: dict[bytes, int] = {}
@@ -65,7 +79,10 @@ def _labelled(linked: DataFrame, groups: DataFrame, quota: list[int], buckets: i
     """linked (doc_id, size, text_crc32, gid) with its first `shard`; groups: gid, g (rows of it)."""
     spark, n, free = linked.sparkSession, len(quota), list(quota)
     pieces = []
-    small = groups.withColumn("b", F.pmod(F.xxhash64("gid"), F.lit(buckets)))
+    large = groups.where(F.col("g") > min(quota)).collect()
+    for r in sorted(large, key=lambda r: (-r["g"], bytes(r["gid"]))):
+        pieces += [(bytes(r["gid"]), *p) for p in _piece_list(r["g"], free)]
+    small = groups.where(F.col("g") <= min(quota)).withColumn("b", F.pmod(F.xxhash64("gid"), F.lit(buckets)))
     sums = small.groupBy("b").agg(F.sum("g").alias("s"))
     before = sums.select("b", F.coalesce(F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
     inner = F.sum("g").over(Window.partitionBy("b").orderBy("gid").rowsBetween(Window.unboundedPreceding, -1))
@@ -84,13 +101,11 @@ def _labelled(linked: DataFrame, groups: DataFrame, quota: list[int], buckets: i
     return scratch(ranked.join(F.broadcast(planned), fits, "left").select("doc_id", "size", "text_crc32", "gid", placed.alias("shard")), "linked")
 
 
-def propagate(linked: DataFrame, quota: list[int], buckets: int, rounds: int = 4) -> DataFrame:
-    """linked (doc_id, size, text_crc32, gid, shard) after at most `rounds` rounds of propagation."""
+def propagate(linked: DataFrame, quota: list[int], buckets: int) -> DataFrame:
+    """linked (doc_id, size, text_crc32, gid, shard) after rounds of propagation until neither kind of round moves a row."""
     spark, n = linked.sparkSession, len(quota)
     order, idle, any_ = ["gid", "doc_id", "size"], 0, True
-    for _ in range(rounds):
-        if idle == 2:
-            break
+    while idle < 2:
         held = {r["shard"]: r["count"] for r in linked.groupBy("shard").count().collect()}
         room = [max(0, quota[s] - held.get(s, 0)) for s in range(n)]
         count = linked.groupBy("gid", "shard").agg(F.count("*").alias("c")).withColumn("tie", F.xxhash64("gid", "shard"))
@@ -114,12 +129,12 @@ def propagate(linked: DataFrame, quota: list[int], buckets: int, rounds: int = 4
     return linked
 
 
-def shard(docs: DataFrame, *, n: int = 40, rounds: int = 4) -> DataFrame:
+def shard(docs: DataFrame, *, n: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null), one row for each row of `docs`.
 
     Shard counts differ by one at most. A null text has size 16, the crc of no bytes, and no links; empty texts are one
-    group. Null doc_ids and repeated rows are placed like others. A group beyond a shard's quota is split over
-    shards that follow each other. An empty table gives an empty result.
+    group. Null doc_ids and repeated rows are placed like others. A group beyond a shard's quota takes whole
+    shards and the tightest place that is left for the rest. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     buckets = 4 * partitions(spark)
@@ -129,7 +144,7 @@ def shard(docs: DataFrame, *, n: int = 40, rounds: int = 4) -> DataFrame:
     groups = scratch(rows.where("gid IS NOT NULL").groupBy("gid").agg(F.count("*").alias("g")).where("g > 1"), "groups")
     tagged = scratch(rows.join(groups.select("gid", F.lit(True).alias("linked")), "gid", "left"), "tagged")
     quota = [total // n + (s < total % n) for s in range(n)]
-    linked = propagate(_labelled(tagged.where("linked").drop("linked"), groups, quota, buckets), quota, buckets, rounds)
+    linked = propagate(_labelled(tagged.where("linked").drop("linked"), groups, quota, buckets), quota, buckets)
     held = {r["shard"]: r["count"] for r in linked.groupBy("shard").count().collect()}
     fullest = sorted(range(n), key=lambda s: -held.get(s, 0))
     quota = {s: total // n + (k < total % n) for k, s in enumerate(fullest)}
