@@ -182,3 +182,25 @@ def test_storage(spark, tmp_path):
     c = storage.Catalog(spark)
     c.register(storage.Relation("employee", (("id", "bigint"), ("name", "string"), ("salary", "double"))))
     assert c.get("employee").arity == 3 and c.has("employee") and len(c.all()) == 1
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from weftline import session
+
+    settings = SimpleNamespace(get=lambda *_: None)
+    context = lambda master: SimpleNamespace(master=master, getConf=lambda: settings)
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            session.shared_dir(SimpleNamespace(sparkContext=context(master), conf=settings))
+
+
+def test_scratch_leaves_no_shuffle_files_and_no_setting(spark):
+    from weftline import session
+
+    was = spark.conf.get(session.CLEANUP)
+    out = session.scratch(spark.range(1000).selectExpr("id % 10 AS k").groupBy("k").count(), "kept")
+    assert out.count() == 10 and spark.conf.get(session.CLEANUP) == was
+    session.drop_scratch(spark, out)
+    assert out._scratch not in session._made

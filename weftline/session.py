@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -37,9 +37,11 @@ def _clean() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; one of our own where that is unset and all run on one machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.weftline.scratch", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weftline-")
         spark.conf.set("spark.weftline.scratch", found)
     return found.rstrip("/")
@@ -52,22 +54,29 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+#: Spark then removes an action's shuffle files as soon as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs only its own tasks."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, was = scratch_path(spark, label), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
+    out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
 def drop_scratch(spark: SparkSession, *tables: DataFrame) -> None:
-    """Removes scratch tables that no later step reads, and lets Spark's cleaner find the shuffle files of finished steps."""
+    """Removes scratch tables that no later step reads."""
     for t in tables:
         path = getattr(t, "_scratch", None)
         if path is not None:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
             _made.pop(path, None)
-    gc.collect()
-    spark._jvm.System.gc()
