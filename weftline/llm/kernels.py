@@ -17,10 +17,16 @@ MAX_BYTES = 1_000_000
 U64 = np.uint64
 
 _rng = np.random.default_rng(20240229)
-#: One random 64-bit value for each byte; the hash of a string is a polynomial in these.
+#: One random 64-bit value for each byte; the fingerprint of a gram is a polynomial in these.
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64)
 BASE = U64(0x9E3779B97F4A7C15 | 1)
 BASE_INV = U64(pow(int(BASE), -1, 2**64))
+#: A random value for each byte at each of a word's first places; a word's hash is the sum of its bytes' values.
+PLACES = 32
+PLACE_CODE = _rng.integers(0, 2**64, (PLACES, 256), dtype=U64)
+#: A prime modulus for hashes of runs that begin anywhere, with their bases.
+PRIME = (1 << 61) - 1
+RUN_BASES = tuple(int(x) for x in _rng.integers(2**32, PRIME - 1, 2))
 #: Multipliers of the words of a shingle.
 WORD_CODE = _rng.integers(1, 2**63, 64, dtype=np.int64).astype(U64) | U64(1)
 
@@ -100,11 +106,66 @@ def word_starts(b: np.ndarray, o: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every lower-cased word in order, and for each document the offset of its first word (one more than documents)."""
+    """Hash of every lower-cased word in order, and for each document the offset of its first word (one more than documents).
+
+    A word's hash sums a value of (place, byte) for each byte, drawn at random for the first PLACES and mixed beyond; no
+    algebra between places lets chosen words cancel, as it does in a polynomial modulo 2**64.
+    """
     starts, ends = _word_edges(b, o)
-    p = prefix_hash(LOWER[b])
-    h = mix((p[ends] - p[starts]) * powers(BASE_INV, len(b) + 1)[starts] + (ends - starts).astype(U64))
-    return h, np.searchsorted(starts, o)
+    low, n = LOWER[b], ends - starts
+    h = n.astype(U64)
+    live, at = np.arange(len(starts)), starts
+    for place in range(PLACES):
+        h[live] += PLACE_CODE[place][low[at]]
+        more = n[live] > place + 1
+        live, at = live[more], at[more] + 1
+        if not len(live):
+            break
+    if len(live):
+        rest = n[live] - PLACES
+        place = ranges(np.full(len(live), PLACES), rest).astype(U64)
+        value = mix(mix(place * BASE) ^ BYTE_CODE[low[ranges(at, rest)]])
+        h[live] += np.add.reduceat(value, ragged(rest)[:-1])
+    return mix(h), np.searchsorted(starts, o)
+
+
+def times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x * y modulo PRIME, for values below it."""
+    low, half = U64((1 << 32) - 1), U64(32)
+    x1, x0, y1, y0 = x >> half, x & low, y >> half, y & low
+    mid = x1 * y0 + x0 * y1
+    out = (x1 * y1 << U64(3)) + (mid >> U64(29)) + ((mid & U64((1 << 29) - 1)) << half)
+    small = x0 * y0
+    out = (out & U64(PRIME)) + (out >> U64(61)) + (small & U64(PRIME)) + (small >> U64(61))
+    out = (out & U64(PRIME)) + (out >> U64(61))
+    return np.where(out >= U64(PRIME), out - U64(PRIME), out)
+
+
+_prime_powers: dict[int, np.ndarray] = {}
+
+
+def prime_powers(base: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo PRIME."""
+    have = _prime_powers.get(base)
+    if have is None or len(have) < n:
+        have = np.ones(1, U64)
+        while len(have) < max(n, 1 << 16):
+            have = np.concatenate([have, times(have, np.full(len(have), pow(base, len(have), PRIME), U64))])
+        if n <= 2 * MAX_BYTES:
+            _prime_powers[base] = have
+    return have[:n]
+
+
+def run_hashes(x: np.ndarray, i: np.ndarray, j: np.ndarray, base: int) -> np.ndarray:
+    """Hash modulo PRIME of x[i:j] for each pair, whatever i: a polynomial in a random base."""
+    x = x & U64((1 << 60) - 1)
+    term = times(x, prime_powers(base, len(x)))
+    high, low = np.zeros(len(x) + 1, U64), np.zeros(len(x) + 1, U64)
+    np.cumsum(term >> U64(32), out=high[1:])
+    np.cumsum(term & U64((1 << 32) - 1), out=low[1:])
+    high, low = (high[j] - high[i]) % U64(PRIME), (low[j] - low[i]) % U64(PRIME)
+    total = (times(high, np.full(len(i), 1 << 32, U64)) + low) % U64(PRIME)
+    return times(total, prime_powers(pow(base, -1, PRIME), len(x) + 1)[i])
 
 
 def shingle_sets(b: np.ndarray, o: np.ndarray, width: int) -> Iterator[np.ndarray]:

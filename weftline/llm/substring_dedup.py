@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import scratch
-from weftline.llm.kernels import IS_SPACE, U64, flat, mix, powers, slices, word_hashes, word_starts
+from weftline.llm.kernels import IS_SPACE, RUN_BASES, U64, flat, mix, run_hashes, slices, word_hashes, word_starts
 
 LONG, FINE, NEAR = 24, 16, 3
+SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 STOPS = np.zeros(256, bool)
 STOPS[[ord(c) for c in ".!?"]] = True
 
@@ -43,11 +44,10 @@ def unit_table(b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     at = np.searchsorted(word_starts(b, o), np.concatenate([starts, ends[-1:]]))
     n = np.diff(at)
     place = np.arange(len(h)) - np.repeat(at[:-1], n)
-    longest = int(n.max()) if len(n) else 0
     digests = []
-    for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+    for seed in SEEDS:
         total = np.zeros(len(h) + 1, U64)
-        np.cumsum(mix(h ^ U64(seed)) * powers(U64(seed | 1), longest)[place], out=total[1:])
+        np.cumsum(mix(mix(h ^ U64(seed)) + place.astype(U64) * U64(seed | 1)), out=total[1:])
         digests.append(mix(total[at[1:]] - total[at[:-1]] + n.astype(U64)).view(np.int64))
     return row, starts - o[row], ends - o[row], n, *digests
 
@@ -96,11 +96,8 @@ def run_table(b: np.ndarray, o: np.ndarray, min_words: int) -> tuple[np.ndarray,
     i, j = np.searchsorted(words, start), np.searchsorted(words, end)
     row = np.searchsorted(o, start, "right") - 1
     digests = []
-    for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-        total = np.zeros(len(h) + 1, U64)
-        np.cumsum(mix(h ^ U64(seed)) * powers(U64(seed | 1), len(h)), out=total[1:])
-        back = powers(U64(pow(seed | 1, -1, 2**64)), len(h) + 1)[i]
-        digests.append(mix((total[j] - total[i]) * back + (j - i).astype(U64)).view(np.int64))
+    for seed, base in zip(SEEDS, RUN_BASES, strict=True):
+        digests.append(mix(run_hashes(mix(h ^ U64(seed)), i, j, base) + (j - i).astype(U64) * U64(seed | 1)).view(np.int64))
     return row, start - o[row], end - o[row], *digests
 
 
