@@ -1,23 +1,22 @@
 """MinHash near-dedup with bottom-k sketches of one hash function.
 
 A document's set holds its distinct shingles; the sketch keeps the k smallest hashes (the whole set if that is smaller).
-Two sets of Jaccard similarity s share about s*k values of the union's k smallest, and all of those are in both sketches.
-So a required overlap T is fixed five standard deviations below threshold*k where the union holds more than k values. A
-smaller union is known whole, and the pair shares threshold*union exactly or more, which may be less than that T; a set of at
-most k values takes the smaller of the bounds that its unions may have. A pair with that overlap meets in the inverted list
-of one of the (size - T + 1) rarest retained values of either side.
-At the rarest value that they share, what follows it in either sketch bounds the overlap; pairs are generated only where
-that bound still reaches what they need. Rarity is read from a fixed-size counter table over all retained values; any
-counts give right results, good ones short lists.
-
-A signature of one bit for each of 128 ranges of hash values (the lowest bit of the least value in the range) is kept with
-every posting; similar sets differ in a tenth of the bits at most on average, and only pairs within seven deviations of that
-leave the join of the lists.
-
-Within an inverted list the members are first compared with one pivot, the member with the fewest rarer values, which is
-the original of a family of edited copies if it is there. Where a list still spans several components, the remaining
-pairs between different components are compared. Union sketches filter the candidates, and full sets confirm every link.
-Copies (equal sets) are one class from the start.
+Copies (equal sets) are one class from the start, and all that follows works on classes.
+
+Of two sets of n and m shingles that are similar, c = threshold / (1 + threshold) * (n + m) values or more are common, and
+those below both sketches' largest values are in both sketches. A set of at most k values is its own sketch, so all c count;
+of a larger one the k smallest hold k * c / n of them on average, and the bound is put five standard deviations below that.
+The smaller of the two sides' bounds is the overlap that the sketches must have.
+
+Retained values are counted over all classes, exactly, and ordered by that count, rarest first. A pair with the required
+overlap meets in the inverted list of one of the (size - overlap + 1) rarest values of either side, and what follows a value in
+either sketch bounds the overlap of pairs that meet there. Values that only one class holds come first and are in no list, so
+a class with many of its own words has few places left, and lists stay short.
+
+Lists are first compared with one pivot, the member with the fewest rarer values, which is the original of a family of edited
+copies if it is there. Each class confirms the pair that most lists name; pairs that then still stand between two components
+are confirmed next. Lists that still span several components yield their remaining pairs once each: a pair that has met in one
+of the NEAR preceding values of both is left to that list. Union sketches filter the candidates, and full sets confirm links.
 """
 
 from __future__ import annotations
@@ -30,20 +29,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from weftline.llm.common import components, drop_scratch, scratch
-from weftline.llm.kernels import flat, list_array, ragged, shingle_sets, slices
+from weftline.llm.common import components, drop_scratch, partitions, scratch
+from weftline.llm.kernels import flat, list_array, ragged, ranges, shingle_sets, slices
 
-COUNTERS = 1 << 18
-MARKS = 1 << 22
-_PLACE = 1 << 20
+K = 256
+#: Preceding values of a posting by which a pair is known to have met before.
+NEAR = 8
+#: Bits of the table that picks the documents whose sets are made again, at most (16 MB); others are left out by a join.
+MARKS = 1 << 27
 
 
-def _sets(width: int):
+def _sets(width: int, text: str = "text"):
     def each(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-        at = batch.schema.get_field_index("text")
-        for part in slices(batch, "text"):
+        at = batch.schema.get_field_index(text)
+        for part in slices(batch, text):
             b, o = flat(part.column(at))
             yield part, list(shingle_sets(b, o, width))
 
@@ -54,80 +54,107 @@ def _ids(sets: list[np.ndarray]) -> pa.Array:
     return pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
 
 
-def _counters(docs: DataFrame, width: int, k: int) -> np.ndarray:
-    """How many sketches hold a value of each residue: COUNTERS numbers, whatever the corpus."""
+def least_overlap(k: int, threshold: float) -> int:
+    """Values of a similar set's share at the threshold among k of a larger one, five deviations down."""
+    return max(1, math.floor(threshold * k - 5 * math.sqrt(k * threshold * (1 - threshold))))
+
+
+def required(n: np.ndarray, k: int, threshold: float) -> np.ndarray:
+    """Overlap that the sketches of a similar pair have, given the size of either set."""
+    whole, t = np.ceil(threshold * n - 1e-9), least_overlap(k, threshold)
+    return np.where(n <= threshold * k, whole, np.where(n <= k, np.minimum(whole, t), t)).astype(np.int64)
+
+
+def _wanted(n: Column, m: Column, k: int, percent: int) -> Column:
+    """Overlap that the sketches of a similar pair have, given both sizes."""
+    common = F.floor((percent * (n + m) + 99 + percent) / (100 + percent))
+
+    def side(size: Column) -> Column:
+        q = F.least(F.lit(1.0), common / size)
+        return F.when(size <= k, common).otherwise(F.floor(k * q - 5 * F.sqrt(k * q * (1 - q))))
+
+    return F.greatest(F.lit(1), F.least(side(n), side(m)))
+
+
+def _may_link(k: int, percent: int) -> Column:
+    """Whether two postings (n, p of one, m, q of the other) of one value may be the rarest shared one of a link."""
+    n, m, p, q = F.col("n"), F.col("m"), F.col("p"), F.col("q")
+    room = F.least(F.least(n, F.lit(k)) - p, F.least(m, F.lit(k)) - q)
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (room >= _wanted(n, m, k, percent))
+
+
+def _base(docs: DataFrame, width: int, k: int) -> DataFrame:
+    """doc_id, n, cid (class of equal sets; null for an empty one), sketch (k smallest hashes, ascending)."""
     sets = _sets(width)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for _, found in sets(batch):
+            for part, found in sets(batch):
+                n = np.array([len(s) for s in found], np.int64)
                 v = np.concatenate([s[:k] for s in found])
-                total += np.bincount((v % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "c"])
-
-    got = docs.select("text").mapInArrow(run, "at int, c long").groupBy("at").agg(F.sum("c").alias("c")).toArrow()
-    out = np.zeros(COUNTERS, np.int64)
-    out[got["at"].to_numpy()] = got["c"].to_numpy()
-    return out
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), _ids(found), list_array(ragged(np.minimum(n, k)), pa.array(v.view(np.int64)))], names=["doc_id", "n", "cid", "sketch"])
 
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, cid binary, sketch array<long>")
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Two words of 64 bits for each ascending set."""
-    out = np.zeros((len(sets), 2), np.uint64)
-    v = np.concatenate([*sets, np.zeros(0, np.uint64)])
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    part = (v >> np.uint64(57)).astype(np.int64)
-    first = np.ones(len(v), bool)
-    first[1:] = (part[1:] != part[:-1]) | (row[1:] != row[:-1])
-    first &= (v & np.uint64(1)).astype(bool)
-    np.bitwise_or.at(out, (row[first], part[first] // 64), np.uint64(1) << (part[first] % 64).astype(np.uint64))
-    return out.view(np.int64)
 
+def _postings(classes: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """value, id, n, p (values before it in the class's order), prev (the last NEAR of those that others hold): the rarest retained values of each class. Also the scratch table of counts."""
+    held = classes.select("id", F.col("n").cast("int").alias("n"), F.explode("sketch").alias("value"))
+    counts = scratch(held.groupBy("value").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    known = held.join(counts, "value").select("id", "n", "c", "value").repartition(partitions(classes.sparkSession), "id").sortWithinPartitions("id", "c", "value")
 
-def most_differing(threshold: float) -> int:
-    """Bits of 128 in which signatures of that similarity differ, seven deviations up: 36 for 0.8, exceeded with a chance of 2e-9."""
-    q = (1 - threshold) / 2
-    return min(128, math.floor(128 * q + 7 * math.sqrt(128 * q * (1 - q))))
-
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """The rows in runs of whole classes."""
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            ids = rows["id"].to_numpy()
+            cut = int(np.searchsorted(ids, ids[-1])) if len(ids) else 0
+            rest = rows.slice(cut)
+            if cut:
+                yield rows.slice(0, cut)
+        if rest is not None and rest.num_rows:
+            yield rest
 
-def least_overlap(k: int, threshold: float) -> int:
-    """Overlap that sketches of k values have at that similarity, five deviations down."""
-    return max(1, math.floor(threshold * k - 5 * math.sqrt(k * threshold * (1 - threshold))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole(batches):
+            ids, n, value = rows["id"].to_numpy(), rows["n"].to_numpy().astype(np.int64), rows["value"].to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            count = np.diff(np.append(starts, len(ids)))
+            size = np.minimum(n[starts], k)
+            own = size - count  # values that no other class holds
+            take = np.clip(size - required(n[starts], k, percent / 100) + 1 - own, 0, count)
+            at, place = ranges(starts, take), ranges(np.zeros(len(take), np.int64), take)
+            before = np.minimum(place, NEAR)
+            prev = list_array(ragged(before), pa.array(value[ranges(at - before, before)]))
+            yield pa.RecordBatch.from_arrays([pa.array(value[at]), pa.array(ids[at]), pa.array(n[at]), pa.array(place + np.repeat(own, take)), prev], names=["value", "id", "n", "p", "prev"])
 
+    return known.mapInArrow(run, "value long, id long, n long, p long, prev array<long>"), counts
 
-def required(n: np.ndarray, k: int, threshold: float) -> np.ndarray:
-    """Overlap that the sketches of a similar pair have, given the size of either set."""
-    whole, t = np.ceil(threshold * n - 1e-9), least_overlap(k, threshold)
-    return np.where(n <= threshold * k, whole, np.where(n <= k, np.minimum(whole, t), t)).astype(np.int64)
 
+def _full(docs: DataFrame, need: DataFrame, width: int) -> DataFrame:
+    """id, full (the set's hashes, ascending), bits (16 bits of each) for need (id, cid, rep: a doc_id of that class).
 
-def _base(docs: DataFrame, width: int, k: int, threshold: float, counters: np.ndarray) -> DataFrame:
-    """doc_id, n, cid (class of equal sets; null for an empty one), prefix (rarest retained values, rarest first), bits (the set's hashes, 16 bits each, ascending), s0, s1 (signature)."""
-    shared = docs.sparkSession.sparkContext.broadcast(counters.astype(np.int32))
+    Sets are made again where the texts are read, for the documents that a bit table does not rule out.
+    """
+    spark = docs.sparkSession
+    size = min(MARKS, 1 << max(16, (16 * need.count()).bit_length()))
+    mark = lambda c: F.pmod(F.xxhash64(c), F.lit(size)).cast("int")
+    words = need.select(mark("rep").alias("m")).groupBy(F.expr("m div 32").cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, m % 32))").alias("bits")).toArrow()
+    table = np.zeros(size // 32, np.uint32)
+    table[words["w"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    shared = spark.sparkContext.broadcast(table)
     sets = _sets(width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = shared.value
         for batch in batches:
-            for part, found in sets(batch):
-                n = np.array([len(s) for s in found], np.int64)
-                size = np.minimum(n, k)
-                v = np.concatenate([s[:k] for s in found])
-                row = np.repeat(np.arange(len(n)), size)
-                order = np.lexsort((v, count[(v % np.uint64(COUNTERS)).astype(np.int64)], row))
-                place = np.arange(len(v)) - np.repeat(ragged(size)[:-1], size)
-                many = np.where(n > 0, size - required(n, k, threshold) + 1, 0)
-                take = order[place < np.repeat(many, size)]
-                bits = [(s >> np.uint64(48)).astype("<u2").tobytes() for s in found]
-                sign = signatures(found)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n), _ids(found), list_array(ragged(many), pa.array(v[take].view(np.int64))), pa.array(bits, pa.binary()), pa.array(sign[:, 0].copy()), pa.array(sign[:, 1].copy())],
-                    names=["doc_id", "n", "cid", "prefix", "bits", "s0", "s1"],
-                )
+            m = batch.column(0).to_numpy()
+            for _, found in sets(batch.filter(pa.array((shared.value[m // 32] >> (m % 32).astype(np.uint32) & 1).astype(bool)))):
+                yield pa.RecordBatch.from_arrays([_ids(found), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([(s >> np.uint64(48)).astype("<u2").tobytes() for s in found], pa.binary())], names=["cid", "full", "bits"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, cid binary, prefix array<long>, bits binary, s0 long, s1 long")
+    again = docs.select(mark("doc_id").alias("m"), "text").mapInArrow(run, "cid binary, full binary, bits binary")
+    return again.join(need.select("cid", "id"), "cid").dropDuplicates(["id"]).select("id", "full", "bits")
 
 
 def estimate(x: np.ndarray, y: np.ndarray, k: int) -> tuple[float, int]:
@@ -140,13 +167,11 @@ def estimate(x: np.ndarray, y: np.ndarray, k: int) -> tuple[float, int]:
     return float((z[twice] <= union[size - 1]).sum()) / size, size
 
 
-def _likely(pairs: DataFrame, bits: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs that pass the union sketch (five deviations of slack), then the similarity of the 16-bit sets, which is never below the true one."""
+def _links(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar: first those that pass the union sketch (five deviations of slack) and the 16-bit sets, whose similarity is never below the true one, then those whose full sets are."""
     threshold = percent / 100
-    a = bits.select(F.col("cid").alias("a"), F.col("bits").alias("ba"))
-    b = bits.select(F.col("cid").alias("b"), F.col("bits").alias("bb"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for p, q in zip(batch.column(2), batch.column(3), strict=True):
@@ -162,28 +187,7 @@ def _likely(pairs: DataFrame, bits: DataFrame, k: int, percent: int) -> DataFram
                 keep.append(100 * same >= percent * (len(x) + len(y) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ba", "bb").mapInArrow(run, "a binary, b binary")
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs with 100 * intersection >= percent * union of the full sets; reps: cid, rep (a doc_id of that class). Also the scratch table of sets.
-
-    Sets are made again where the texts are read, for the documents that a bit table of MARKS bits does not rule out.
-    """
-    need = reps.join(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi")
-    mark = F.pmod(F.xxhash64("rep"), F.lit(MARKS)).cast("int")
-    table = np.zeros(MARKS, bool)
-    table[need.select(mark.alias("m")).distinct().toArrow()["m"].to_numpy()] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
-    sets = _sets(width)
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = np.unpackbits(shared.value).view(bool)
-        for batch in batches:
-            for _, found in sets(batch.filter(pa.array(marked[batch.column(0).to_numpy()]))):
-                yield pa.RecordBatch.from_arrays([_ids(found), pa.array([s.tobytes() for s in found], pa.binary())], names=["cid", "full"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -192,25 +196,26 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, p
                 keep.append(100 * same >= percent * (len(z) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    again = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)).cast("int").alias("m"), "text").mapInArrow(full, "cid binary, full binary")
-    whole = scratch(again.join(need.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "sets")
-    x = whole.select(F.col("cid").alias("a"), F.col("full").alias("fa"))
-    y = whole.select(F.col("cid").alias("b"), F.col("full").alias("fb"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "fa", "fb").mapInArrow(run, "a binary, b binary"), whole
+    def both(pairs: DataFrame, what: str) -> DataFrame:
+        x = sets.select(F.col("id").alias("a"), F.col(what).alias("x"))
+        y = sets.select(F.col("id").alias("b"), F.col(what).alias("y"))
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
 
+    few = scratch(both(pairs.select("a", "b"), "bits").mapInArrow(likely, "a long, b long"), "likely")
+    out = scratch(both(few, "full").mapInArrow(exact, "a long, b long"), "links")
+    drop_scratch(pairs.sparkSession, few)
+    return out
 
-def _may_link(k: int, percent: int) -> Column:
-    """Whether two postings (n, p of one, m, q of the other) of one value may be the rarest shared one of a link."""
-    n, m, p, q = F.col("n"), F.col("m"), F.col("p"), F.col("q")
-    differ = F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("t1")))
-    both = F.expr(f"({percent} * (n + m) + {99 + percent}) div {100 + percent}")
-    wanted = F.when((n <= k) & (m <= k), both).otherwise(F.lit(least_overlap(k, percent / 100)))
-    room = F.least(F.least(n, F.lit(k)) - p, F.least(m, F.lit(k)) - q)
-    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (room >= wanted) & (differ <= most_differing(percent / 100))
+
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    a = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
+    b = comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def near_dups(docs: DataFrame, *, width: int = 5, percent: int = 80, k: int = 512) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; one row for each row of `docs` (columns doc_id and text; others are ignored).
+def near_dups(docs: DataFrame, *, width: int = 5, percent: int = 80, k: int = K) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept; one row for each row of `docs` (columns doc_id, of any type that can be ordered, and text; others are ignored).
 
     Links hold where 100 * intersection >= percent * union; component_id is the smallest doc_id reachable over links.
     Null or empty texts, and texts of separators only, have an empty set and are linked with nothing. A text of fewer than
@@ -219,44 +224,49 @@ def near_dups(docs: DataFrame, *, width: int = 5, percent: int = 80, k: int = 51
     """
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
-    base = scratch(_base(docs, width, k, percent / 100, _counters(docs, width, k)), "sketches")
-    post = base.where("cid IS NOT NULL").select("cid", "n", F.posexplode("prefix").alias("p", "value")).select("value", "cid", (F.col("n") * _PLACE + F.col("p")).alias("np"))
-    short = post.select("value", F.xxhash64("cid").alias("h"))
-    lists = short.groupBy("value").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("value")
-    found = scratch(post.join(lists, "value", "left_semi").distinct(), "postings")
-    post = found.select("value", "cid", F.expr(f"np div {_PLACE}").alias("n"), (F.col("np") % _PLACE).alias("p"))
-    bits = base.where("cid IS NOT NULL").join(post.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(*[F.min(c).alias(c) for c in ("bits", "s0", "s1")])
-    bits = scratch(bits, "bits")
-    rows, whole = scratch(base.select("doc_id", "n", "cid"), "rows"), base
-    reps = scratch(rows.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep")), "classes")
-    first, post = found, scratch(post.join(bits.select("cid", "s0", "s1"), "cid"), "postings")
-    drop_scratch(spark, whole, first)
-    edges = spark.createDataFrame([], T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())]))
-    comps = None
-    for pivots in (True, False):
-        if comps is None:
-            open_ = post.withColumn("comp", F.col("cid"))
-        else:
-            open_ = post.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-            mixed = open_.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value")
-            open_ = scratch(open_.join(mixed, "value", "left_semi"), "open")
-        if pivots:
-            central = F.min(F.struct((F.col("p") / F.least("n", F.lit(k))).alias("r"), F.xxhash64("cid").alias("h"), F.col("cid").alias("a"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("s0").alias("t0"), F.col("s1").alias("t1")))
-            other = scratch(open_.groupBy("value").agg(central.alias("c")).select("value", "c.a", "c.m", "c.q", "c.t0", "c.t1"), "pivots")
-            pairs = open_.join(other, "value").where((F.col("a") != F.col("cid")) & _may_link(k, percent))
-        else:
-            other = open_.select("value", F.col("cid").alias("a"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("s0").alias("t0"), F.col("s1").alias("t1"), F.col("comp").alias("ca"))
-            pairs = open_.join(other, (open_.value == other.value) & (F.col("ca") < F.col("comp")) & _may_link(k, percent))
-        pairs = pairs.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct()
-        likely = scratch(_likely(pairs, bits, k, percent), "likely")
-        confirmed, full = _confirmed(likely, docs, reps, width, percent)
-        found = scratch(confirmed, "links")
-        drop_scratch(spark, likely, full, *([other] if pivots else [open_]))
-        edges = edges.union(found)
-        if comps is None or not found.isEmpty():
-            comps = components(edges)
-    named = reps.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    ids = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    base = scratch(_base(docs, width, k), "sketches")
+    rows = scratch(base.select("doc_id", "n", "cid"), "rows")
+    equal = base.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = scratch(equal.withColumn("id", F.monotonically_increasing_id()), "classes")
+    reps = scratch(classes.select("id", "cid", "rep"), "reps")
+    drop_scratch(spark, base)
+    post, counts = _postings(classes, k, percent)
+    single = scratch(post, "postings")
+    drop_scratch(spark, classes, counts)
+    lists = single.groupBy("value").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("value")
+    post = scratch(single.join(lists, "value", "left_semi"), "lists")
+    drop_scratch(spark, single)
+    sets = scratch(_full(docs, scratch(reps.join(post.select("id").distinct(), "id", "left_semi"), "need"), width), "sets")
+
+    centre = F.min(F.struct((F.col("p") / F.least("n", F.lit(k))).alias("r"), F.xxhash64("id").alias("h"), F.col("id").alias("a"), F.col("n").alias("m"), F.col("p").alias("q")))
+    pivots = scratch(post.groupBy("value").agg(centre.alias("c")).select("value", "c.a", "c.m", "c.q"), "pivots")
+    met = post.join(pivots, "value").where((F.col("a") != F.col("id")) & _may_link(k, percent)).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
+    met = scratch(met.groupBy("a", "b").agg(F.count("*").alias("c")), "met")
+    ends = met.select(F.col("a").alias("node"), "c", "a", "b").union(met.select(F.col("b").alias("node"), "c", "a", "b"))
+    best = scratch(ends.groupBy("node").agg(F.max(F.struct("c", "a", "b")).alias("x")).select("x.a", "x.b").distinct(), "best")
+    links = _links(best, sets, k, percent)
+    comps = components(links)
+    found = _links(_apart(met.join(best, ["a", "b"], "left_anti"), comps), sets, k, percent)
+    links = links.union(found)
+    if not found.isEmpty():
+        comps = components(links)
+
+    placed = post.join(comps.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    placed = scratch(placed, "placed")
+    mixed = placed.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value")
+    open_ = scratch(placed.join(mixed, "value", "left_semi"), "open")
+    other = open_.select("value", F.col("id").alias("a"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("comp").alias("ca"), F.col("prev").alias("before"))
+    pairs = open_.join(other, (open_.value == other.value) & (F.col("ca") < F.col("comp")) & _may_link(k, percent) & ~F.arrays_overlap("prev", "before"))
+    pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
+    pairs = scratch(pairs, "pairs")
+    drop_scratch(spark, placed, post, pivots, open_)
+    found = _links(pairs, sets, k, percent)
+    if not found.isEmpty():
+        comps = components(links.union(found))
+    drop_scratch(spark, sets, met, best, pairs)
+
+    named = scratch(reps.join(comps.withColumnRenamed("node", "id"), "id", "left").select("cid", "rep", F.coalesce("comp", "id").alias("comp")), "named")
+    ids = scratch(named.groupBy("comp").agg(F.min("rep").alias("component_id")), "ids")
     by_class = named.join(ids, "comp").select("cid", "component_id")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(by_class, "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
