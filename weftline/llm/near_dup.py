@@ -35,7 +35,8 @@ from weftline.llm.kernels import flat, list_array, ragged, ranges, shingle_sets,
 
 K = 256
 #: Preceding values of a posting by which a pair is known to have met before.
-NEAR = 8
+NEAR = 6
+SIGNS = 1024
 #: Bits of the table that picks the documents whose sets are made again, at most (16 MB); others are left out by a join.
 MARKS = 1 << 27
 
@@ -134,7 +135,7 @@ def _postings(classes: DataFrame, k: int, percent: int) -> tuple[DataFrame, Data
 
 
 def _full(docs: DataFrame, need: DataFrame, width: int) -> DataFrame:
-    """id, full (the set's hashes, ascending), bits (16 bits of each) for need (id, cid, rep: a doc_id of that class).
+    """id, full (the set's hashes, ascending), bits (16 bits of each), sign for need (id, cid, rep: a doc_id of that class).
 
     Sets are made again where the texts are read, for the documents that a bit table does not rule out.
     """
@@ -151,10 +152,29 @@ def _full(docs: DataFrame, need: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             m = batch.column(0).to_numpy()
             for _, found in sets(batch.filter(pa.array((shared.value[m // 32] >> (m % 32).astype(np.uint32) & 1).astype(bool)))):
-                yield pa.RecordBatch.from_arrays([_ids(found), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([(s >> np.uint64(48)).astype("<u2").tobytes() for s in found], pa.binary())], names=["cid", "full", "bits"])
+                yield pa.RecordBatch.from_arrays([_ids(found), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([(s >> np.uint64(48)).astype("<u2").tobytes() for s in found], pa.binary()), pa.array([s.tobytes() for s in signatures(found)], pa.binary())], names=["cid", "full", "bits", "sign"])
 
-    again = docs.select(mark("doc_id").alias("m"), "text").mapInArrow(run, "cid binary, full binary, bits binary")
-    return again.join(need.select("cid", "id"), "cid").dropDuplicates(["id"]).select("id", "full", "bits")
+    again = docs.select(mark("doc_id").alias("m"), "text").mapInArrow(run, "cid binary, full binary, bits binary, sign binary")
+    return again.join(need.select("cid", "id"), "cid").dropDuplicates(["id"]).select("id", "full", "bits", "sign")
+
+
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """SIGNS bits, packed, for each ascending set."""
+    out = np.zeros((len(sets), SIGNS), bool)
+    v = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    part = (v >> np.uint64(64 - SIGNS.bit_length() + 1)).astype(np.int64)
+    first = np.ones(len(v), bool)
+    first[1:] = (part[1:] != part[:-1]) | (row[1:] != row[:-1])
+    first &= (v & np.uint64(1)).astype(bool)
+    out[row[first], part[first]] = True
+    return np.packbits(out, axis=1)
+
+
+def most_differing(threshold: float) -> int:
+    """Bits in which signatures of that similarity differ, six deviations up (a chance of 1e-9): 160 for 0.8. A differing value changes one bit at most, so unions of up to 800 values are safe at 0.8."""
+    q = (1 - threshold) / 2
+    return min(SIGNS, math.floor(SIGNS * q + 6 * math.sqrt(SIGNS * q * (1 - q))))
 
 
 def estimate(x: np.ndarray, y: np.ndarray, k: int) -> tuple[float, int]:
@@ -168,9 +188,15 @@ def estimate(x: np.ndarray, y: np.ndarray, k: int) -> tuple[float, int]:
 
 
 def _links(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar: first those that pass the union sketch (five deviations of slack) and the 16-bit sets, whose similarity is never below the true one, then those whose full sets are."""
+    """The pairs (a, b) that are similar: first those whose signatures are close, then those that pass the union sketch (five deviations of slack) and the 16-bit sets, whose similarity is never below the true one, then those whose full sets are."""
     threshold = percent / 100
 
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, SIGNS // 8) for c in batch.columns[2:])
+            differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(differ <= most_differing(threshold)))
+
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -201,9 +227,10 @@ def _links(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame
         y = sets.select(F.col("id").alias("b"), F.col(what).alias("y"))
         return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
 
-    few = scratch(both(pairs.select("a", "b"), "bits").mapInArrow(likely, "a long, b long"), "likely")
+    near = scratch(both(pairs.select("a", "b"), "sign").mapInArrow(close, "a long, b long"), "close")
+    few = scratch(both(near, "bits").mapInArrow(likely, "a long, b long"), "likely")
     out = scratch(both(few, "full").mapInArrow(exact, "a long, b long"), "links")
-    drop_scratch(pairs.sparkSession, few)
+    drop_scratch(pairs.sparkSession, near, few)
     return out
 
 
@@ -231,12 +258,12 @@ def near_dups(docs: DataFrame, *, width: int = 5, percent: int = 80, k: int = K)
     reps = scratch(classes.select("id", "cid", "rep"), "reps")
     drop_scratch(spark, base)
     post, counts = _postings(classes, k, percent)
-    single = scratch(post, "postings")
+    post = scratch(post, "postings")
     drop_scratch(spark, classes, counts)
-    lists = single.groupBy("value").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("value")
-    post = scratch(single.join(lists, "value", "left_semi"), "lists")
-    drop_scratch(spark, single)
-    sets = scratch(_full(docs, scratch(reps.join(post.select("id").distinct(), "id", "left_semi"), "need"), width), "sets")
+    held = post.select("value", "id")
+    lists = held.groupBy("value").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("value")
+    need = scratch(reps.join(held.join(lists, "value", "left_semi").select("id").distinct(), "id", "left_semi"), "need")
+    sets = scratch(_full(docs, need, width), "sets")
 
     centre = F.min(F.struct((F.col("p") / F.least("n", F.lit(k))).alias("r"), F.xxhash64("id").alias("h"), F.col("id").alias("a"), F.col("n").alias("m"), F.col("p").alias("q")))
     pivots = scratch(post.groupBy("value").agg(centre.alias("c")).select("value", "c.a", "c.m", "c.q"), "pivots")
@@ -251,15 +278,14 @@ def near_dups(docs: DataFrame, *, width: int = 5, percent: int = 80, k: int = K)
     if not found.isEmpty():
         comps = components(links)
 
-    placed = post.join(comps.select(F.col("node").alias("id"), "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    placed = scratch(placed, "placed")
-    mixed = placed.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value")
-    open_ = scratch(placed.join(mixed, "value", "left_semi"), "open")
+    labels = comps.select(F.col("node").alias("id"), "comp")
+    mixed = held.join(labels, "id", "left").select("value", F.coalesce("comp", "id").alias("comp")).groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value")
+    open_ = scratch(post.join(mixed, "value", "left_semi").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "open")
     other = open_.select("value", F.col("id").alias("a"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("comp").alias("ca"), F.col("prev").alias("before"))
     pairs = open_.join(other, (open_.value == other.value) & (F.col("ca") < F.col("comp")) & _may_link(k, percent) & ~F.arrays_overlap("prev", "before"))
     pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
     pairs = scratch(pairs, "pairs")
-    drop_scratch(spark, placed, post, pivots, open_)
+    drop_scratch(spark, post, pivots, open_)
     found = _links(pairs, sets, k, percent)
     if not found.isEmpty():
         comps = components(links.union(found))
