@@ -8,8 +8,9 @@ piece encoded once, and the ids put together again. Which places these are depen
 * files that drop white space (a lower-casing normaliser, words with end marks): at every space or line feed.
 
 Texts with any other white space, or with two white space characters in a row, are encoded whole. Pieces of a batch are
-counted by Arrow; a bounded cache keeps pieces from batch to batch. Texts longer than `slices` allows are batches of
-their own; no text is cut short.
+counted by Arrow; a bounded cache keeps pieces from batch to batch. New pieces are encoded many in a row with a separator
+that is a token of its own there (a line feed, or a control character between spaces), for a call of the library costs far
+more than a short word. Texts longer than `slices` allows are batches of their own; no text is cut short.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from weftline.llm.kernels import ragged, ranges
 END = 2
 CACHE = 600_000
 PART_TEXTS, PART_CHARS = 4096, 200_000
+ROW = 1000
 #: Anything but single spaces and line feeds between other characters; \s of the pre-tokenizers is Unicode white space.
 ODD = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$"
 
@@ -40,6 +42,12 @@ class WordCache:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaced = self.tokenizer.normalizer is None  # a leading space belongs to the word
         self.most = most
+        self.between = "\n" if self.spaced else " \x01 "
+        mark = self.tokenizer.encode(self.between, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint16)
         self.at = np.zeros(1, np.int64)
@@ -59,15 +67,34 @@ class WordCache:
             at = to
         return np.concatenate(ids), n
 
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces, ROW of them in one text; rows that do not come apart into as many are encoded singly."""
+        if self.mark is None or (self.spaced and "\n" in words):
+            return self._encode(words)
+        rows = [words[k : k + ROW] for k in range(0, len(words), ROW)]
+        ids, n = self._encode([self.between.join(r) for r in rows])
+        at, ends, out, sizes = ragged(n), ids == self.mark, [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
+        for k, row in enumerate(rows):
+            own, cut = ids[at[k] : at[k + 1]], ends[at[k] : at[k + 1]]
+            size = np.diff(np.concatenate([[-1], np.flatnonzero(cut), [len(own)]])) - 1
+            own = own[~cut]
+            if len(size) != len(row):
+                own, size = self._encode(row)
+            out.append(own)
+            sizes.append(size)
+        return np.concatenate(out), np.concatenate(sizes)
+
     def _pieces(self, words: list[str]) -> np.ndarray:
         """Places of the words in the cache, which takes up those it lacks."""
         if len(self.known) > self.most:
-            self.known, self.ids, self.at = {}, np.zeros(0, np.uint16), np.zeros(1, np.int64)
+            self._forget()
         known = self.known
         new = [w for w in words if w not in known]
-        if new:
-            ids, n = self._encode(new)
-            known.update(zip(new, range(len(self.at) - 1, len(self.at) - 1 + len(new)), strict=True))
+        for some, encode in (([w for w in new if w != "\n"], self._encode_words), ([w for w in new if w == "\n"], self._encode)):
+            if not some:
+                continue
+            ids, n = encode(some)
+            known.update(zip(some, range(len(self.at) - 1, len(self.at) - 1 + len(some)), strict=True))
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(n)])
             self.ids = np.concatenate([self.ids, ids])
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
