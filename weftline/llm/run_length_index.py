@@ -6,10 +6,15 @@ stretch of text around one fingerprint occurrence that its strings span, and equ
 segments. Equal segments are aggregated first (their strings are repeated by that alone); fingerprints that occur once drop out.
 
 The different segments of the other fingerprints are indexed in blocks of bounded size: suffixes are sorted, the
-Burrows-Wheeler transform is kept as runs, and text places are sampled at the run ends. Longest matches inside a run
-follow from those at its ends, so streaming over the text from the sampled ends yields the matching statistics of every
-place, and places of `least` or more are marked. A fingerprint with more than MOST bytes of different segments is not
-indexed: its strings are counted one by one by digest, which splits any such group.
+Burrows-Wheeler transform is kept as runs, and text places are sampled at the run ends, with the length of the match across
+each border of runs. Longest matches inside a run follow from those at its ends, so streaming over the text from the sampled
+ends yields the matching statistics of every place, and places of `least` or more are marked. Besides the text the index
+holds a few numbers for each run; suffix ranks are dropped once it is built.
+
+A fingerprint whose different segments exceed an index (MOST bytes) is dealt again by more of its strings: starts are cut
+into steps of STEP by their distance from the fingerprint, and pieces meet by the digest of what all strings of a step have
+in common. Equal pieces are aggregated, others indexed as before; a common part that is too large even so (its pieces
+differ in fewer than STEP bytes on either side alone) has its strings digested one by one, which splits any such group.
 """
 
 from __future__ import annotations
@@ -22,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import partitions, scratch
-from weftline.llm.kernels import BASE_INV, U64, flat, mix, powers, prefix_hash, slices
+from weftline.llm.common import drop_scratch, partitions, scratch
+from weftline.llm.kernels import BASE_INV, U64, flat, mix, powers, prefix_hash, ragged, slices
 
 LEAST, GRAM = 400, 64
-BLOCK = 1 << 20
+BLOCK, STEP = 1 << 20, 16
 #: The different segments of one fingerprint that an index takes, in bytes and end marks; an index ends at 2**21.
 MOST = 1_900_000
 _IX = 21
@@ -34,11 +39,11 @@ _POS = 28
 
 
 def owners(b: np.ndarray, o: np.ndarray, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Runs of string starts with one fingerprint: its place, the first and the last start (in b), the fingerprint, the prefix hashes of b."""
+    """Runs of string starts with one fingerprint: its place, the first and the last start (in b), the fingerprint."""
     n, w = len(b), least - gram + 1
     if n < least:
         z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, U64), np.zeros(1, U64)
+        return z, z, z, np.zeros(0, U64)
     p = prefix_hash(b)
     g = mix((p[gram:] - p[:-gram]) * powers(BASE_INV, n)[: n - gram + 1])
     m = len(g)
@@ -63,7 +68,7 @@ def owners(b: np.ndarray, o: np.ndarray, least: int = LEAST, gram: int = GRAM) -
     last = np.append(first[1:], len(low)) - 1
     use = inside[first]
     first, last = first[use], last[use]
-    return place[first], first, last, g[place[first]], p
+    return place[first], first, last, g[place[first]]
 
 
 class RunLengthIndex:
@@ -100,7 +105,6 @@ class RunLengthIndex:
             at_e = at_e[at_e >= 0]
             key[at_e] = key[at_e] >> U64(8 * (width - e)) << U64(8 * (width - e))
         key[ends] = 0
-        self.levels: list[tuple[int, np.ndarray]] = []
         rank, order, h = None, None, width
         mask = U64((1 << _IX) - 1)
         index = np.arange(n, dtype=U64)
@@ -115,7 +119,6 @@ class RunLengthIndex:
                 new[1:] |= cut[order[:-1]]
             rank = np.empty(n, np.int32)
             rank[order] = np.cumsum(new, dtype=np.int32) - 1
-            self.levels.append((h, rank))
             if new.all():
                 break
             key = rank.astype(U64) << U64(_IX)
@@ -129,54 +132,58 @@ class RunLengthIndex:
         self.run_sizes = np.diff(np.append(heads, n))
         self.first_place = order[heads]
         self.last_place = order[np.append(heads[1:], n) - 1]
+        self.border = self._common(self.first_place[1:], self.last_place[:-1])
 
-    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Length of the longest common prefix of the suffixes at i and j; i and j differ."""
+    def _common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Length of the longest common prefix of the suffixes at i and j, which differ: eight bytes at a time, then the rest. A string's end mark differs from all."""
+        text = np.concatenate([self.text, np.zeros(8, np.uint8)])
+        eight = np.lib.stride_tricks.sliding_window_view(text, 8)
+        ones, high = U64(0x0101010101010101), U64(0x8080808080808080)
         out = np.zeros(len(i), np.int64)
-        for h, rank in reversed(self.levels):
-            a, b = i + out, j + out
-            ok = (a < self.n) & (b < self.n)
-            same = np.zeros(len(i), bool)
-            same[ok] = rank[a[ok]] == rank[b[ok]]
-            out[same] += h
-        a, b = i + out, j + out
-        live = np.flatnonzero((a < self.n) & (b < self.n))
-        while len(live):  # less than the first level's width
-            x, y = self.text[i[live] + out[live]], self.text[j[live] + out[live]]
-            live = live[(x == y) & (x != 0)]
-            out[live] += 1
-            live = live[(i[live] + out[live] < self.n) & (j[live] + out[live] < self.n)]
+        live = np.arange(len(i))
+        while len(live):
+            x = eight[i[live] + out[live]].view("<u8").ravel()
+            y = eight[j[live] + out[live]].view("<u8").ravel()
+            differ = x ^ y
+            ended = (x - ones) & ~x & high  # the lowest set bit is that of the first end mark
+            stop = differ | ended
+            low = stop & (~stop + U64(1))
+            done = stop != 0
+            bit = np.log2(low[done].astype(np.float64)).astype(np.int64)  # a power of two is exact
+            out[live[done]] += bit >> 3
+            live = live[~done]
+            out[live] += 8
         return out
 
     def matching(self) -> np.ndarray:
         """For every place the length of the longest match with another place, streamed over the text from the run ends' samples."""
         i, j = self.first_place[1:], self.last_place[:-1]
-        size = self.common(i, j)
         reach = np.zeros(self.n, np.int64)
-        np.maximum.at(reach, i, i + size)
-        np.maximum.at(reach, j, j + size)
+        reach[i] = i + self.border  # places are different within each list
+        reach[j] = np.maximum(reach[j], j + self.border)
         return np.maximum(np.maximum.accumulate(reach) - np.arange(self.n), 0)
 
 
 def _segments(docs: DataFrame, least: int, gram: int) -> DataFrame:
-    """f, g (digest of the segment), meta (string starts << 32 | place of the fingerprint), doc_id, start."""
+    """f, g (128-bit digest of the segment and meta), meta (string starts << 32 | place of the fingerprint), doc_id, start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 b, o = flat(part.column(1))
-                place, first, last, f, p = owners(b, o, least, gram)
+                place, first, last, f = owners(b, o, least, gram)
                 row = np.searchsorted(o, first, "right") - 1
                 size = last - first + least
                 meta = ((last - first + 1) << 32) | (place - first)
-                g = mix(mix((p[first + size] - p[first]) * powers(BASE_INV, len(b) + 1)[first]) ^ meta.astype(U64))
-                yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(g.view(np.int64)), pa.array(meta), part.column(0).take(pa.array(row)), pa.array(first - o[row])], names=["f", "g", "meta", "doc_id", "start"])
+                data = memoryview(np.ascontiguousarray(b))
+                g = [hashlib.blake2b(data[s : s + k], digest_size=16, salt=m.to_bytes(8, "little")).digest() for s, k, m in zip(first.tolist(), size.tolist(), meta.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(g, pa.binary()), pa.array(meta), part.column(0).take(pa.array(row)), pa.array(first - o[row])], names=["f", "g", "meta", "doc_id", "start"])
 
-    return docs.mapInArrow(run, "f long, g long, meta long, doc_id long, start long")
+    return docs.mapInArrow(run, "f long, g binary, meta long, doc_id long, start long")
 
 
 def _bytes(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """f, g, n (string starts), hot, data: the bytes of the wanted segments (f, g, meta, hot, doc_id, start), cut again from the texts."""
+    """f, g, meta, hot, data: the bytes of the wanted segments (f, g, meta, hot, doc_id, start), cut again from the texts."""
     by_doc = wanted.groupBy(F.col("doc_id").alias("__d")).agg(F.collect_list(F.struct("f", "g", "meta", "hot", "start")).alias("want"))
     rows = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("__d"))).select("text", "want")
 
@@ -189,9 +196,9 @@ def _bytes(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
                 n = meta.to_numpy() >> 32
                 start = start.to_numpy() + np.repeat(o[:-1], np.diff(w))
                 data = [b[s : s + k + least - 1].tobytes() for s, k in zip(start.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([f, g, pa.array(n), hot, pa.array(data, pa.binary())], names=["f", "g", "n", "hot", "data"])
+                yield pa.RecordBatch.from_arrays([f, g, meta, hot, pa.array(data, pa.binary())], names=["f", "g", "meta", "hot", "data"])
 
-    return rows.mapInArrow(run, "f long, g long, n long, hot boolean, data binary")
+    return rows.mapInArrow(run, "f long, g binary, meta long, hot boolean, data binary")
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,58 +208,91 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _indexed(segments: DataFrame, least: int, block: int) -> DataFrame:
-    """f, g, lo, hi: runs of string starts (hi is past the end) that the index finds elsewhere too."""
+    """f, g, lo, hi: runs of string starts (hi is past the end) of the segments (f, g, data; different ones) that the index finds elsewhere too."""
+    kind = segments.schema["f"].dataType.simpleString()
 
-    def found(fs: list[int], gs: list[int], data: list[bytes]) -> pa.RecordBatch:
-        at = np.concatenate([[0], np.cumsum([len(d) for d in data])])
-        index = RunLengthIndex(np.frombuffer(b"".join(data), np.uint8), at)
+    def found(rows: list[tuple], of: pa.DataType) -> pa.RecordBatch:
+        fs, gs, data = zip(*rows, strict=True)
+        index = RunLengthIndex(np.frombuffer(b"".join(data), np.uint8), ragged(np.array([len(d) for d in data])))
         lo, hi = _runs(index.matching() >= least)
         which = np.searchsorted(index.ends, lo)
         base = np.concatenate([[0], index.ends[:-1] + 1])[which]
-        return pa.RecordBatch.from_arrays([pa.array(np.array(fs, np.int64)[which]), pa.array(np.array(gs, np.int64)[which]), pa.array(lo - base), pa.array(hi - base)], names=["f", "g", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([pa.array([fs[k] for k in which], of), pa.array([gs[k] for k in which], pa.binary()), pa.array(lo - base), pa.array(hi - base)], names=["f", "g", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs: list[int] = []
-        gs: list[int] = []
-        data: list[bytes] = []
-        size = whole = 0  # bytes held; of them, those of fingerprints that are complete
-        cut = 0
+        held: list[tuple] = []
+        size = whole = cut = 0  # bytes held; of them, those of fingerprints that are complete, and their segments
         for batch in batches:
-            for f, g, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if fs and f != fs[-1]:
-                    cut, whole = len(fs), size
+            of = batch.column(0).type
+            for row in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if held and row[0] != held[-1][0]:
+                    cut, whole = len(held), size
                     if size >= block // 2:
-                        yield found(fs, gs, data)
-                        fs, gs, data, size, cut, whole = [], [], [], 0, 0, 0
-                fs.append(f)
-                gs.append(g)
-                data.append(d)
-                size += len(d) + 1
+                        yield found(held, of)
+                        held, size, cut, whole = [], 0, 0, 0
+                held.append(row)
+                size += len(row[2]) + 1
                 if size >= 3 * block // 2 and cut:
-                    yield found(fs[:cut], gs[:cut], data[:cut])
-                    fs, gs, data, size, cut, whole = fs[cut:], gs[cut:], data[cut:], size - whole, 0, 0
-        if fs:
-            yield found(fs, gs, data)
+                    yield found(held[:cut], of)
+                    held, size, cut, whole = held[cut:], size - whole, 0, 0
+        if held:
+            yield found(held, of)
 
-    return segments.select("f", "g", "data").repartition(4 * partitions(segments.sparkSession), "f").sortWithinPartitions("f", "g").mapInArrow(run, "f long, g long, lo long, hi long")
+    return segments.select("f", "g", "data").repartition(4 * partitions(segments.sparkSession), "f").sortWithinPartitions("f", "g").mapInArrow(run, f"f {kind}, g binary, lo long, hi long")
+
+
+def _pieces(hot: DataFrame, least: int, step: int) -> DataFrame:
+    """k (digest of what the strings of a step have in common, the step, and f), d (digest of the piece), f, g, lo (first string start in the segment), n (string starts), data."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for f, g, meta, d in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                n, place = meta >> 32, meta & 0xFFFFFFFF
+                rows = []
+                for at in range((place - n + 1) // step, place // step + 1):  # distances from the fingerprint: at * step and on
+                    lo, hi = max(0, place - at * step - step + 1), min(n - 1, place - at * step)
+                    begin = place - at * step
+                    common = d[begin : begin - step + 1 + least]
+                    piece = d[lo : hi + least]
+                    own = at.to_bytes(8, "little", signed=True) + f.to_bytes(8, "little", signed=True)
+                    rows.append((hashlib.blake2b(common + own, digest_size=16).digest(), hashlib.blake2b(piece, digest_size=16, salt=(begin - lo).to_bytes(8, "little")).digest(), f, g, lo, hi - lo + 1, piece))
+                kinds = (pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["k", "d", "f", "g", "lo", "n", "data"])
+
+    return hot.select("f", "g", "meta", "data").mapInArrow(run, "k binary, d binary, f long, g binary, lo long, n long, data binary")
+
+
+def _dealt_again(hot: DataFrame, least: int, block: int, most: int, step: int) -> DataFrame:
+    """f, g, lo, hi for segments (f, g, meta, data) of fingerprints beyond an index."""
+    pieces = scratch(_pieces(hot, least, step), "pieces")
+    kinds = pieces.groupBy("k", "d").agg(F.count("*").alias("c"), F.first("data").alias("data"))
+    kinds = scratch(kinds, "kinds")
+    groups = kinds.groupBy("k").agg(F.count("*").alias("kinds"), F.sum(F.octet_length("data") + 1).alias("size")).where("kinds > 1")
+    mixed = scratch(kinds.join(groups, "k").select(F.col("k").alias("f"), F.col("d").alias("g"), "data", (F.col("size") > most).alias("hot")), "mixed")
+    inside = _indexed(mixed.where("NOT hot"), least, block).unionByName(_counted(mixed.where("hot"), least))
+    inside = scratch(inside.select(F.col("f").alias("k"), F.col("g").alias("d"), F.col("lo").alias("from"), F.col("hi").alias("to")), "inside")
+    places = pieces.select("k", "d", "f", "g", "lo", "n")
+    equal = places.join(kinds.where("c > 1").select("k", "d"), ["k", "d"], "left_semi").select("f", "g", "lo", (F.col("lo") + F.col("n")).alias("hi"))
+    return places.join(inside, ["k", "d"]).select("f", "g", (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to")).alias("hi")).unionByName(equal)
 
 
 def _counted(segments: DataFrame, least: int) -> DataFrame:
-    """The same for fingerprints with too many different segments: every string is digested, and the digests are counted."""
+    """The same as `_indexed`: every string is digested, and the digests are counted."""
+    kind = segments.schema["f"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for f, g, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for f, g, d in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 n = len(d) - least + 1
                 digests = [hashlib.blake2b(d[k : k + least], digest_size=16).digest() for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([f] * n), pa.array([g] * n), pa.array(range(n), pa.int64()), pa.array(digests, pa.binary())], names=["f", "g", "lo", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array([f.as_py()] * n, f.type), pa.array([g] * n, pa.binary()), pa.array(range(n), pa.int64()), pa.array(digests, pa.binary())], names=["f", "g", "lo", "s"])
 
-    rows = scratch(segments.select("f", "g", "data").mapInArrow(run, "f long, g long, lo long, s binary"), "strings")
+    rows = scratch(segments.select("f", "g", "data").mapInArrow(run, f"f {kind}, g binary, lo long, s binary"), "strings")
     many = rows.groupBy("s").count().where("count > 1").select("s")
     return rows.join(many, "s", "left_semi").select("f", "g", "lo", (F.col("lo") + 1).alias("hi"))
 
 
-def dedup(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, block: int = BLOCK, most: int = MOST) -> DataFrame:
+def dedup(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, block: int = BLOCK, most: int = MOST, step: int = STEP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans ("start-end," in bytes), kept_sha256, kept: one row for each row of `docs` (doc_id, text).
 
     kept holds the remaining bytes, which may end inside a character. Each byte covered by a string of `least` bytes that
@@ -262,16 +302,17 @@ def dedup(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, block: int =
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = scratch(_segments(docs, least, gram), "segments")
-    alike = rows.groupBy("f", "g", "meta").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "start")).alias("at"))
-    dealt = alike.repartition(4 * partitions(docs.sparkSession), "f")
+    alike = scratch(rows.groupBy("f", "g").agg(F.first("meta").alias("meta"), F.count("*").alias("c"), F.min(F.struct("doc_id", "start")).alias("at")), "alike")
     size = (F.shiftright("meta", 32) + least).cast("long")
-    by_f = dealt.groupBy(F.col("f").alias("ff")).agg(F.sum("c").alias("total"), F.count("*").alias("kinds"), F.sum(size + 1).alias("size")).where("total > 1")
-    shared = scratch(dealt.join(by_f, F.col("f") == F.col("ff")).select("f", "g", "meta", "c", "at", "kinds", (F.col("size") > most).alias("hot")), "shared")
+    by_f = alike.groupBy("f").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"), F.sum(size + 1).alias("size")).where("total > 1")
+    shared = scratch(alike.join(by_f, "f").select("f", "g", "meta", "c", "at", "kinds", (F.col("size") > most).alias("hot")), "shared")
+    drop_scratch(docs.sparkSession, alike)
     wanted = shared.where("kinds > 1").select("f", "g", "meta", "hot", F.col("at.doc_id").alias("doc_id"), F.col("at.start").alias("start"))
     data = scratch(_bytes(docs, wanted, least).dropDuplicates(["f", "g"]), "bytes")
-    marks = _indexed(data.where("NOT hot"), least, block).unionByName(_counted(data.where("hot"), least))
+    marks = _indexed(data.where("NOT hot"), least, block).unionByName(_dealt_again(data.where("hot"), least, block, most, step))
     whole = shared.where("c > 1").select("f", "g", F.lit(0).cast("long").alias("lo"), F.shiftright("meta", 32).alias("hi"))
     marks = scratch(marks.join(whole.select("f", "g"), ["f", "g"], "left_anti").unionByName(whole), "marks")
+    drop_scratch(docs.sparkSession, data, shared)
     spans = rows.join(marks, ["f", "g"]).select("doc_id", (F.col("start") + F.col("lo")).alias("s"), (F.col("start") + F.col("hi") - 1 + least).alias("e"))
     by_doc = spans.groupBy(F.col("doc_id").alias("__d")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     joined = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("__d")), "left").select("doc_id", "text", "spans")
