@@ -231,9 +231,9 @@ def suffixes_deduped(rows: list[tuple], least: int) -> dict:
 
 @pytest.mark.parametrize(("block", "most"), [(run_length_index.BLOCK, run_length_index.MOST), (3000, 2500), (10, 10)])
 def test_run_length_index_dedup(docs, empty, block, most):
-    """Large blocks, several blocks, and every fingerprint counted string by string."""
+    """Large blocks, several blocks with large fingerprints dealt again, and every string of those counted singly."""
     want = suffixes_deduped([(r["doc_id"], r["text"]) for r in docs.collect()], 60)
-    got = by_id(run_length_index.dedup(docs, least=60, gram=16, block=block, most=most))
+    got = by_id(run_length_index.dedup(docs, least=60, gram=16, block=block, most=most, step=7))
     assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == want
     assert sum(w[1] for w in want.values()) > 1000
     if block == 10:
@@ -258,6 +258,39 @@ def test_run_length_index_matching_statistics():
         assert index.run_sizes.sum() == index.n
 
 
+def test_run_length_index_of_a_hot_passage(spark):
+    """One passage in many different surroundings: its fingerprint is dealt again, and no string is lost or added."""
+    rng = random.Random(21)
+    noise = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    passage = noise(130)
+    rows = [(i, noise(rng.randrange(90)) + passage[rng.randrange(30) : 130 - rng.randrange(30)] + noise(rng.randrange(90))) for i in range(60)]
+    want = suffixes_deduped(rows, 60)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (800, 3000):
+        got = by_id(run_length_index.dedup(frame, least=60, gram=16, block=1000, most=most, step=8))
+        assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == want
+
+
+def thue_morse(n: int, a: str, b: str) -> str:
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_unlike_long_words_have_unlike_hashes(spark, empty):
+    """Words and word sequences that agree in any polynomial modulo a power of two are told apart by every operator."""
+    pairs = [(thue_morse(2048, "a", "b"), thue_morse(2048, "b", "a")), (" ".join(thue_morse(2048, "a", "b")), " ".join(thue_morse(2048, "b", "a")))]
+    h, _ = kernels.word_hashes(*kernels.flat(pa.array(pairs[0])))
+    assert h[0] != h[1]
+    for x, y in pairs:
+        docs = spark.createDataFrame([(1, x), (2, y)], "doc_id long, text string")
+        assert [r["n_removed"] for r in substring_dedup.dedup(docs, min_words=1).collect()] == [0, 0]
+        assert decontaminate.leaks(docs.where("doc_id = 1"), docs.where("doc_id = 2").select(F.col("doc_id").alias("item_id"), "text"), width=5, least=1.0).count() == int(" " in x)
+    docs = spark.createDataFrame([(1, pairs[0][0]), (2, pairs[0][1])], "doc_id long, text string")
+    assert all(r["kept"] for r in near_dup.near_dups(docs, width=2).collect())
+    want = suffixes_deduped([(1, pairs[0][0]), (2, pairs[0][1])], 600)
+    got = by_id(run_length_index.dedup(docs, least=600, gram=64))
+    assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == want
+
+
 def text_statistics(text: str | None) -> tuple:
     t = text or ""
     w = re.findall(WORD, t)
