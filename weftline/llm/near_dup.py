@@ -155,7 +155,7 @@ def _full(docs: DataFrame, need: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([_ids(found), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([(s >> np.uint64(48)).astype("<u2").tobytes() for s in found], pa.binary()), pa.array([s.tobytes() for s in signatures(found)], pa.binary())], names=["cid", "full", "bits", "sign"])
 
     again = docs.select(mark("doc_id").alias("m"), "text").mapInArrow(run, "cid binary, full binary, bits binary, sign binary")
-    return again.join(need.select("cid", "id"), "cid").dropDuplicates(["id"]).select("id", "full", "bits", "sign")
+    return again.join(need.select("cid", "id"), "cid").dropDuplicates(["cid"]).select("id", "full", "bits", "sign")
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -234,13 +234,6 @@ def _links(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame
     return out
 
 
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    a = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
-    b = comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
 def near_dups(docs: DataFrame, *, width: int = 5, percent: int = 80, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; one row for each row of `docs` (columns doc_id, of any type that can be ordered, and text; others are ignored).
 
@@ -268,15 +261,9 @@ def near_dups(docs: DataFrame, *, width: int = 5, percent: int = 80, k: int = K)
     centre = F.min(F.struct((F.col("p") / F.least("n", F.lit(k))).alias("r"), F.xxhash64("id").alias("h"), F.col("id").alias("a"), F.col("n").alias("m"), F.col("p").alias("q")))
     pivots = scratch(post.groupBy("value").agg(centre.alias("c")).select("value", "c.a", "c.m", "c.q"), "pivots")
     met = post.join(pivots, "value").where((F.col("a") != F.col("id")) & _may_link(k, percent)).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
-    met = scratch(met.groupBy("a", "b").agg(F.count("*").alias("c")), "met")
-    ends = met.select(F.col("a").alias("node"), "c", "a", "b").union(met.select(F.col("b").alias("node"), "c", "a", "b"))
-    best = scratch(ends.groupBy("node").agg(F.max(F.struct("c", "a", "b")).alias("x")).select("x.a", "x.b").distinct(), "best")
-    links = _links(best, sets, k, percent)
+    met = scratch(met.distinct(), "met")
+    links = _links(met, sets, k, percent)
     comps = components(links)
-    found = _links(_apart(met.join(best, ["a", "b"], "left_anti"), comps), sets, k, percent)
-    links = links.union(found)
-    if not found.isEmpty():
-        comps = components(links)
 
     labels = comps.select(F.col("node").alias("id"), "comp")
     mixed = held.join(labels, "id", "left").select("value", F.coalesce("comp", "id").alias("comp")).groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("value")
@@ -289,7 +276,7 @@ def near_dups(docs: DataFrame, *, width: int = 5, percent: int = 80, k: int = K)
     found = _links(pairs, sets, k, percent)
     if not found.isEmpty():
         comps = components(links.union(found))
-    drop_scratch(spark, sets, met, best, pairs)
+    drop_scratch(spark, sets, met, pairs)
 
     named = scratch(reps.join(comps.withColumnRenamed("node", "id"), "id", "left").select("cid", "rep", F.coalesce("comp", "id").alias("comp")), "named")
     ids = scratch(named.groupBy("comp").agg(F.min("rep").alias("component_id")), "ids")
