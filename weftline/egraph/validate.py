@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftline.egraph import ARITHMETIC, Expr, Proof, Rewrite, prove
 
 #: Values tried for every variable.
-GRID = (-2, -1, 0, 1, 2, 5, 10)
+GRID = (-17, -3, -1, 0, 1, 2, 4, 9, 40)
 
 
 def column(e: Expr) -> Column:

@@ -122,6 +122,35 @@ def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
     return labels
 
 
+def label_propagation_in_turn(edges: DataFrame, sweeps: int = 20, max_rounds: int = 10_000) -> DataFrame:
+    """id, label: vertices take the most frequent label among their neighbours one after the other in ascending order of id, each seeing the labels that those before it have just taken; the smallest of ties.
+
+    Edges count both ways, with repetitions, and a loop twice. A sweep's result is the one labelling in which every vertex
+    agrees with the new labels of lower neighbours and the old ones of higher; it is reached by rounds in which all
+    vertices move at once, as many as the longest chain of vertices that wait for each other. Stops when a sweep changes nothing.
+    """
+    both = edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src")))
+    links = scratch(both.groupBy("src", "dst").agg(F.count("*").alias("c")), "links")
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    labels = scratch(ids.select("id", F.col("id").alias("old"), F.col("id").alias("new")), "labels")
+    for _ in range(sweeps):
+        for _ in range(max_rounds):
+            near = labels.select(F.col("id").alias("n"), "old", "new")
+            votes = links.join(near, links.dst == near.n).select("src", F.when(F.col("dst") < F.col("src"), F.col("new")).otherwise(F.col("old")).alias("label"), "c")
+            best = votes.groupBy("src", "label").agg(F.sum("c").alias("c")).groupBy("src").agg(F.min_by("label", F.struct(-F.col("c"), "label")).alias("label"))
+            step = labels.join(best, labels.id == best.src).select("id", "old", F.col("label").alias("new"), (F.col("label") != F.col("new")).alias("moved"))
+            done = scratch(step, "labels")
+            labels = done.select("id", "old", "new")
+            if done.where("moved").isEmpty():
+                break
+        else:
+            raise RuntimeError(f"a sweep did not settle in {max_rounds} rounds")
+        if labels.where("old <> new").isEmpty():
+            break
+        labels = scratch(labels.select("id", F.col("new").alias("old"), "new"), "labels")
+    return labels.select("id", F.col("new").alias("label"))
+
+
 def page_rank(edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:
     """id, rank after a number of iterations; parallel edges count, and mass at vertices without out-edges is lost."""
     links = scratch(edges.groupBy("src", "dst").agg(F.count("*").alias("c")), "links")

@@ -24,6 +24,12 @@ def sliding(t: Column, size: int, slide: int, *, from_zero: bool = False) -> Col
     return F.transform(starts, lambda s: F.struct(s.alias("start"), (s + size).alias("end")))
 
 
+def assign(df: DataFrame, time: str, windows) -> DataFrame:
+    """Adds start and end for each window that holds a row's time; windows(time column) gives an array of (start, end) structs, so a calendar's windows are as good as regular ones. Rows in no window go."""
+    out = df.withColumn("__windows", windows(F.col(time))).withColumn("__window", F.explode("__windows"))
+    return out.select(*df.columns, F.col("__window.start").alias("start"), F.col("__window.end").alias("end"))
+
+
 def contains(window: Column, t: Column) -> Column:
     return (window["start"] <= t) & (t < window["end"])
 

@@ -8,19 +8,20 @@ round ends in a scratch table, so plans stay short and nothing depends on one ex
 from __future__ import annotations
 
 import operator
+import time
 import warnings
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.plans import local, rewrite
+from weftline.plans import rewrite
 from weftline.plans.analysis import Component, TypeConflict, check_safety, group_variables, stratify, unify, value_type
 from weftline.plans.ir import Aggregate, Arith, Atom, Compare, Const, Fact, Negated, Positive, Program, Rule, Sym, Term, Value, Var, variables
 from weftline.plans.parser import parse
-from weftline.session import scratch
+from weftline.session import counted, joined_parts, scratch
 
 MAX_ROUNDS = 1000
 _COMPARE: dict[str, Callable[[Column, Column], Column]] = {"=": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
@@ -216,6 +217,15 @@ def anti(new: DataFrame, old: DataFrame) -> DataFrame:
     return new.join(side, cond, "left_anti")
 
 
+def semi(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Rows of new that old has too; null equals null."""
+    side = old.toDF(*[f"o{i}" for i in range(len(old.columns))])
+    cond = F.lit(True)
+    for i in range(len(new.columns)):
+        cond = cond & new[f"c{i}"].eqNullSafe(side[f"o{i}"])
+    return new.join(side, cond, "left_semi")
+
+
 def closure_edges(component: Component) -> tuple[Rule, Rule] | None:
     """The base rule and the step of a transitive closure p(X,Y) :- e(X,Y). p(X,Z) :- e(X,Y), p(Y,Z). (or p,e or p,p), else None."""
     if len(component.predicates) != 1 or len(component.rules) != 2:
@@ -238,24 +248,45 @@ def closure_edges(component: Component) -> tuple[Rule, Rule] | None:
     return None
 
 
-def evaluate_closure(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+@dataclass(frozen=True)
+class Step:
+    """What a round of a component did: rows that are new, by predicate (None where that is not counted), and its time."""
+
+    stratum: int
+    predicates: tuple[str, ...]
+    round: int
+    new: dict[str, int | None]
+    seconds: float
+
+
+Watch = Callable[[int, dict[str, int | None]], None]
+
+
+def _unwatched(round_: int, new: dict[str, int | None]) -> None:
+    pass
+
+
+def evaluate_closure(edges: DataFrame, max_rounds: int = MAX_ROUNDS, watch: Watch = _unwatched, name: str = "closure") -> DataFrame:
     """All pairs (c0, c1) joined by a path: paths double in length each round, only new pairs are joined again."""
-    full = scratch(edges.distinct(), "closure")
-    new = full
-    for _ in range(max_rounds):
+    full, some = counted(edges.distinct(), "closure")
+    watch(0, {name: some})
+    new, parts = full, [full]
+    for k in range(max_rounds):
         a, b = new.toDF("x", "y"), full.toDF("u", "v")
         steps = a.join(b, a.y.eqNullSafe(b.u)).select(F.col("x").alias("c0"), F.col("v").alias("c1"))
         c, d = full.toDF("x", "y"), new.toDF("u", "v")
         steps = steps.union(c.join(d, c.y.eqNullSafe(d.u)).select(F.col("x").alias("c0"), F.col("v").alias("c1")))
-        new = scratch(anti(steps.distinct(), full), "closure-new")
-        if new.isEmpty():
+        new, some = counted(anti(steps.distinct(), full), "closure-new")
+        watch(k + 1, {name: some})
+        if not some:
             return full
-        full = scratch(full.union(new), "closure")
+        parts.append(new)
+        full = joined_parts(parts)
     raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
 
 
-def evaluate_component(component: Component, ctx: Context, max_rounds: int = MAX_ROUNDS) -> None:
-    """Adds the component's relations to the context."""
+def evaluate_component(component: Component, ctx: Context, max_rounds: int = MAX_ROUNDS, watch: Watch = _unwatched) -> None:
+    """Adds the component's relations to the context; watch hears of each round."""
     seeds: dict[str, list[DataFrame]] = {p: [ctx.tables[p]] if p in ctx.tables else [] for p in component.predicates}
     inside = set(component.predicates)
     if not component.recursive:
@@ -263,11 +294,10 @@ def evaluate_component(component: Component, ctx: Context, max_rounds: int = MAX
             seeds[rule.head.pred].append(rule_frame(rule, ctx))
         for p, parts in seeds.items():
             ctx.tables[p] = _union(parts).distinct()
+        watch(0, dict.fromkeys(component.predicates))
         return
     reads = {x.atom.pred for r in component.rules for x in r.body if not isinstance(x, Compare)} - inside
     kinds = column_types(component, seeds, ctx)
-    if _solved_locally(component, reads, seeds, kinds, ctx):
-        return
     for p in sorted(reads):  # every round reads them; they are worked out once
         if p in ctx.tables:
             ctx.tables[p] = scratch(ctx.tables[p], f"input-{p}")
@@ -275,7 +305,7 @@ def evaluate_component(component: Component, ctx: Context, max_rounds: int = MAX
         base, _ = found
         p = component.predicates[0]
         if not seeds[p]:
-            ctx.tables[p] = evaluate_closure(rule_frame(base, ctx), max_rounds)
+            ctx.tables[p] = evaluate_closure(rule_frame(base, ctx), max_rounds, watch, p)
             return
     exits = [r for r in component.rules if not any(isinstance(x, Positive) and x.atom.pred in inside for x in r.body)]
     loops = [r for r in component.rules if r not in exits]
@@ -284,31 +314,33 @@ def evaluate_component(component: Component, ctx: Context, max_rounds: int = MAX
     known = {p: parts for p, parts in seeds.items() if parts}
     if lost := inside - set(kinds):
         raise ValueError(f"{sorted(lost)}: no rule gives a first row")
-    full = {}
+    full, first = {}, {}
     for p in component.predicates:  # a predicate with recursive rules only starts empty
         like = [F.col(c).cast(k).alias(c) for c, k in kinds[p]]
-        full[p] = scratch(_union(known[p]).select(*like).distinct(), f"full-{p}") if p in known else relation_like(ctx.spark, kinds[p])
-    delta = dict(full)
-    for _ in range(max_rounds):
+        full[p], first[p] = counted(_union(known[p]).select(*like).distinct() if p in known else relation_like(ctx.spark, kinds[p]), f"full-{p}")
+    watch(0, first)
+    delta, parts = dict(full), {p: [df] for p, df in full.items()}
+    for k in range(max_rounds):
         ctx.tables |= full
         steps: dict[str, list[DataFrame]] = {}
         for rule in loops:
             for i, lit in enumerate(rule.body):
                 if isinstance(lit, Positive) and lit.atom.pred in inside:
                     steps.setdefault(rule.head.pred, []).append(rule_frame(rule, ctx, (i, delta[lit.atom.pred])))
-        grown = False
-        for p in inside:
+        grown: dict[str, int] = {}
+        for p in component.predicates:
             if p not in steps:
                 delta[p] = full[p].limit(0)
                 continue
             like = [F.col(c).cast(k).alias(c) for c, k in full[p].dtypes]
-            new = scratch(anti(_union(steps[p]).select(*like).distinct(), full[p]), f"new-{p}")
-            delta[p] = new
-            if not new.isEmpty():
-                grown = True
-        if not grown:
+            new, some = counted(anti(_union(steps[p]).select(*like).distinct(), full[p]), f"new-{p}")
+            delta[p], grown[p] = new, some
+            if some:
+                parts[p].append(new)
+        watch(k + 1, grown)
+        if not any(grown.values()):
             return
-        full = {p: scratch(full[p].union(delta[p]), f"full-{p}") for p in inside}
+        full = {p: joined_parts(parts[p]) for p in inside}
     raise RuntimeError(f"no fixpoint of {', '.join(component.predicates)} in {max_rounds} rounds")
 
 
@@ -331,40 +363,17 @@ def column_types(component: Component, seeds: dict[str, list[DataFrame]], ctx: C
     return kinds
 
 
-def _solved_locally(component: Component, reads: set[str], seeds: dict[str, list[DataFrame]], kinds: dict[str, list[tuple[str, str]]], ctx: Context) -> bool:
-    """Evaluates the component on the driver if what it reads is within local.INPUT_ROWS, and says whether it did."""
-    if not local.can_solve(component):
-        return False
-    if set(kinds) < set(component.predicates):
-        return False
-    types = {p: [k for _, k in found] for p, found in kinds.items()}
-    if any(k not in ("bigint", "int", "double", "string", "boolean") for t in types.values() for k in t):
-        return False
-    left, inputs = local.INPUT_ROWS, {}
-    for p in sorted(reads):
-        rows = ctx.get(p, 0).limit(left + 1).collect()
-        left -= len(rows)
-        if left < 0:
-            return False
-        inputs[p] = map(tuple, rows)
-    given = {}
-    for p, parts in seeds.items():
-        if parts:
-            rows = _union(parts).limit(left + 1).collect()
-            left -= len(rows)
-            if left < 0:
-                return False
-            given[p] = map(tuple, rows)
-    try:
-        found = local.solve(component, inputs, given, types)
-    except local.TooLarge:
-        return False
-    for p, rows in found.items():
-        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in types[p]]
-        arrow = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
-        table = pa.Table.from_arrays([pa.array(c, arrow[k]) for c, k in zip(columns, types[p], strict=True)], names=[f"c{i}" for i in range(len(types[p]))])
-        ctx.tables[p] = ctx.spark.createDataFrame(table) if types[p] else ctx.spark.range(len(rows)).select()
-    return True
+def _sizes(program: Program, tables: dict[str, DataFrame]) -> dict[str, int]:
+    """Rows of the base relations for the order of joins: facts counted, tables guessed from the optimizer's statistics (no job runs)."""
+    out: dict[str, int] = {}
+    for f in program.facts:
+        out[f.pred] = out.get(f.pred, 0) + 1
+    for name, df in tables.items():
+        stats = df._jdf.queryExecution().optimizedPlan().stats()
+        rows = stats.rowCount()
+        known = int(str(rows.get())) if rows.isDefined() else int(str(stats.sizeInBytes())) // (8 + 8 * max(1, len(df.columns)))
+        out[name] = out.get(name, 0) + min(known, 1 << 62)
+    return out
 
 
 def relation_like(spark: SparkSession, dtypes: list[tuple[str, str]]) -> DataFrame:
@@ -382,7 +391,7 @@ class Engine:
         self.spark, self.set_mode, self.max_rounds = spark, set_mode, max_rounds
         self.source = parse(program) if isinstance(program, str) else program
         check_safety(self.source)
-        self.program = rewrite.optimize(self.source, (sizes or {}).get) if optimize else self.source
+        self.program = rewrite.optimize(self.source, {**_sizes(self.source, tables or {}), **(sizes or {})}.get) if optimize else self.source
         self.components = stratify(self.program)
         self.inputs = {n: numbered(df) for n, df in (tables or {}).items()}
         self.weights: dict[str, dict[tuple, int]] = {}
@@ -434,6 +443,29 @@ class Engine:
             self._done = ctx.tables
         return {p: self._done[p] for p in self.program.idb}
 
+    def steps(self) -> Iterator[Step]:
+        """Evaluates component by component and tells every round, for stepping through a program and for profiles."""
+        ctx, self._done = Context(self.spark, self.facts()), None
+        for component in self.components:
+            told: list[Step] = []
+            at = time.monotonic()
+
+            def watch(k: int, new: dict[str, int | None], component: Component = component, told: list[Step] = told) -> None:
+                nonlocal at
+                told.append(Step(component.stratum, tuple(component.predicates), k, new, time.monotonic() - at))
+                at = time.monotonic()
+
+            evaluate_component(component, ctx, self.max_rounds, watch)
+            yield from told
+        self._done = ctx.tables
+
+    def profile(self) -> str:
+        """A report of all rounds: stratum, round, new rows and seconds."""
+        lines = ["stratum  round  seconds  new rows"]
+        for s in self.steps():
+            lines.append(f"{s.stratum:>7}  {s.round:>5}  {s.seconds:>7.3f}  " + ", ".join(f"{p} {'lazy' if n is None else n}" for p, n in s.new.items()))
+        return "\n".join(lines)
+
     def query(self, what: str | Atom, *, magic: bool = False) -> DataFrame:
         """A relation by name, or the rows that match an atom such as path(1, X): one column for each variable, or all if it has none.
 
@@ -486,4 +518,4 @@ def _constants(atom: Atom) -> Column:
     return cond
 
 
-__all__ = ["Engine", "Fact", "evaluate_closure", "relation"]
+__all__ = ["Engine", "Fact", "Step", "evaluate_closure", "relation"]

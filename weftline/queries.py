@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.functions import histogram as sketch
 from weftline.functions import semiring
+from weftline.functions.histogram import Histogram
 from weftline.operators import graph, temporal, zset
 from weftline.plans import sql
-from weftline.plans.engine import Engine
+from weftline.plans.engine import Engine, evaluate_closure
+from weftline.session import scratch, scratch_path
+from weftline.sources.storage import ChangeLog
 from weftline.streaming import windows
 from weftline.streaming.incremental import Maintained
 
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -212,16 +217,15 @@ def zset_consolidate(spark: SparkSession, sf: str) -> DataFrame:
     return zset.consolidate(zset.compact(d, [2]), times=False).select("id", F.col("__w").alias("w"))
 
 
-@_query("SELECT o_orderkey AS id, l_partkey AS part, count(*) AS w FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 2 OR o_orderpriority = '1-URGENT' AND l_linenumber = 1 GROUP BY 1, 2")
+@_query("SELECT o_orderkey AS id, l_partkey AS part, count(*) AS w FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber <= 2 GROUP BY 1, 2")
 def zset_join_incremental(spark: SparkSession, sf: str) -> DataFrame:
-    """The join of two relations that grow, summed from its changes."""
+    """The join of two relations that both grow: the first state's join and its changes, summed."""
     o = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
     li = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("part"), "l_linenumber")
     a0, a1 = zset.lift(o.where("o_orderpriority <> '1-URGENT'").select("id"), epoch=1), zset.lift(o.where("o_orderpriority = '1-URGENT'").select("id"), epoch=2)
     b0, b1 = zset.lift(li.where("l_linenumber = 2").select("id", "part"), epoch=1), zset.lift(li.where("l_linenumber = 1").select("id", "part"), epoch=2)
-    only = zset.join(a1, b1, ["id"])
-    change = zset.join(a1, b0, ["id"]).unionByName(only)
-    return zset.consolidate(zset.join(a0, b0, ["id"]).unionByName(change), times=False).drop("__t").select("id", "part", F.col("__w").alias("w"))
+    whole = zset.join(a0, b0, ["id"]).unionByName(zset.join_delta(a0, a1, b0, b1, ["id"]))
+    return zset.consolidate(whole, times=False).select("id", "part", F.col("__w").alias("w"))
 
 
 @_query("""SELECT c_custkey AS id, CAST(CASE WHEN u THEN -1 ELSE 1 END AS BIGINT) AS w FROM (SELECT c_custkey, bool_or(o_orderstatus = 'F') AS f, bool_or(coalesce(o_orderstatus, '') = 'P') AS u FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1) WHERE NOT coalesce(f, false) AND u""")
@@ -244,7 +248,7 @@ def zset_aggregate_delta(spark: SparkSession, sf: str) -> DataFrame:
 @_query(f"WITH RECURSIVE {_TRADE}, tc(a, b) AS (SELECT a, b FROM e UNION SELECT tc.a, e.b FROM tc JOIN e ON tc.b = e.a) SELECT a, b FROM tc")
 def incremental_closure(spark: SparkSession, sf: str) -> DataFrame:
     """A closure kept up through an insert and a retraction; ends at the closure of all edges."""
-    e = trade(spark, sf).select("a", "b").persist()
+    e = scratch(trade(spark, sf).select("a", "b"), "trade")
     m = Maintained(spark, "path(X, Y) :- edge(X, Y). path(X, Z) :- edge(X, Y), path(Y, Z).", {"edge": e.where("a <> 3")})
     m.apply("edge", e.where("a = 3"))
     m.apply("edge", e.where("a = 5").withColumn("w", F.lit(-1)), "w")
@@ -369,8 +373,6 @@ def all_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query(f"WITH RECURSIVE {_TRADE}, tc(a, b) AS (SELECT a, b FROM e UNION SELECT tc.a, e.b FROM tc JOIN e ON tc.b = e.a) SELECT a AS id FROM tc WHERE a = b")
 def cycle_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    from weftline.plans.engine import evaluate_closure
-
     return graph.cycle_nodes(evaluate_closure(trade(spark, sf).select(F.col("a").alias("c0"), F.col("b").alias("c1"))))
 
 
@@ -386,9 +388,23 @@ def page_rank(spark: SparkSession, sf: str) -> DataFrame:
     return graph.page_rank(_edges(spark, sf), 8).select("id", F.round("rank", 6).alias("rank"))
 
 
-@_query()
+def _labels_sql(rounds: int) -> str:
+    parts = [f"WITH {_TRADE}, n AS (SELECT a AS s, b AS d FROM e UNION ALL SELECT b, a FROM e), l0 AS (SELECT DISTINCT s AS id, s AS label FROM n)"]
+    for i in range(rounds):
+        votes = f"SELECT n.s AS id, l.label FROM n JOIN l{i} l ON l.id = n.d WHERE n.s <> n.d UNION ALL SELECT id, label FROM l{i}"
+        parts.append(f"l{i + 1} AS MATERIALIZED (SELECT id, label FROM (SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, label) AS r FROM ({votes}) GROUP BY 1, 2) WHERE r = 1)")
+    return ", ".join(parts) + f" SELECT id, label FROM l{rounds}"
+
+
+@_query(_labels_sql(6))
 def label_propagation(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.label_propagation(_edges(spark, sf))
+    return graph.label_propagation(_edges(spark, sf), 6)
+
+
+@_query()
+def label_propagation_in_turn(spark: SparkSession, sf: str) -> DataFrame:
+    """Vertex after vertex; tests hold it against a loop."""
+    return graph.label_propagation_in_turn(_edges(spark, sf))
 
 
 @_query(f"WITH RECURSIVE {_TRADE}, h(x, k) AS (SELECT 3, 0 UNION ALL SELECT e.b, h.k + 1 FROM h JOIN e ON h.x = e.a WHERE h.k < 3) SELECT x AS account, CAST(count(*) AS BIGINT) AS derivations FROM h GROUP BY x")
@@ -400,25 +416,30 @@ def taint_derivations(spark: SparkSession, sf: str) -> DataFrame:
 # Statistics and sources.
 
 
-@_query("SELECT CAST(least(floor((p_size - 1) / 4.9) + 1, 10) AS INT) AS bucket, count(*) AS n FROM part WHERE p_size BETWEEN 1 AND 50 GROUP BY 1")
+@_query("SELECT CAST(least(floor((p_size - 1) / 4.9) + 1, 10) AS INT) AS bucket, count(*) AS n, round(sum(count(*)) OVER (ORDER BY least(floor((p_size - 1) / 4.9) + 1, 10)) / sum(count(*)) OVER (), 6)::DOUBLE AS up_to FROM part WHERE p_size BETWEEN 1 AND 50 GROUP BY least(floor((p_size - 1) / 4.9) + 1, 10)")
 def histogram(spark: SparkSession, sf: str) -> DataFrame:
-    b = F.least(F.width_bucket(F.col("p_size").cast("double"), F.lit(1.0), F.lit(50.0), F.lit(10)), F.lit(10)).cast("int")
-    return _t(spark, sf, "part").where("p_size BETWEEN 1 AND 50").groupBy(b.alias("bucket")).agg(F.count("*").alias("n"))
+    """Equi-width counts, and the selectivity of being at most a bucket's upper border."""
+    h = Histogram.of(_t(spark, sf, "part"), "p_size", 10, 1.0, 50.0)
+    rows = [(i + 1, n, round(h.at_most(1.0 + 4.9 * (i + 1)), 6)) for i, n in enumerate(h.counts) if n]
+    return spark.createDataFrame(rows, "bucket int, n long, up_to double")
+
 
+_DISTINCT = {"o_custkey": "orders", "o_orderkey": "orders", "l_partkey": "lineitem", "user_id": "events", "c_nationkey": "customer"}
 
-@_query("SELECT abs(approx_count_distinct(o_custkey) - count(DISTINCT o_custkey)) <= 0.2 * count(DISTINCT o_custkey) AS close FROM orders")
+
+@_query(" UNION ALL ".join(f"SELECT '{c}' AS col, count(DISTINCT {c}) AS exact, true AS within FROM {t}" for c, t in _DISTINCT.items()))
 def distinct_estimate(spark: SparkSession, sf: str) -> DataFrame:
-    """HyperLogLog within a tenth of the exact count."""
-    o = _t(spark, sf, "orders")
-    return o.agg((F.abs(F.hll_sketch_estimate(F.hll_sketch_agg("o_custkey", 12)) - F.count_distinct("o_custkey")) <= 0.1 * F.count_distinct("o_custkey")).alias("close"))
+    """HyperLogLog estimates within a tenth of the exact counts, which stand beside."""
+    rows = []
+    for c, t in _DISTINCT.items():
+        exact = _t(spark, sf, t).select(c).distinct().count()
+        rows.append((c, exact, abs(sketch.distinct_estimate(_t(spark, sf, t), c) - exact) <= 0.1 * exact))
+    return spark.createDataFrame(rows, "col string, exact long, within boolean")
 
 
 @_query("SELECT o_custkey AS id, o_orderpriority AS priority FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2")
 def change_log(spark: SparkSession, sf: str) -> DataFrame:
     """Orders logged with their status, those not of status F taken back in a second epoch, and the state read from the log."""
-    from weftline.session import scratch_path
-    from weftline.sources.storage import ChangeLog
-
     log = ChangeLog(spark, scratch_path(spark, "log"))
     o = _t(spark, sf, "orders").select("o_custkey", "o_orderpriority", "o_orderstatus", "o_orderkey")
     row = F.to_json(F.array(F.col("o_custkey").cast("string"), "o_orderpriority"))

@@ -9,7 +9,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -58,6 +59,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """A scratch table and its rows, counted by the job that writes it."""
+    seen = Observation()
+    out = scratch(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return out, seen.get["n"]
+
+
+def joined_parts(parts: list[DataFrame]) -> DataFrame:
+    """Scratch tables of one schema read as one, without writing them again."""
+    if len(parts) == 1:
+        return parts[0]
+    out = parts[0].sparkSession.read.schema(parts[0].schema).parquet(*[p._scratch for p in parts])
+    return out
+
+
 def scratch(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs only its own tasks."""
     spark = df.sparkSession

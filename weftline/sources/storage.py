@@ -38,13 +38,18 @@ class ChangeLog:
     def append_frame(self, df: DataFrame) -> None:
         df.select("epoch", "seq", "pred", "row", "weight").withColumn("crc", _crc()).write.mode("append").parquet(self.path)
 
-    def frame(self) -> DataFrame:
+    def _raw(self) -> DataFrame:
         return self.spark.read.schema(SCHEMA).parquet(self.path)
 
+    def frame(self) -> DataFrame:
+        """The records; reading a row that fails its CRC raises."""
+        failed = F.raise_error(F.format_string("record %d of epoch %d fails its CRC", F.col("seq"), F.col("epoch"))).cast("string")
+        return self._raw().withColumn("row", F.when(F.col("crc").eqNullSafe(_crc()), F.col("row")).otherwise(failed))
+
     def replay(self) -> DataFrame:
         """All records by epoch and place; a record that fails its CRC raises."""
-        df = self.frame()
-        bad = df.where(F.col("crc") != _crc()).limit(1).collect()
+        df = self._raw()
+        bad = df.where(~F.col("crc").eqNullSafe(_crc())).limit(1).collect()
         if bad:
             raise CorruptLog(f"record {bad[0]['seq']} of epoch {bad[0]['epoch']} fails its CRC")
         return df.orderBy("epoch", "seq").select("epoch", "pred", "row", "weight")

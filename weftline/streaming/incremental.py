@@ -1,8 +1,10 @@
 """Programs kept up to date: each batch of changes is an epoch, and the derived rows that come or go are told.
 
-A batch of inserts into a program of positive rules is worked out from the change alone, rule by rule, against the
-state before; anything else (retractions, negation, aggregates) re-derives the components that the changed relations reach.
-States are scratch tables, so epochs do not pile up in one plan. `attach` runs an epoch for each micro-batch of a stream.
+In programs of positive rules a batch is worked out from the change alone. Retracted rows take with them all that was
+derived through them, round by round; of that, what other derivations still give comes back. Inserted rows are joined
+against the state, rule by rule. Where negation or aggregates stand in what a change reaches, those components are
+derived again. States are scratch tables, so epochs do not pile up in one plan. `attach` runs an epoch for each
+micro-batch of a stream. The changes of all epochs are kept as an output log until `clear_outputs`.
 """
 
 from __future__ import annotations
@@ -13,9 +15,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.plans.analysis import Component
-from weftline.plans.engine import MAX_ROUNDS, Context, Engine, _union, anti, evaluate_component, numbered, rule_frame
+from weftline.plans.engine import MAX_ROUNDS, Context, Engine, _union, anti, evaluate_component, numbered, rule_frame, semi
 from weftline.plans.ir import Compare, Positive
-from weftline.session import scratch
+from weftline.session import counted, drop_scratch, joined_parts, scratch
+
+
+def _net(came: DataFrame, went: DataFrame | None) -> DataFrame:
+    """Changes of both directions in one table; a row that went and came again has none."""
+    if went is None:
+        return came
+    return anti_rows(came, went).union(anti_rows(went.withColumn("__w", F.lit(-1)), came))
+
+
+def anti_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of a whose data columns b lacks."""
+    names = [c for c in a.columns if c != "__w"]
+    side = b.select(*[F.col(c).alias(f"o_{c}") for c in names])
+    cond = F.lit(True)
+    for c in names:
+        cond = cond & a[c].eqNullSafe(side[f"o_{c}"])
+    return a.join(side, cond, "left_anti")
 
 
 class Maintained:
@@ -30,6 +49,17 @@ class Maintained:
         for c in self.components:
             evaluate_component(c, ctx, max_rounds)
         self.state = {n: scratch(df, f"state-{n}") for n, df in ctx.tables.items()}
+        self.log: dict[str, list[DataFrame]] = {}
+
+    def outputs(self, pred: str) -> DataFrame | None:
+        """All changes of a derived relation so far: its columns, __w (+1 or -1) and __epoch; None before its first epoch."""
+        parts = self.log.get(pred)
+        return joined_parts(parts) if parts else None
+
+    def clear_outputs(self) -> None:
+        """Forgets the changes told so far; the state stays."""
+        drop_scratch(self.spark, *[df for parts in self.log.values() for df in parts])
+        self.log = {}
 
     def _reached(self, changed: set[str]) -> list[Component]:
         out, dirty = [], set(changed)
@@ -42,24 +72,36 @@ class Maintained:
     def apply(self, pred: str, rows: DataFrame, weight: str | None = None) -> dict[str, DataFrame]:
         """One epoch: rows of a base relation come (or go, where the column `weight` is negative). Returns for each derived relation its changes, with __w +1 or -1."""
         self.epoch += 1
+        changes = self._changed(pred, rows, weight)
+        for p, df in changes.items():
+            changes[p] = scratch(df, f"changes-{p}")
+            like = self.log.get(p, [None])[0]
+            told = changes[p].withColumn("__epoch", F.lit(self.epoch))
+            self.log.setdefault(p, []).append(scratch(told if like is None else told.select(*[F.col(c).cast(k).alias(c) for c, k in like.dtypes]), f"log-{p}"))
+        return changes
+
+    def _changed(self, pred: str, rows: DataFrame, weight: str | None) -> dict[str, DataFrame]:
         like = self.base.get(pred)
         plus = rows if weight is None else rows.where(F.col(weight) > 0).drop(weight)
         minus = rows.limit(0) if weight is None else rows.where(F.col(weight) < 0).drop(weight)
         plus, minus = numbered(plus).distinct(), numbered(minus).distinct()
         if like is not None:
             cast = [F.col(c).cast(k).alias(c) for c, k in like.dtypes]
-            plus, minus = anti(plus.select(*cast), like), minus.select(*cast)
-        plus = scratch(plus, f"plus-{pred}")
-        grows_only = weight is None or minus.isEmpty()
-        after = plus if like is None else like.union(plus)
-        if not grows_only:
-            after = anti(after, minus)
-        self.base[pred] = scratch(after, f"base-{pred}")
+            plus, minus = plus.select(*cast), minus.select(*cast)
+            minus = anti(semi(minus, like), plus)
+            plus = anti(plus, like)
+        plus, _ = counted(plus, f"plus-{pred}")
+        minus, some_go = counted(minus if like is not None else minus.limit(0), f"minus-{pred}")
+        kept = like if like is None or not some_go else scratch(anti(like, minus), f"base-{pred}")
         reached = self._reached({pred})
         positive = all(isinstance(x, (Positive, Compare)) for c in reached for r in c.rules for x in r.body)
         before = dict(self.state)
-        if grows_only and positive and like is not None:
-            return self._grow(pred, plus, reached, before)
+        if positive and like is not None:
+            went = self._shrink(pred, minus, kept, reached) if some_go else {}
+            self.base[pred] = scratch(kept.union(plus), f"base-{pred}")
+            came = self._grow(pred, plus, reached)
+            return {p: _net(came[p], went.get(p)) for p in came}
+        self.base[pred] = plus if kept is None else scratch(kept.union(plus), f"base-{pred}")
         ctx = Context(self.spark, {**self.state, pred: self.base[pred]})
         changes = {}
         for c in reached:
@@ -80,9 +122,73 @@ class Maintained:
                 changes[p] = came.withColumn("__w", F.lit(1)).union(went.withColumn("__w", F.lit(-1)))
         return changes
 
-    def _grow(self, pred: str, plus: DataFrame, reached: list[Component], before: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    def _shrink(self, pred: str, minus: DataFrame, kept: DataFrame, reached: list[Component]) -> dict[str, DataFrame]:
+        """Takes rows of a base relation out of the state; returns what went from each derived relation."""
+        self.base[pred] = kept
+        old, now, gone = dict(self.state), {**self.state, pred: kept}, {pred: minus}
+        old[pred] = kept.union(minus) if pred not in {p for c in reached for p in c.predicates} else self.state[pred]
+        out = {}
+        for c in reached:
+            over: dict[str, list[DataFrame]] = {p: [minus] if p == pred else [] for p in c.predicates}
+            first = dict(gone)
+            for _ in range(self.max_rounds):
+                steps = self._steps(c, old, first)
+                first = {}
+                for p, parts in steps.items():
+                    like = [F.col(n).cast(k).alias(n) for n, k in old[p].dtypes]
+                    new = semi(_union(parts).select(*like).distinct(), old[p])
+                    new, some = counted(anti(new, joined_parts(over[p])) if over[p] else new, f"over-{p}")
+                    if some:
+                        first[p] = new
+                        over[p].append(new)
+                if not first:
+                    break
+            lost = {p: joined_parts(parts) for p, parts in over.items() if parts}
+            for p, df in lost.items():
+                rest = anti(old[p], df)
+                now[p] = scratch(rest.union(semi(self.base[p], df)) if p in self.base else rest, f"state-{p}")
+            back = None
+            for _ in range(self.max_rounds):  # what other derivations give comes back
+                steps = self._steps(c, now, back)
+                back = {}
+                for p, parts in steps.items():
+                    if p not in lost:
+                        continue
+                    like = [F.col(n).cast(k).alias(n) for n, k in now[p].dtypes]
+                    new, some = counted(anti(semi(_union(parts).select(*like).distinct(), lost[p]), now[p]), f"back-{p}")
+                    if some:
+                        back[p] = new
+                for p, df in back.items():
+                    now[p] = scratch(now[p].union(df), f"state-{p}")
+                if not back:
+                    break
+            for p, df in lost.items():
+                out[p], some = counted(anti(df, now[p]), f"gone-{p}")
+                if some:
+                    gone[p] = out[p]
+                else:
+                    gone.pop(p, None)
+        self.state = now
+        return out
+
+    def _steps(self, c: Component, tables: dict[str, DataFrame], first: dict[str, DataFrame] | None) -> dict[str, list[DataFrame]]:
+        """Head rows of the component's rules by predicate: with a row of `first` in one literal, or all."""
+        ctx, steps = Context(self.spark, dict(tables)), {}
+        for r in c.rules:
+            if first is None:
+                steps.setdefault(r.head.pred, []).append(rule_frame(r, ctx))
+                continue
+            for i, x in enumerate(r.body):
+                if isinstance(x, Positive) and x.atom.pred in first:
+                    steps.setdefault(r.head.pred, []).append(rule_frame(r, ctx, (i, first[x.atom.pred])))
+        return steps
+
+    def _grow(self, pred: str, plus: DataFrame, reached: list[Component]) -> dict[str, DataFrame]:
         deltas = {pred: plus}
-        tables = {**self.state, pred: self.base[pred]}
+        derived = any(pred in c.predicates for c in reached)
+        if derived:
+            plus = scratch(anti(plus, self.state[pred]), f"plus-{pred}")
+        tables = {**self.state, pred: scratch(self.state[pred].union(plus), f"state-{pred}") if derived else self.base[pred]}
         changes = {}
         for c in reached:
             new_all: dict[str, list[DataFrame]] = {p: [] for p in c.predicates}
@@ -90,17 +196,12 @@ class Maintained:
                 new_all[pred].append(plus)
             first = {p: d for p, d in deltas.items()}
             for _ in range(self.max_rounds):
-                ctx = Context(self.spark, dict(tables))
-                steps: dict[str, list[DataFrame]] = {}
-                for r in c.rules:
-                    for i, x in enumerate(r.body):
-                        if isinstance(x, Positive) and x.atom.pred in first:
-                            steps.setdefault(r.head.pred, []).append(rule_frame(r, ctx, (i, first[x.atom.pred])))
+                steps = self._steps(c, tables, first)
                 first = {}
                 for p, parts in steps.items():
                     cast = [F.col(n).cast(k).alias(n) for n, k in tables[p].dtypes]
-                    new = scratch(anti(_union(parts).select(*cast).distinct(), tables[p]), f"new-{p}")
-                    if not new.isEmpty():
+                    new, some = counted(anti(_union(parts).select(*cast).distinct(), tables[p]), f"new-{p}")
+                    if some:
                         first[p] = new
                         new_all[p].append(new)
                 for p, new in first.items():
