@@ -331,7 +331,7 @@ def pieces_of(path: str, texts: list[str | None]) -> list[list[int]]:
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
-ODD = ["", None, " a", "a ", "a  b", "a\n b", "x\ty", "it's don't 'S  z", "<|endoftext|> hi", "a\x01b c", "Ünï\nİ x", "12 45,6", "\n", "a\n\nb", "a b", "x y z", "n't\n't", "﻿a b", "c\u0085d e", "l' 's"]
+ODD = ["", None, " a", "a ", "a  b", "a\n b", "x\ty", "it's don't 'S  z", "<|endoftext|> hi", "a\x01b c", "Ünï\nİ x", "12 45,6", "\n", "a\n\nb", "a b", "x y z", "n't\n't", "﻿a b", "c\u0085d e", "l' 's", "ΑΣ Σα ΌΣΟΣ.", "İstanbul Éa ǅ", "e\u0301a é", "don't. rock'n'roll, l'eau", "x_y a-b (c) [d]. \"e\" f%%% $$$ '", "ª º ⅷ ² ½ ٣", "naïve—dash …", "ﬁ Ω K Å", "\u0301 a", "ß ẞ ŉ", "a\u200bb c\u00adD"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])

@@ -8,21 +8,24 @@ piece encoded once, and the ids put together again. Which places these are depen
 * files that drop white space (a lower-casing normaliser, words with end marks): at every space or line feed.
 
 Texts with any other white space, or with two white space characters in a row, are encoded whole. Pieces of a batch are
-counted by Arrow; a bounded cache keeps pieces from batch to batch. New pieces are encoded many in a row with a separator
-that is a token of its own there (a line feed, or a control character between spaces), for a call of the library costs far
-more than a short word. Texts longer than `slices` allows are batches of their own; no text is cut short.
+counted by Arrow; a bounded cache keeps pieces from batch to batch. A new piece of letters, or letters and then ASCII marks,
+is one pre-token or two whatever the file, and goes to the library's model at once; other new pieces are encoded many in a
+row with a separator that is a token of its own there (a line feed, or a control character between spaces). Texts longer
+than `slices` allows are batches of their own; no text is cut short.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 from weftline.llm.kernels import ragged, ranges
 
@@ -30,6 +33,15 @@ END = 2
 CACHE = 600_000
 PART_TEXTS, PART_CHARS = 4096, 200_000
 ROW = 1000
+#: Marks that may follow letters in a piece: all of ASCII but the apostrophe, with which contractions begin.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+
+
+def byte_letters() -> dict[int, str]:
+    """The characters that stand for the bytes of byte-level vocabularies: printable ones for themselves, the others from 256 on in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + k) for k, b in enumerate(others)}
 #: Anything but single spaces and line feeds between other characters; \s of the pre-tokenizers is Unicode white space.
 ODD = r"[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$"
 
@@ -41,6 +53,9 @@ class WordCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaced = self.tokenizer.normalizer is None  # a leading space belongs to the word
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.direct = isinstance(self.model, BPE) and "ByteLevel" in str(self.tokenizer.pre_tokenizer)
+        self.marks: dict[str, list[int]] = {}
         self.most = most
         self.between = "\n" if self.spaced else " \x01 "
         mark = self.tokenizer.encode(self.between, add_special_tokens=False).ids
@@ -67,8 +82,52 @@ class WordCache:
             at = to
         return np.concatenate(ids), n
 
+    def _model(self, text: str) -> list[int]:
+        """Ids of one pre-token."""
+        text = text.replace(" ", "\u0120") if text.isascii() else text.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(text)]
+
+    def _letters(self, words: list[str]) -> list[list[int] | None]:
+        """Ids of the pieces that are letters and then marks; None for others."""
+        cores: dict[str, list[int]] = {}
+        out: list[list[int] | None] = []
+        tokenize = self.model.tokenize
+        for w in words:
+            core = w.rstrip(MARKS)
+            end = len(core)
+            bare = core[1:] if self.spaced and core[:1] == " " else core
+            if not self.spaced and bare:
+                plain = bare.isascii() or (unicodedata.is_normalized("NFC", bare) and "\u03a3" not in bare)
+                core = bare = bare.lower() if plain else ""
+            if not bare.isalpha():
+                out.append(None)
+                continue
+            ids = cores.get(core)
+            if ids is None:
+                ids = cores[core] = [t.id for t in tokenize(core.replace(" ", "\u0120"))] if core.isascii() else self._model(core)
+            if mark := w[end:]:
+                if mark not in self.marks:
+                    if len(self.marks) > 100_000:
+                        self.marks.clear()
+                    self.marks[mark] = self._model(mark)
+                ids = ids + self.marks[mark]
+            out.append(ids)
+        return out
+
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for pieces, ROW of them in one text; rows that do not come apart into as many are encoded singly."""
+        """Ids of pieces and how many each has."""
+        found = self._letters(words) if self.direct else [None] * len(words)
+        rest = [k for k, ids in enumerate(found) if ids is None]
+        if rest:
+            ids, n = self._encode_rows([words[k] for k in rest])
+            at = ragged(n)
+            for k, a, b in zip(rest, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                found[k] = ids[a:b].tolist()
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint16, int(n.sum())), n
+
+    def _encode_rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same, ROW pieces in one text; rows that do not come apart into as many are encoded singly."""
         if self.mark is None or (self.spaced and "\n" in words):
             return self._encode(words)
         rows = [words[k : k + ROW] for k in range(0, len(words), ROW)]
@@ -85,19 +144,26 @@ class WordCache:
         return np.concatenate(out), np.concatenate(sizes)
 
     def _pieces(self, words: list[str]) -> np.ndarray:
-        """Places of the words in the cache, which takes up those it lacks."""
+        """Places of the (different) words in the cache, which takes up those it lacks."""
         if len(self.known) > self.most:
             self._forget()
-        known = self.known
-        new = [w for w in words if w not in known]
-        for some, encode in (([w for w in new if w != "\n"], self._encode_words), ([w for w in new if w == "\n"], self._encode)):
-            if not some:
-                continue
-            ids, n = encode(some)
-            known.update(zip(some, range(len(self.at) - 1, len(self.at) - 1 + len(some)), strict=True))
+        where = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        lacking = np.flatnonzero(where < 0)
+        if len(lacking):
+            new = [words[k] for k in lacking.tolist()]
+            if "\n" in new:  # a separator; on its own
+                k = new.index("\n")
+                ids, n = self._encode(["\n"])
+                before, n_before = self._encode_words(new[:k])
+                after, n_after = self._encode_words(new[k + 1 :])
+                ids, n = np.concatenate([before, ids, after]), np.concatenate([n_before, n, n_after])
+            else:
+                ids, n = self._encode_words(new)
+            where[lacking] = np.arange(len(new)) + len(self.at) - 1
+            self.known.update(zip(new, where[lacking].tolist(), strict=True))
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(n)])
             self.ids = np.concatenate([self.ids, ids])
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        return where
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = texts.cast(pa.large_string()).fill_null("")
