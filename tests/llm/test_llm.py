@@ -489,6 +489,19 @@ def test_url_filters(spark):
     assert url_filters.judged(pages.limit(0), rules).count() == 0 and url_filters.judged(pages, rules[:0]).where("rule IS NOT NULL").count() == 0
 
 
+def test_url_filters_deal_a_hot_host_evenly(spark):
+    """One host, and one url a third of the time: no range gets twice its share, and none is lost."""
+    pages = spark.range(24_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://hot.example.org/"), F.when(F.col("id") % 3 == 0, F.lit("same")).otherwise(F.col("id").cast("string"))).alias("url"))
+    urls = url_filters.with_host_path(pages).select("page_id", "host", "path", F.lit("org.example.hot.").alias("key"), F.xxhash64("page_id", "url").alias("salt"))
+    rules = spark.createDataFrame([("org", "/", "block", "org.")], "host string, path string, verdict string, key string")
+    dealt = url_filters._dealt(urls, rules, 16, 5_000)
+    sizes = collections.Counter(r["range"] for r in dealt.where("kind = 1").collect())
+    assert len(sizes) == 16 and max(sizes.values()) <= 2 * 24_000 / 16
+    assert sorted(r["range"] for r in dealt.where("kind = 0").collect()) == list(range(16))
+    got = url_filters.judged(pages, [("org", "/", "block"), ("example.org", "/same", "allow")], ranges=16)
+    assert {(r["rule"], r["count"]) for r in got.groupBy("rule").count().collect()} == {("org/", 16_000), ("example.org/same", 8_000)}
+
+
 def test_tiles_by_brute_force():
     rng = random.Random(8)
     for _ in range(60):
