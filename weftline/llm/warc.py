@@ -1,10 +1,12 @@
 """WARC archives as a chunked record table.
 
-Payloads travel as rows of (record, chunk number, at most CHUNK bytes) both ways. The writer compresses chunk after chunk
-into gzip members, a record each; the reader inflates a file in blocks and emits a row for each chunk, with running SHA-1
-and byte count, so neither ever holds a record whole. Files are written under a temporary name and renamed, and only
-files in the committed manifest count, so a task that is run again leaves no second copy. Equal payloads of MIN_REVISIT
-bytes or more are stored once; the other records are revisits that point to it.
+Payloads travel as rows of (record, chunk number, at most CHUNK bytes) both ways: they are cut where the pages are read, with
+digests that run over the chunks, and only chunk rows are shuffled. Which records are revisits is decided on digests alone;
+a decision is a row of its own that sorts before the chunks of its record. The writer compresses chunk after chunk into
+gzip members, a record each; the reader inflates a file in blocks and emits a row for each chunk, with running SHA-1 and
+byte count. Beyond the value that the table of pages itself holds, no step has a payload whole. Files are written under a
+temporary name and renamed, and only files in the committed manifest count, so a task that is run again leaves no second
+copy. Equal payloads of MIN_REVISIT bytes or more are stored once; the other records are revisits that point to it.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,17 +32,80 @@ FILE_BYTES = 128 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+PARTS = "page_id long, url string, digest string, payload_bytes long, part int, row long, chunk_no int, chunk binary"
+#: Rows without a page_id may be many of one digest; they are dealt to so many places.
+SALTS = 64
+
+
+def _chunks(payload: memoryview) -> Iterator[memoryview]:
+    for at in range(0, max(1, len(payload)), CHUNK):
+        yield payload[at : at + CHUNK]
+
+
+def _digest(payload: memoryview) -> str:
+    sha = hashlib.sha1()
+    for chunk in _chunks(payload):
+        sha.update(chunk)
+    return sha.hexdigest()
+
+
+def _payload(value: pa.StringScalar) -> memoryview:
+    return memoryview(value.as_buffer() if value.is_valid else b"").cast("B")
+
+
+def digests(pages: DataFrame) -> DataFrame:
+    """page_id, digest, payload_bytes of every row of `pages` (page_id, html); null html is an empty payload."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(_digest(p), len(p)) for p in map(_payload, batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d for d, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["page_id", "digest", "payload_bytes"])
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, "page_id long, digest string, payload_bytes long")
+
+
+def chunk_table(pages: DataFrame) -> DataFrame:
+    """PARTS: a row for each chunk of each row of `pages`; (part, row) is a number of the row, the same whenever it is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+        names = [c.split()[0] for c in PARTS.split(", ")]
+        part, row, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+
+        for batch in batches:
+            for page_id, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                payload = _payload(html)
+                digest = _digest(payload)
+                for no, chunk in enumerate(_chunks(payload)):
+                    held.append((page_id, url, digest, len(payload), part, row, no, bytes(chunk)))
+                    size += len(chunk)
+                    if size >= 8 * CHUNK or len(held) >= 2000:
+                        yield flush()
+                        held, size = [], 0
+                row += 1
+        if held:
+            yield flush()
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, PARTS)
+
+
 def planned(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, payload, payload_bytes, digest, refers_to: what each record is to be.
+    """The chunks of all records, each record's together and in order, after a row without a chunk (chunk_no -1) that names the response where it is to be a revisit (refers_to).
 
     Of equal payloads of at least min_revisit bytes the row with the largest page_id is the response; rows that repeat it
     are responses too. Null html is an empty payload. Where a group has null page_ids only, all are responses.
     """
-    rows = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    heads = rows.where(F.col("payload_bytes") >= min_revisit).groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("top"), F.count("*").alias("c")).where("c > 1 AND top IS NOT NULL").select("d", "top")
-    joined = rows.join(heads, F.col("digest") == F.col("d"), "left")
-    return joined.select("page_id", "url", "payload", "payload_bytes", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("top")), F.col("top")).alias("refers_to"))
+    found = digests(pages)
+    heads = found.where(F.col("payload_bytes") >= min_revisit).groupBy(F.col("digest").alias("d")).agg(F.max("page_id").alias("top"), F.count("*").alias("c")).where("c > 1 AND top IS NOT NULL").select("d", "top")
+    told = found.distinct().join(heads, F.col("digest") == F.col("d")).where(~F.col("page_id").eqNullSafe(F.col("top")))
+    salts = F.when(F.col("page_id").isNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    told = told.select("page_id", "digest", F.col("top").alias("refers_to"), F.explode(salts).alias("salt"), F.lit(-1).alias("chunk_no"))
+    chunks = chunk_table(pages).withColumn("salt", F.when(F.col("page_id").isNull(), F.pmod("row", F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    both = chunks.unionByName(told, allowMissingColumns=True)
+    return both.repartition("page_id", "digest", "salt").sortWithinPartitions("page_id", "digest", "salt", F.col("part").asc_nulls_first(), "row", "chunk_no").drop("part", "row", "salt")
 
 
 def _line(value: object) -> str:
@@ -62,18 +128,22 @@ def _heads(page_id: int | None, url: str | None, size: int, digest: str, refers_
 
 def write(records: DataFrame, path: str, *, level: int = 4, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes rows of planned() to .warc.gz files under path (any file system URI that pyarrow knows); returns the manifest: file, records."""
-    size = F.col("payload_bytes")
-    sent = F.when(F.col("refers_to").isNull() & (size > 0), F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(size / CHUNK) - 1), lambda i: F.substring("payload", (i * CHUNK + 1).cast("int"), F.lit(CHUNK)))).otherwise(F.array(F.lit(b"")))
-    chunks = records.select("page_id", "url", "payload_bytes", "digest", "refers_to", F.posexplode(sent).alias("chunk_no", "chunk"))
+    chunks = records.select("page_id", "url", "payload_bytes", "digest", "refers_to", "chunk_no", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pa.fs.FileSystem.from_uri(path)
         fs.create_dir(root, recursive=True)
         done, out, name, packer, records_in, written = [], None, "", None, 0, 0
+        told: tuple | None = None  # the last decision: page_id, digest, refers_to
+        to: int | None = None
         try:
             for batch in batches:
                 for page_id, url, size, digest, refers_to, chunk_no, chunk in zip(*(c if i == 6 else c.to_pylist() for i, c in enumerate(batch.columns)), strict=True):
+                    if chunk_no < 0:
+                        told = (page_id, digest, refers_to)
+                        continue
                     if chunk_no == 0:
+                        to = told[2] if told is not None and told[:2] == (page_id, digest) else None
                         if packer is not None:
                             out.write(packer.compress(b"\r\n\r\n") + packer.flush())
                         if out is None or written >= file_bytes:
@@ -83,8 +153,10 @@ def write(records: DataFrame, path: str, *, level: int = 4, file_bytes: int = FI
                             name, records_in, written = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                             out = fs.open_output_stream(f"{root}/.{name}.tmp", compression=None)
                         packer = zlib.compressobj(level, zlib.DEFLATED, 31)
-                        out.write(packer.compress(_heads(page_id, url, size, digest, refers_to)))
+                        out.write(packer.compress(_heads(page_id, url, size, digest, to)))
                         records_in += 1
+                    if to is not None:
+                        continue
                     data = packer.compress(chunk.as_buffer())
                     written += len(data) + 200
                     out.write(data)
