@@ -526,6 +526,22 @@ def test_tiles_by_brute_force():
             used_a |= set(range(best[1], best[1] + best[0]))
             used_b |= set(range(best[2], best[2] + best[0]))
         assert decontaminate.tiles(i, j, w) == want
+        assert sum(t[0] for t in decontaminate.tiles(i, j, w, words=len(b))) == sum(t[0] for t in want)
+
+
+def test_decontamination_in_bounded_blocks_of_seed_pairs(monkeypatch):
+    """Documents that repeat an item's words over and over: the same tiles in small blocks of pairs, and a million pairs at once never."""
+    rng = random.Random(3)
+    items = decontaminate.Items([1, 2, 3], ["a b a b a b c d e f", "x " * 50, " ".join(f"w{k}" for k in range(30))], 5)
+    texts = ["a b " * 40 + "c d e f", "x " * 300, "y x " * 20, " ".join(f"w{k}" for k in [*range(15, 30), 99, *range(15)]), " ".join(rng.choice("abx") for _ in range(200))]
+    found = lambda: list(items.covered(*kernels.word_hashes(*kernels.flat(pa.array(texts))), 0.5))
+    whole = found()
+    assert {(d, q) for d, q, _, _ in whole} >= {(0, 0), (1, 1), (3, 2)}
+    monkeypatch.setattr(decontaminate, "PAIRS", 7)
+    assert found() == whole
+    monkeypatch.setattr(decontaminate, "PAIRS", 200_000)
+    long = kernels.word_hashes(*kernels.flat(pa.array(["x " * 60_000])))
+    assert list(items.covered(*long, 0.8)) == [(0, 1, 50, 1)]
 
 
 def test_decontamination(spark, empty):
@@ -542,7 +558,7 @@ def test_decontamination(spark, empty):
 
 
 def test_warc(spark, tmp_path):
-    big = "é" * 700_000
+    big = "é" * 3_000_000
     rows = [(1, "http://a\r\nX: y", "x" * 1000), (2, None, "x" * 1000), (3, "u", "x" * 999), (4, "u", "x" * 999), (5, "u", None), (6, "u", ""), (7, "u", big), (9, "u", big), (None, "u", big), (None, "u", "solo"), (2, None, "x" * 1000)]
     pages = spark.createDataFrame([(*r, "d") for r in rows], "page_id long, url string, html string, digest string")
     top = {h: max(i for i, _, g in rows if g == h and i is not None) for h in ("x" * 1000, big)}

@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.kernels import U64, WORD_CODE, flat, mix, slices, word_hashes
+from weftline.llm.kernels import U64, WORD_CODE, flat, mix, ranges, slices, word_hashes
 
 BLOCK_WORDS = 1_000_000
+#: Seed pairs that are in memory at once; a document that repeats an item's words a million times has many more.
+PAIRS = 2_000_000
 
 
 def windows(h: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,23 +37,32 @@ def windows(h: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.n
     return mix(s[first]), first
 
 
-def tiles(i: np.ndarray, j: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of the matches that the seeds (i in the document, j in the item) make: (length, i, j) of each tile.
-
-    Ties go to the earliest place in the document, then in the item.
-    """
-    order = np.lexsort((i, j - i))
-    i, j = i[order], j[order]
+def chains(doc: np.ndarray, item: np.ndarray, i: np.ndarray, j: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of n seeds each (i in the document, j in the item) put together where one follows another on its diagonal, by document, item and diagonal."""
+    order = np.lexsort((i, j - i, item, doc))
+    doc, item, i, j, n = doc[order], item[order], i[order], j[order], n[order]
+    if not len(i):
+        return doc, item, i, j, n
     new = np.ones(len(i), bool)
-    new[1:] = ((j - i)[1:] != (j - i)[:-1]) | (i[1:] != i[:-1] + 1)
+    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | ((j - i)[1:] != (j - i)[:-1]) | (i[1:] != i[:-1] + n[:-1])
     starts = np.flatnonzero(new)
-    size = np.diff(np.append(starts, len(i))) + width - 1
-    heap = [(-n, a, b) for n, a, b in zip(size.tolist(), i[starts].tolist(), j[starts].tolist(), strict=True)]
+    return doc[starts], item[starts], i[starts], j[starts], np.add.reduceat(n, starts)
+
+
+def tiles(i: np.ndarray, j: np.ndarray, width: int, n: np.ndarray | None = None, words: int | None = None) -> list[tuple[int, int, int]]:
+    """Greedy string tiling of the matches that the seeds (i in the document, j in the item; or runs of n seeds) make: (length, i, j) of each tile.
+
+    Ties go to the earliest place in the document, then in the item. With `words`, the item's size, it ends as soon as
+    too few of them are free for another tile.
+    """
+    zero = np.zeros(len(i), np.int64)
+    _, _, i, j, n = chains(zero, zero, i, j, np.ones(len(i), np.int64) if n is None else n)
+    heap = [(-k, a, b) for k, a, b in zip((n + width - 1).tolist(), i.tolist(), j.tolist(), strict=True)]
     heapq.heapify(heap)
     taken_i: set[int] = set()
     taken_j: set[int] = set()
     out = []
-    while heap:
+    while heap and (words is None or words - len(taken_j) >= width):
         n, a, b = heapq.heappop(heap)
         free = [a + k not in taken_i and b + k not in taken_j for k in range(-n)]
         if all(free):
@@ -92,20 +103,32 @@ class Items:
             lo = np.searchsorted(seeds, s, "left")
             hit = np.flatnonzero(seeds[np.minimum(lo, len(seeds) - 1)] == s)
             n = np.searchsorted(seeds, s[hit], "right") - lo[hit]
-            take = np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(hit) else np.zeros(0, np.int64)
-            i, item, j = np.repeat(first[hit], n), items[take], places[take]
-            doc = np.searchsorted(at, i, "right") - 1
-            order = np.lexsort((item, doc))
-            doc, item, i, j = doc[order], item[order], i[order], j[order]
-            if not len(doc):
+            parts = []
+            total = np.cumsum(n)
+            at_hit = 0
+            while at_hit < len(hit):  # as many seed pairs at a time as PAIRS allows, kept as runs
+                done = total[at_hit - 1] if at_hit else 0
+                to = max(at_hit + 1, int(np.searchsorted(total, done + PAIRS, "right")))
+                some, k = hit[at_hit:to], n[at_hit:to]
+                take = ranges(lo[some], k)
+                i, item, j = np.repeat(first[some], k), items[take], places[take]
+                parts.append(chains(np.searchsorted(at, i, "right") - 1, item, i, j, np.ones(len(i), np.int64)))
+                at_hit = to
+            if not parts:
                 continue
+            doc, item, i, j, n = parts[0] if len(parts) == 1 else chains(*map(np.concatenate, zip(*parts, strict=True)))
             cuts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]))
             for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True):
-                d, q, need = int(doc[a]), int(item[a]), least * self.words[item[a]] - 1e-9
-                if len(np.unique((j[a:b, None] + np.arange(w)).ravel())) >= need:
-                    found = tiles(i[a:b], j[a:b], w)
-                    if (total := sum(t[0] for t in found)) >= need:
-                        yield d, q, total, len(found)
+                d, q = int(doc[a]), int(item[a])
+                words = int(self.words[q])
+                need = least * words - 1e-9
+                edge = np.zeros(words + 1, np.int64)
+                np.add.at(edge, j[a:b], 1)
+                np.add.at(edge, j[a:b] + n[a:b] + w - 1, -1)
+                if (np.cumsum(edge) > 0).sum() >= need:
+                    found = tiles(i[a:b], j[a:b], w, n[a:b], words)
+                    if (covered := sum(t[0] for t in found)) >= need:
+                        yield d, q, covered, len(found)
 
 
 def blocks(benchmark: DataFrame, width: int, most_words: int) -> Iterator[Items]:
