@@ -609,3 +609,34 @@ def test_pipeline(spark, tmp_path, docs):
     assert {30, 31, 32, 33, 36}.isdisjoint(kept) and len(cut[35][0]) == 1
     assert sorted((r["doc_id"], r["piece"]) for r in got) == [(i, 0) for i in sorted(kept)]
     assert all(r["ids_crc32"] == zlib.crc32(np.array([*ids[r["doc_id"]], 2], "<u4").tobytes()) for r in got)
+
+
+LONG = " ".join(f"word{i % 9973}x{i % 7}" for i in range(120_000)) + "."
+
+
+def test_texts_longer_than_a_slice_and_rows_without_an_id(spark):
+    """A text of more than a megabyte, null ids, and one id with two texts, through every operator of documents."""
+    import corpus_pipeline
+
+    assert len(LONG) > 1_300_000
+    rows = [(1, LONG), (2, LONG + " and more"), (None, "one two three four five six seven eight nine ten eleven"), (None, "é " * 500), (None, None), (7, "a b c d e f g h i j k l é"), (7, LONG[:3000]), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    size = {t: len((t or "").encode()) for _, t in rows}
+    assert sorted(r["n_bytes"] for r in substring_dedup.dedup(docs).collect()) == sorted(size[t] for _, t in rows)
+    got = {(r["doc_id"], r["n_bytes"]): r["kept_sha256"] for r in run_length_index.dedup(docs).collect()}
+    assert len(got) == 8 and got[7, 3000] == hashlib.sha256(b"").hexdigest() and got[7, 26] == hashlib.sha256("a b c d e f g h i j k l é".encode()).hexdigest()
+    near = near_dup.near_dups(docs).collect()
+    assert len(near) == 8 and {r["component_id"] for r in near if r["doc_id"] in (1, 2)} == {1}
+    kept = sorted((str(r["doc_id"]), (r["text"] or "")[:9]) for r in near_dup.deduplicated(docs).collect())
+    assert kept == sorted((str(i), (t or "")[:9]) for i, t in rows if i != 2)
+    assert sorted(r["length"] for r in packing.pack(docs).collect() if r["piece"] and r["doc_id"] in (1, 2))[0] == 1024
+    tokens_of = {r["doc_id"]: r["n_tokens"] for r in wavelet.round_trip(docs.where("doc_id < 3")).collect()}
+    assert tokens_of[2] == tokens_of[1] + len(pieces_of(tokens.vocabulary("word_bpe_49k.json"), [" and more"])[0]) and wavelet.round_trip(docs).count() == 8
+    assert len(sharding.shard(docs, n=3).collect()) == 8
+    bench = spark.createDataFrame([(1, " ".join(LONG.split(" ")[60_000:60_040])), (2, "one two three four five six")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()} == {(1, 1), (2, 1), (None, 2)}
+    stats = quality_rules.statistics(docs).collect()
+    assert sorted(r["n_words"] for r in stats) == sorted(text_statistics(t)[0] for _, t in rows)
+    staged = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    cut = corpus_pipeline.substring_dedup_stage(spark, corpus_pipeline.near_dedup(spark, staged, ""), "")
+    assert cut.columns == staged.columns and {r["doc_id"] for r in cut.collect()} == {1, None, 7}

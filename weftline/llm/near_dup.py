@@ -284,3 +284,14 @@ def near_dups(docs: DataFrame, *, width: int = 5, percent: int = 80, k: int = K)
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(by_class, "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, **how) -> DataFrame:
+    """The rows of `docs` with the least doc_id of each component, with all their columns; see `near_dups`.
+
+    A row is named by doc_id and text together, so rows without a doc_id, or of one doc_id and different texts, are documents
+    of their own; null doc_ids come last. Of rows that agree in both one stays.
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.coalesce(F.md5("text"), F.lit("")).alias("t"))
+    kept = near_dups(docs.select(key.alias("doc_id"), "text"), **how).where("kept").select(F.col("doc_id").alias("__key")).distinct()
+    return docs.withColumn("__key", key).join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])

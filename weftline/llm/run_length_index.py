@@ -165,7 +165,7 @@ class RunLengthIndex:
 
 
 def _segments(docs: DataFrame, least: int, gram: int) -> DataFrame:
-    """f, g (128-bit digest of the segment and meta), meta (string starts << 32 | place of the fingerprint), doc_id, start."""
+    """f, g (128-bit digest of the segment and meta), meta (string starts << 32 | place of the fingerprint), doc_id, h (hash of the text), start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,15 +177,15 @@ def _segments(docs: DataFrame, least: int, gram: int) -> DataFrame:
                 meta = ((last - first + 1) << 32) | (place - first)
                 data = memoryview(np.ascontiguousarray(b))
                 g = [hashlib.blake2b(data[s : s + k], digest_size=16, salt=m.to_bytes(8, "little")).digest() for s, k, m in zip(first.tolist(), size.tolist(), meta.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(g, pa.binary()), pa.array(meta), part.column(0).take(pa.array(row)), pa.array(first - o[row])], names=["f", "g", "meta", "doc_id", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(g, pa.binary()), pa.array(meta), part.column(0).take(pa.array(row)), part.column(2).take(pa.array(row)), pa.array(first - o[row])], names=["f", "g", "meta", "doc_id", "h", "start"])
 
-    return docs.mapInArrow(run, "f long, g binary, meta long, doc_id long, start long")
+    return docs.mapInArrow(run, "f long, g binary, meta long, doc_id long, h long, start long")
 
 
 def _bytes(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """f, g, meta, hot, data: the bytes of the wanted segments (f, g, meta, hot, doc_id, start), cut again from the texts."""
-    by_doc = wanted.groupBy(F.col("doc_id").alias("__d")).agg(F.collect_list(F.struct("f", "g", "meta", "hot", "start")).alias("want"))
-    rows = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("__d"))).select("text", "want")
+    """f, g, meta, hot, data: the bytes of the wanted segments (f, g, meta, hot, doc_id, h, start), cut again from the texts."""
+    by_doc = wanted.groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).agg(F.collect_list(F.struct("f", "g", "meta", "hot", "start")).alias("want"))
+    rows = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("h") == F.col("__h"))).select("text", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,25 +297,24 @@ def dedup(docs: DataFrame, *, least: int = LEAST, gram: int = GRAM, block: int =
 
     kept holds the remaining bytes, which may end inside a character. Each byte covered by a string of `least` bytes that
     starts anywhere else in the corpus goes. Matches never cross documents. Null texts count as empty; an empty table gives
-    an empty result; other columns of `docs` are left out. Rows that repeat a doc_id are found as copies like others, but
-    must not differ in text.
+    an empty result; other columns of `docs` are left out. Rows that repeat a doc_id, or have none, are documents like others.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     rows = scratch(_segments(docs, least, gram), "segments")
-    alike = scratch(rows.groupBy("f", "g").agg(F.first("meta").alias("meta"), F.count("*").alias("c"), F.min(F.struct("doc_id", "start")).alias("at")), "alike")
+    alike = scratch(rows.groupBy("f", "g").agg(F.first("meta").alias("meta"), F.count("*").alias("c"), F.min(F.struct("doc_id", "h", "start")).alias("at")), "alike")
     size = (F.shiftright("meta", 32) + least).cast("long")
     by_f = alike.groupBy("f").agg(F.sum("c").alias("total"), F.count("*").alias("kinds"), F.sum(size + 1).alias("size")).where("total > 1")
     shared = scratch(alike.join(by_f, "f").select("f", "g", "meta", "c", "at", "kinds", (F.col("size") > most).alias("hot")), "shared")
     drop_scratch(docs.sparkSession, alike)
-    wanted = shared.where("kinds > 1").select("f", "g", "meta", "hot", F.col("at.doc_id").alias("doc_id"), F.col("at.start").alias("start"))
+    wanted = shared.where("kinds > 1").select("f", "g", "meta", "hot", F.col("at.doc_id").alias("doc_id"), F.col("at.h").alias("h"), F.col("at.start").alias("start"))
     data = scratch(_bytes(docs, wanted, least).dropDuplicates(["f", "g"]), "bytes")
     marks = _indexed(data.where("NOT hot"), least, block).unionByName(_dealt_again(data.where("hot"), least, block, most, step))
     whole = shared.where("c > 1").select("f", "g", F.lit(0).cast("long").alias("lo"), F.shiftright("meta", 32).alias("hi"))
     marks = scratch(marks.join(whole.select("f", "g"), ["f", "g"], "left_anti").unionByName(whole), "marks")
     drop_scratch(docs.sparkSession, data, shared)
-    spans = rows.join(marks, ["f", "g"]).select("doc_id", (F.col("start") + F.col("lo")).alias("s"), (F.col("start") + F.col("hi") - 1 + least).alias("e"))
-    by_doc = spans.groupBy(F.col("doc_id").alias("__d")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    joined = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("__d")), "left").select("doc_id", "text", "spans")
+    spans = rows.join(marks, ["f", "g"]).select("doc_id", "h", (F.col("start") + F.col("lo")).alias("s"), (F.col("start") + F.col("hi") - 1 + least).alias("e"))
+    by_doc = spans.groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    joined = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("h") == F.col("__h")), "left").select("doc_id", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())

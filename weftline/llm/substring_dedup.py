@@ -102,7 +102,7 @@ def run_table(b: np.ndarray, o: np.ndarray, min_words: int) -> tuple[np.ndarray,
 
 
 def units(docs: DataFrame, min_words: int, passages: bool = False) -> DataFrame:
-    """doc_id, start, end, d1, d2 for the units (with passages: the runs of units) of min_words words or more."""
+    """doc_id, h (hash of the text), start, end, d1, d2 for the units (with passages: the runs of units) of min_words words or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,18 +113,19 @@ def units(docs: DataFrame, min_words: int, passages: bool = False) -> DataFrame:
                 else:
                     row, start, end, n, d1, d2 = unit_table(*flat(part.column(1)))
                     keep = n >= min_words
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row[keep])), *(pa.array(x[keep]) for x in (start, end, d1, d2))], names=["doc_id", "start", "end", "d1", "d2"])
+                of = pa.array(row[keep])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(2).take(of), *(pa.array(x[keep]) for x in (start, end, d1, d2))], names=["doc_id", "h", "start", "end", "d1", "d2"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, end long, d1 long, d2 long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id long, h long, start long, end long, d1 long, d2 long")
 
 
 def repeats(docs: DataFrame, min_words: int = 8, passages: bool = False) -> DataFrame:
-    """doc_id, spans (array of struct<start, end>): the units, or runs that may overlap, to remove from each document that has any."""
+    """doc_id, h, spans (array of struct<start, end>): the units, or runs that may overlap, to remove from each document that has any."""
     found = units(docs, min_words, passages)
-    first = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("c")).where("c > 1").select("d1", "d2", "first")
+    first = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "h", "start")).alias("first"), F.count("*").alias("c")).where("c > 1").select("d1", "d2", "first")
     first = scratch(first, "first")
-    later = found.join(first, ["d1", "d2"]).where(~F.struct("doc_id", "start").eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    later = found.join(first, ["d1", "d2"]).where(~F.struct("doc_id", "h", "start").eqNullSafe(F.col("first")))
+    return later.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 
 def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -136,15 +137,21 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
+def _of_row(h: str = "h"):
+    """Whether marks (__d, h) are those of a row: of its doc_id and its text."""
+    return F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col(h))
+
+
 def dedup(docs: DataFrame, *, min_words: int = 8) -> DataFrame:
     """doc_id, n_bytes, n_removed (bytes), n_spans (removed units), spans ("start-end," in bytes of the original), kept_text, kept_sha256.
 
     One row for each row of `docs` (doc_id, text). Null texts count as empty. Rows that repeat a doc_id with the same text
-    count as one document: its first occurrences stay in each of them. Null doc_ids rank first and are one document too.
+    count as one document: its first occurrences stay in each of them; with other texts they are other documents, ranked by
+    a hash of the text. Null doc_ids rank first.
     An empty table gives an empty result; other columns of `docs` are left out.
     """
-    marks = repeats(docs, min_words).select(F.col("doc_id").alias("__d"), "spans")
-    joined = docs.select("doc_id", "text").join(marks, F.col("doc_id").eqNullSafe(F.col("__d")), "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "spans")
+    marks = repeats(docs, min_words).select(F.col("doc_id").alias("__d"), "h", "spans")
+    joined = docs.select("doc_id", "text").join(marks, _of_row(), "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,8 +174,8 @@ def without_repeats(docs: DataFrame, *, min_words: int = 8, passages: bool = Fal
 
     Texts of which only white space is left are dropped, null texts too. Other columns stay as they are.
     """
-    marks = repeats(docs, min_words, passages).select(F.col("doc_id").alias("__d"), F.col("spans").alias("__spans"))
-    joined = docs.join(marks, F.col("doc_id").eqNullSafe(F.col("__d")), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__spans")
+    marks = repeats(docs, min_words, passages).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
+    joined = docs.join(marks, _of_row("__h"), "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__spans")
     names = docs.columns
     text, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
