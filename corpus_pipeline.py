@@ -25,10 +25,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, similarity 0.8): that with the smallest doc_id.
 
-    Rows that repeat a doc_id are one document. Rows without a doc_id cannot be named as a group's and are dropped.
+    Rows without a doc_id, or of one doc_id and different texts, are documents of their own; of rows that agree in both one stays.
     """
-    kept = near_dup.near_dups(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return near_dup.deduplicated(docs)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
