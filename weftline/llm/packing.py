@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import partitions, rank_within, scratch
 from weftline.llm.kernels import slices
-from weftline.llm.tokens import encoder, vocabulary, with_end
+from weftline.llm.tokens import ENCODED_BYTES, encoder, vocabulary, with_end
 
 
 @dataclass(frozen=True)
@@ -97,7 +97,7 @@ def pieces(docs: DataFrame, tokenizer: str, tokens: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch, "text", 4_000_000):
+            for part in slices(batch, "text", ENCODED_BYTES):
                 ids, at = with_end(*encode(part.column(1)))
                 data = memoryview(ids.astype("<u4")).cast("B")
                 n = np.diff(at)

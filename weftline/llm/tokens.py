@@ -30,9 +30,11 @@ from tokenizers.models import BPE
 from weftline.llm.kernels import ragged, ranges
 
 END = 2
-CACHE = 600_000
+CACHE = 250_000
 PART_TEXTS, PART_CHARS = 4096, 200_000
 ROW = 1000
+#: Bytes of text that callers should pass at a time; one longer text goes alone.
+ENCODED_BYTES = 2_000_000
 #: Marks that may follow letters in a piece: all of ASCII but the apostrophe, with which contractions begin.
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
@@ -115,7 +117,11 @@ class WordCache:
         return out
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces and how many each has."""
+        """Ids of pieces and how many each has, some pieces at a time: lists of ids take far more memory than arrays."""
+        parts = [self._encode_some(words[k : k + PART_TEXTS]) for k in range(0, len(words), PART_TEXTS)]
+        return np.concatenate([np.zeros(0, np.uint16), *[ids for ids, _ in parts]]), np.concatenate([np.zeros(0, np.int64), *[n for _, n in parts]])
+
+    def _encode_some(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = self._letters(words) if self.direct else [None] * len(words)
         rest = [k for k, ids in enumerate(found) if ids is None]
         if rest:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import partitions, scratch, scratch_path
 from weftline.llm.kernels import slices
-from weftline.llm.tokens import encoder, vocabulary, with_end
+from weftline.llm.tokens import ENCODED_BYTES, encoder, vocabulary, with_end
 
 MAGIC = b"WLWM0001"
 BITS = 16
@@ -185,7 +185,7 @@ def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, shard_tok
             held, size = [], 0
 
         for batch in batches:
-            for part in slices(batch, "text", 4_000_000):
+            for part in slices(batch, "text", ENCODED_BYTES):
                 task = part.column(2)[0].as_py()
                 ids, at = with_end(*encode(part.column(1)))
                 held.append((ids.astype(np.uint16), at, part.column(0).cast(pa.int64())))
