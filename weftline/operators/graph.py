@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import semiring
 from weftline.plans.ir import Atom, Const, Positive, Rule, Term, Var
-from weftline.session import scratch
+from weftline.session import counted, joined_parts, scratch
 
 
 class PropertyGraph:
@@ -60,8 +60,8 @@ def shortest_paths(edges: DataFrame, source, *, max_rounds: int = 10_000) -> Dat
     for _ in range(max_rounds):
         step = near.join(best_edges, near.id == best_edges.src).groupBy(F.col("dst").alias("to")).agg(F.min(F.col("dist") + F.col("w")).alias("d"))
         known = dist.select(F.col("id").alias("k"), F.col("dist").alias("old"))
-        near = scratch(step.join(known, F.col("to") == known.k, "left").where("old IS NULL OR d < old").select(F.col("to").alias("id"), F.col("d").alias("dist")), "nearer")
-        if near.isEmpty():
+        near, some = counted(step.join(known, F.col("to") == known.k, "left").where("old IS NULL OR d < old").select(F.col("to").alias("id"), F.col("d").alias("dist")), "nearer")
+        if not some:
             return dist
         dist = scratch(dist.union(near).groupBy("id").agg(F.min("dist").alias("dist")), "dist")
     raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
@@ -70,12 +70,15 @@ def shortest_paths(edges: DataFrame, source, *, max_rounds: int = 10_000) -> Dat
 def k_hops(edges: DataFrame, source, k: int) -> DataFrame:
     """id: vertices at most k edges from the source, itself included."""
     kind = dict(edges.dtypes)["src"]
-    seen = edges.sparkSession.range(1).select(F.lit(source).cast(kind).alias("id"))
-    near = seen
+    seen = near = scratch(edges.sparkSession.range(1).select(F.lit(source).cast(kind).alias("id")), "seen")
+    parts = [seen]
     for _ in range(k):
         step = near.join(edges.select("src", "dst"), near.id == F.col("src")).select(F.col("dst").alias("id")).distinct()
-        near = scratch(step.join(seen.select(F.col("id").alias("s")), F.col("id") == F.col("s"), "left_anti"), "hop")
-        seen = scratch(seen.union(near), "seen")
+        near, some = counted(step.join(seen.select(F.col("id").alias("s")), F.col("id") == F.col("s"), "left_anti"), "hop")
+        if not some:
+            break
+        parts.append(near)
+        seen = joined_parts(parts)
     return seen
 
 
@@ -91,11 +94,12 @@ def all_pairs(edges: DataFrame, vertices: DataFrame | None = None, *, weighted:
     for _ in range(max_rounds):
         b = dist.toDF("m", "end", "more")
         longer = dist.join(b, dist.dst == b.m).select("src", F.col("end").alias("dst"), (F.col("dist") + F.col("more")).alias("dist"))
-        new = scratch(longer.groupBy("src", "dst").agg(F.min("dist").alias("dist")), "pairs")
         old = dist.toDF("s", "d", "was")
-        if new.join(old, (new.src == old.s) & (new.dst == old.d), "left").where("was IS NULL OR dist < was").isEmpty():
-            return new
-        dist = new
+        new = longer.groupBy("src", "dst").agg(F.min("dist").alias("dist"))
+        nearer, some = counted(new.join(old, (new.src == old.s) & (new.dst == old.d), "left").where("was IS NULL OR dist < was").select("src", "dst", "dist"), "nearer")
+        if not some:
+            return dist
+        dist = scratch(dist.union(nearer).groupBy("src", "dst").agg(F.min("dist").alias("dist")), "pairs")
     raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
 
 
@@ -113,11 +117,10 @@ def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
         votes = links.join(labels, links.dst == labels.id).select(F.col("src").alias("v"), "label", "c").union(labels.select("id", "label", F.lit(1).cast("bigint")))
         tally = votes.groupBy("v", "label").agg(F.sum("c").alias("c"))
         best = tally.groupBy("v").agg(F.min_by("label", F.struct(-F.col("c"), "label")).alias("label"))
-        new = scratch(best.select(F.col("v").alias("id"), "label"), "labels")
-        old = labels.select(F.col("id").alias("k"), F.col("label").alias("was"))
-        same = new.join(old, new.id == old.k).where("label <> was").isEmpty()
-        labels = new
-        if same:
+        step = labels.withColumnRenamed("label", "was").join(best, F.col("id") == F.col("v")).select("id", "label", (F.col("label") != F.col("was")).alias("moved"))
+        done = scratch(step, "labels")
+        labels = done.select("id", "label")
+        if done.where("moved").isEmpty():
             break
     return labels
 
@@ -216,8 +219,8 @@ def taint(transfers: DataFrame, source, *, max_hops: int = 5) -> DataFrame:
     total, near = start, start
     for _ in range(max_hops):
         moved = near.join(step, near.account == step.src).select(F.col("dst").alias("account"), semiring.monomial_times(F.col("mono"), semiring.monomial(F.col("tx"))).alias("mono"), "coeff")
-        near = scratch(summed(moved), "taint")
-        if near.isEmpty():
+        near, some = counted(summed(moved), "taint")
+        if not some:
             break
         total = total.union(near)
     return summed(total)
