@@ -400,6 +400,48 @@ def test_wavelet_matrix():
         m.occurrence(5, 10**6)
 
 
+@pytest.mark.parametrize("n", [0, 1, 512, 70_000, 200_001])
+def test_shard_file_answers_from_the_file(n):
+    """Access, rank, select, count and occurrence without the whole file, at and around the borders of blocks and groups."""
+
+    class Counted(io.BytesIO):
+        bytes_read = 0
+
+        def read(self, size=-1):
+            out = super().read(size)
+            Counted.bytes_read += len(out)
+            return out
+
+    rng = np.random.default_rng(n)
+    x = np.minimum(rng.zipf(1.3, n), 49_407)
+    data = wavelet.dump(x, np.array([9]), np.array([True]), np.array([0, n]))
+    file = wavelet.ShardFile(Counted(data))
+    assert (file.matrix().tokens() == x).all() and [a.tolist() for a in file.documents()] == [[9], [True], [0, n]]
+    with pytest.raises(ValueError, match="not a wavelet"):
+        wavelet.ShardFile(io.BytesIO(b"x" * 100))
+    if not n:
+        assert file.count(1) == 0
+        return
+    Counted.bytes_read = 0
+    places = sorted({0, n - 1, *(p for b in range(0, n, 65_536) for p in (b - 1, b, b + 511, b + 512) if 0 <= p < n)})
+    assert [file.access(p) for p in places] == x[places].tolist()
+    for token in (1, int(x[-1]), 49_000):
+        at = np.flatnonzero(x == token)
+        assert file.count(token) == len(at) and file.count(token, n // 2) == (x[: n // 2] == token).sum()
+        assert [file.occurrence(token, k) for k in range(min(3, len(at)))] == at[:3].tolist()
+    file = wavelet.ShardFile(Counted(data))
+    Counted.bytes_read = 0
+    assert file.access(n // 2) == x[n // 2] and (n < 10**5 or Counted.bytes_read < len(data) / 2)
+
+
+def test_lookup_over_shards(docs, spark, tmp_path):
+    manifest = wavelet.write(docs, f"file://{tmp_path}/shards", shard_tokens=500).persist()
+    want = collections.Counter(t for ids in pieces_of(tokens.vocabulary("word_bpe_49k.json"), [r["text"] for r in docs.collect()]) for t in [*ids, 2])
+    ask = [2, *[t for t, _ in want.most_common(3)], 49_000]
+    got = wavelet.lookup(manifest, ask).groupBy("token").agg(F.sum("count").alias("n")).collect()
+    assert manifest.count() > 1 and {r["token"]: r["n"] for r in got} == {t: want[t] for t in ask}
+
+
 def test_wavelet_round_trip(docs, empty):
     texts = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect())
     got = by_id(wavelet.round_trip(docs))

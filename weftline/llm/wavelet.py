@@ -3,7 +3,9 @@
 A shard file holds the ids of a run of documents in ascending doc_id order as 16 bit planes, most significant first: each
 plane has a bit for every token, and the tokens of the next plane are stably parted by it, zeros first. A count of ones
 before every block of 512 bits gives rank in a look-up and one masked popcount, and select by bisection over the blocks.
-Planes, counts and document offsets are separately zstd-compressed sections behind a header of their sizes.
+Planes are compressed in groups of GROUP blocks, counts are stored as they are, and a header has the size of every group: a
+`ShardFile` answers access, rank, select, count and occurrence from the file, reading a few bytes of counts and inflating
+one group of 8 kB at a time.
 
 Files are written under temporary names in the shared folder and renamed; only those in the committed manifest are read,
 so a task that runs twice does no harm. A task writes one file for at most shard_tokens ids or one longer document.
@@ -11,10 +13,12 @@ so a task that runs twice does no harm. A task writes one file for at most shard
 
 from __future__ import annotations
 
+import io
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,42 +31,36 @@ from weftline.llm.common import partitions, scratch, scratch_path
 from weftline.llm.kernels import slices
 from weftline.llm.tokens import ENCODED_BYTES, encoder, vocabulary, with_end
 
-MAGIC = b"WLWM0001"
+MAGIC = b"WLWM0002"
 BITS = 16
 BLOCK = 512
+GROUP = 128
+HEAD = struct.Struct("<8sQQQ")  # magic, tokens, documents, bytes of the documents' section
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
-class WaveletMatrix:
-    """Planes of packed bits (low bit first) with ones counted before every block."""
+class Planes:
+    """What bit planes answer, from two things: the bytes of a block, and the ones before a block."""
 
-    def __init__(self, n: int, zeros: list[int], planes: list[np.ndarray], counts: list[np.ndarray]) -> None:
-        self.n, self.zeros, self.planes, self.counts = n, zeros, planes, counts
+    n: int
+    zeros: list[int]
 
-    @classmethod
-    def build(cls, tokens: np.ndarray) -> WaveletMatrix:
-        x = np.ascontiguousarray(tokens, np.uint16)
-        zeros, planes, counts = [], [], []
-        for b in range(BITS - 1, -1, -1):
-            bit = (x >> np.uint16(b)) & np.uint16(1) != 0
-            plane = np.packbits(bit, bitorder="little")
-            plane = np.concatenate([plane, np.zeros(-len(plane) % (BLOCK // 8), np.uint8)])
-            ones = _ONES[plane].reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.int64)
-            counts.append(np.concatenate([[0], np.cumsum(ones)]).astype(np.uint32))
-            planes.append(plane)
-            low, high = x[~bit], x[bit]
-            zeros.append(len(low))
-            x = np.concatenate([low, high])
-        return cls(len(tokens), zeros, planes, counts)
+    def _block(self, level: int, block: int) -> np.ndarray:
+        raise NotImplementedError
+
+    def _before(self, level: int, block: int) -> int:
+        raise NotImplementedError
 
     def bit(self, level: int, i: int) -> int:
-        return int(self.planes[level][i >> 3]) >> (i & 7) & 1
+        return int(self._block(level, i // BLOCK)[i % BLOCK >> 3]) >> (i & 7) & 1
 
     def rank1(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
         block = i // BLOCK
-        part = self.planes[level][block * (BLOCK // 8) : (i + 7) >> 3]
-        n = int(self.counts[level][block]) + int(_ONES[part].sum())
+        if not i % BLOCK:
+            return self._before(level, block)
+        part = self._block(level, block)[: i % BLOCK + 7 >> 3]
+        n = self._before(level, block) + int(_ONES[part].sum())
         return n - int(_ONES[int(part[-1]) >> (i & 7)]) if i & 7 and len(part) else n
 
     def select(self, level: int, bit: int, k: int) -> int:
@@ -109,6 +107,35 @@ class WaveletMatrix:
             at = self.select(level, one, at - self.zeros[level] if one else at)
         return at
 
+
+class WaveletMatrix(Planes):
+    """Planes of packed bits (low bit first) in memory, with ones counted before every block."""
+
+    def __init__(self, n: int, zeros: list[int], planes: list[np.ndarray], counts: list[np.ndarray]) -> None:
+        self.n, self.zeros, self.planes, self.counts = n, zeros, planes, counts
+
+    def _block(self, level: int, block: int) -> np.ndarray:
+        return self.planes[level][block * (BLOCK // 8) : (block + 1) * (BLOCK // 8)]
+
+    def _before(self, level: int, block: int) -> int:
+        return int(self.counts[level][block])
+
+    @classmethod
+    def build(cls, tokens: np.ndarray) -> WaveletMatrix:
+        x = np.ascontiguousarray(tokens, np.uint16)
+        zeros, planes, counts = [], [], []
+        for b in range(BITS - 1, -1, -1):
+            bit = (x >> np.uint16(b)) & np.uint16(1) != 0
+            plane = np.packbits(bit, bitorder="little")
+            plane = np.concatenate([plane, np.zeros(-len(plane) % (BLOCK // 8), np.uint8)])
+            ones = _ONES[plane].reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.int64)
+            counts.append(np.concatenate([[0], np.cumsum(ones)]).astype(np.uint32))
+            planes.append(plane)
+            low, high = x[~bit], x[bit]
+            zeros.append(len(low))
+            x = np.concatenate([low, high])
+        return cls(len(tokens), zeros, planes, counts)
+
     def tokens(self) -> np.ndarray:
         """All tokens in order: the planes are undone from the last to the first."""
         bits = [np.unpackbits(p, count=self.n, bitorder="little").view(bool) for p in self.planes]
@@ -128,29 +155,80 @@ class WaveletMatrix:
 
 
 def dump(tokens: np.ndarray, doc_ids: np.ndarray, has_id: np.ndarray, offsets: np.ndarray) -> bytes:
-    """The bytes of a shard file."""
+    """The bytes of a shard file: header, zeros of each plane, sizes of the groups, counts, the documents' section, groups."""
     m = WaveletMatrix.build(tokens)
-    raw = [doc_ids.astype("<i8"), has_id.astype(np.uint8), offsets.astype("<i8"), np.array(m.zeros, "<i8"), *m.planes, *(c.astype("<u4") for c in m.counts)]
-    packed = [zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(r).tobytes()) for r in raw]
-    head = struct.pack(f"<8sQQ{len(packed)}Q", MAGIC, len(tokens), len(doc_ids), *map(len, packed))
-    return head + b"".join(packed)
+    pack = zstandard.ZstdCompressor(level=1).compress
+    docs = pack(doc_ids.astype("<i8").tobytes() + has_id.astype(np.uint8).tobytes() + offsets.astype("<i8").tobytes())
+    step = GROUP * (BLOCK // 8)
+    groups = [pack(p[k : k + step].tobytes()) for p in m.planes for k in range(0, len(p), step)]
+    sizes = np.array([len(g) for g in groups], "<u4")
+    return b"".join([HEAD.pack(MAGIC, len(tokens), len(doc_ids), len(docs)), np.array(m.zeros, "<i8").tobytes(), sizes.tobytes(), *(c.astype("<u4").tobytes() for c in m.counts), docs, *groups])
+
+
+class ShardFile(Planes):
+    """A shard file that is read where a question needs it; `source` is open and can be sought. Keeps the last groups that it inflated."""
+
+    def __init__(self, source, kept: int = 64) -> None:
+        self.source = source
+        source.seek(0)
+        magic, self.n, self.docs, docs_size = HEAD.unpack(source.read(HEAD.size))
+        if magic != MAGIC:
+            raise ValueError("not a wavelet-matrix shard")
+        self.zeros = np.frombuffer(source.read(8 * BITS), "<i8").tolist()
+        self.blocks = -(-self.n // BLOCK)
+        self.groups = -(-self.blocks // GROUP)
+        sizes = np.frombuffer(source.read(4 * BITS * self.groups), "<u4").astype(np.int64)
+        self.counts_at = HEAD.size + 8 * BITS + 4 * len(sizes)
+        self.docs_at, self.docs_size = self.counts_at + 4 * BITS * (self.blocks + 1), docs_size
+        self.at = self.docs_at + docs_size + np.concatenate([[0], np.cumsum(sizes)])
+        self._group = lru_cache(maxsize=kept)(self._inflated)
+
+    def _read(self, at: int, size: int) -> bytes:
+        self.source.seek(int(at))
+        return self.source.read(int(size))
+
+    def _inflated(self, k: int) -> np.ndarray:
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(self._read(self.at[k], self.at[k + 1] - self.at[k])), np.uint8)
+
+    def _block(self, level: int, block: int) -> np.ndarray:
+        at = block % GROUP * (BLOCK // 8)
+        return self._group(level * self.groups + block // GROUP)[at : at + BLOCK // 8]
+
+    def _before(self, level: int, block: int) -> int:
+        return struct.unpack("<I", self._read(self.counts_at + 4 * (level * (self.blocks + 1) + block), 4))[0]
+
+    def documents(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """doc_ids, which of them are not null, and the offset of each (one more)."""
+        raw = zstandard.ZstdDecompressor().decompress(self._read(self.docs_at, self.docs_size))
+        return np.frombuffer(raw, "<i8", self.docs), np.frombuffer(raw, np.uint8, self.docs, 8 * self.docs).astype(bool), np.frombuffer(raw, "<i8", self.docs + 1, 9 * self.docs)
+
+    def matrix(self) -> WaveletMatrix:
+        """All of it in memory."""
+        counts = np.frombuffer(self._read(self.counts_at, 4 * BITS * (self.blocks + 1)), "<u4").reshape(BITS, -1)
+        planes = [np.concatenate([np.zeros(0, np.uint8), *(self._inflated(level * self.groups + k) for k in range(self.groups))]) for level in range(BITS)]
+        return WaveletMatrix(self.n, self.zeros, planes, list(counts))
 
 
 def load(data: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.ndarray]:
     """The matrix, doc_ids, which of them are not null, and document offsets of a shard file."""
-    sections = 4 + 2 * BITS
-    magic, n, _, *sizes = struct.unpack_from(f"<8sQQ{sections}Q", data)
-    if magic != MAGIC:
-        raise ValueError("not a wavelet-matrix shard")
-    at = struct.calcsize(f"<8sQQ{sections}Q")
-    parts = []
-    for s in sizes:
-        parts.append(zstandard.ZstdDecompressor().decompress(data[at : at + s]) if s else b"")
-        at += s
-    ids, has, offsets, zeros = (np.frombuffer(p, k) for p, k in zip(parts, ("<i8", np.uint8, "<i8", "<i8"), strict=False))
-    planes = [np.frombuffer(p, np.uint8) for p in parts[4 : 4 + BITS]]
-    counts = [np.frombuffer(p, "<u4") for p in parts[4 + BITS :]]
-    return WaveletMatrix(n, zeros.tolist(), planes, counts), ids, has.astype(bool), offsets
+    file = ShardFile(io.BytesIO(data))
+    return file.matrix(), *file.documents()
+
+
+def lookup(manifest: DataFrame, tokens: list[int]) -> DataFrame:
+    """token, file, count, first: how often each token is in each shard, and its first place there (null if it is in none), from the files' planes; no shard is decoded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                fs, root = pa.fs.FileSystem.from_uri(name)
+                with fs.open_input_file(root) as source:
+                    shard = ShardFile(source)
+                    found = [(t, name, n := shard.count(t), shard.occurrence(t, 0) if n else None) for t in tokens]
+                kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["token", "file", "count", "first"])
+
+    return manifest.select("file").mapInArrow(run, "token int, file string, count long, first long")
 
 
 def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, shard_tokens: int = 4_000_000) -> DataFrame:
