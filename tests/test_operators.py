@@ -118,6 +118,34 @@ def test_windows_sessions_sequences(spark):
     assert rows(log.select("t", h.next(p), h.always(p, 200), h.eventually(p, 30))) == [(10, True, False, False), (50, True, True, True), (200, False, True, True)]
 
 
+def test_sessions_and_sequences_across_slices_of_time(spark):
+    """Slices narrower and wider than sessions, null keys, ties and negative times give what one pass over each key gives."""
+    import random
+
+    rng = random.Random(8)
+    log = [(rng.choice(["a", "b", None]), rng.randrange(-300, 300), rng.choice("xyz")) for _ in range(400)]
+    df = spark.createDataFrame([*log, ("a", None, "x")], "u string, t long, k string")
+    for gap, slices in ((3, 1), (3, 2), (0, 1), (7, 256)):
+        want = []
+        for u in ("a", "b", None):
+            run = None
+            for t in sorted(t for v, t, _ in log if v == u):
+                if run is None or t - run[1] > gap:
+                    run = [t, t, 0]
+                    want.append((u, run))
+                run[1], run[2] = t, run[2] + 1
+        got = temporal.sessions(df, ["u"], "t", gap, slice_gaps=slices)
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((u, *r)) for u, r in want)
+    for within in (0, 2, 9):
+        want = []
+        for i, (u, t, k) in enumerate(log):
+            ends = [s for j, (v, s, m) in enumerate(log) if v == u and m == "y" and t <= s <= t + within and i != j]
+            if k == "x" and ends:
+                want.append((u, t, min(ends)))
+        got = temporal.followed_by(df, ["u"], "t", F.col("k") == "x", F.col("k") == "y", within)
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_segment_tree(spark):
     tree, least = temporal.SegmentTree(8, COUNTING), temporal.SegmentTree(8, TROPICAL)
     for i, v in enumerate((10, 20, 30, 40, 50)):

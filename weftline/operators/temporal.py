@@ -34,16 +34,40 @@ def contains(window: Column, t: Column) -> Column:
     return (window["start"] <= t) & (t < window["end"])
 
 
-def sessions(df: DataFrame, keys: Sequence[str], time: str, gap: int) -> DataFrame:
+def _sliced(df: DataFrame, time: str, width: int, *, back: int = 0, ahead: int = 0) -> DataFrame:
+    """Rows with their slice of time (`__slice`, its start) and `__own`, and copies (not own) in the next slice of rows that it looks `back` at, in the one before of rows that it looks `ahead` to; neither may exceed the width."""
+    t = F.col(time)
+    start = t - F.pmod(t, F.lit(width))
+    places = [F.array(F.struct(start.alias("s"), F.lit(True).alias("own")))]
+    if back:
+        places.append(F.when(t + back >= start + width, F.array(F.struct((start + width).alias("s"), F.lit(False).alias("own")))).otherwise(F.array()))
+    if ahead:
+        places.append(F.when(t - ahead < start, F.array(F.struct((start - width).alias("s"), F.lit(False).alias("own")))).otherwise(F.array()))
+    out = df.where(t.isNotNull()).withColumn("__place", F.explode(F.concat(*places)))
+    return out.withColumn("__slice", F.col("__place.s")).withColumn("__own", F.col("__place.own")).drop("__place")
+
+
+def sessions(df: DataFrame, keys: Sequence[str], time: str, gap: int, *, slice_gaps: int = 256) -> DataFrame:
     """key columns, start, end (time of the last event), events: runs of events at most `gap` apart (the gap itself still joins).
 
-    A window over each key finds the breaks. Null times are left out.
+    Time is cut into slices of slice_gaps gaps. A window over a key's slice, with the events just before it, finds the
+    breaks; a sum over the slices' counts of breaks numbers the sessions through. A busy key spreads over its slices,
+    and a session may go through many of them. Null times are left out.
     """
-    w = Window.partitionBy(*keys).orderBy(time)
+    width = max(1, gap) * slice_gaps
+    w = Window.partitionBy(*keys, "__slice").orderBy(time, F.col("__own"))
     t = F.col(time)
-    marked = df.where(t.isNotNull()).withColumn("__new", F.coalesce((t - F.lag(t).over(w) > gap).cast("int"), F.lit(0)))
-    numbered = marked.withColumn("__s", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "__s").agg(F.min(t).alias("start"), F.max(t).alias("end"), F.count("*").alias("events")).drop("__s")
+    cut = _sliced(df.select(*keys, time), time, width, back=max(1, gap))
+    marked = cut.withColumn("__new", (F.col("__own") & F.coalesce(t - F.lag(t).over(w) > gap, F.lit(True))).cast("int"))
+    numbered = marked.withColumn("__s", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("__own")
+    counts = numbered.groupBy(*keys, "__slice").agg(F.max("__s").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__slice").alias("__at"), F.coalesce(before, F.lit(0)).alias("__off"))
+    cond = F.col("__slice") == F.col("__at")
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    out = numbered.join(offsets, cond).groupBy(*keys, (F.col("__s") + F.col("__off")).alias("__id"))
+    return out.agg(F.min(t).alias("start"), F.max(t).alias("end"), F.count("*").alias("events")).drop("__id")
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, lower: int, upper: int) -> DataFrame:
@@ -67,17 +91,20 @@ def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_t
 def followed_by(df: DataFrame, keys: Sequence[str], time: str, first: Column, second: Column, within: int) -> DataFrame:
     """keys, start, end: for each first event the earliest second event of the key at its time or up to `within` later.
 
-    One sort per key: a window looks ahead for the next second event. Several starts may close with one event.
+    One sort per key and slice of time, which also has the events up to `within` after it: a window looks ahead for the
+    next second event. Several starts may close with one event.
     """
-    w = Window.partitionBy(*keys).orderBy(time).rangeBetween(0, within)
+    df = _sliced(df, time, 64 * max(1, within), ahead=within)
+    part = Window.partitionBy(*keys, "__slice").orderBy(time)
+    w = part.rangeBetween(0, within)
     t = F.col(time)
     own = first & second  # an event is not its own successor
-    marked = df.withColumn("__f", F.coalesce(first, F.lit(False))).withColumn("__s", F.coalesce(second, F.lit(False))).withColumn("__own", F.coalesce(own, F.lit(False)))
-    later = Window.partitionBy(*keys).orderBy(time).rangeBetween(1, within)
-    same = F.sum(F.when(F.col("__s"), 1).otherwise(0)).over(Window.partitionBy(*keys).orderBy(time).rangeBetween(0, 0))
-    at_once = same - F.when(F.col("__own"), 1).otherwise(0) > 0
+    marked = df.withColumn("__f", F.coalesce(first, F.lit(False))).withColumn("__s", F.coalesce(second, F.lit(False))).withColumn("__both", F.coalesce(own, F.lit(False)))
+    later = part.rangeBetween(1, within)
+    same = F.sum(F.when(F.col("__s"), 1).otherwise(0)).over(part.rangeBetween(0, 0))
+    at_once = same - F.when(F.col("__both"), 1).otherwise(0) > 0
     end = F.when(at_once, t).otherwise(F.min(F.when(F.col("__s"), t)).over(later if within >= 1 else w))
-    out = marked.withColumn("__end", end).where(F.col("__f") & F.col("__end").isNotNull())
+    out = marked.withColumn("__end", end).where("__f AND __own AND __end IS NOT NULL")
     return out.select(*keys, t.alias("start"), F.col("__end").alias("end"))
 
 
