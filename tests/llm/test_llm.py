@@ -256,6 +256,8 @@ def test_run_length_index_matching_statistics():
             best.append(most)
         assert index.matching().tolist() == best
         assert index.run_sizes.sum() == index.n
+        other = bytes(rng.choice(b"abc") for _ in range(rng.randrange(60)))
+        assert index.against(other).tolist() == [max(n for n in range(len(other) - i + 1) if any(other[i : i + n] in s for s in strings)) for i in range(len(other))]
 
 
 def test_run_length_index_of_a_hot_passage(spark):

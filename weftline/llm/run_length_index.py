@@ -90,12 +90,12 @@ class RunLengthIndex:
         body = np.ones(n, bool)
         body[ends] = False
         text[body] = symbol[data]
-        self.text, self.n, self.ends = text, n, ends
+        self.text, self.n, self.ends, self.code = text, n, ends, np.where(used, symbol, 0)
         key = np.zeros(n, U64)
         width = 5
         for k in range(width):
             key <<= U64(8)
-            key[: n - k] |= text[k:]
+            key[: max(0, n - k)] |= text[k:]
         cut = np.zeros(n, bool)
         for k in range(width):
             near = ends - k
@@ -164,6 +164,41 @@ class RunLengthIndex:
         return np.maximum(np.maximum.accumulate(reach) - np.arange(self.n), 0)
 
 
+    def against(self, pattern: bytes) -> np.ndarray:
+        """For every place of another text the length of its longest match in the indexed strings, streamed backwards over the runs.
+
+        While the run at hand holds the next byte the match grows by a step of the transform; else it goes on from the nearest
+        run of that byte on either side, of which the sampled places keep more of it.
+        """
+        heads = np.concatenate([[0], np.cumsum(self.run_sizes)[:-1]])
+        total = np.bincount(self.run_symbols, self.run_sizes, 256).astype(np.int64)
+        smaller = np.concatenate([[0], np.cumsum(total)[:-1]])
+        runs, before = {}, np.zeros(len(heads), np.int64)
+        for c in np.flatnonzero(total[1:]) + 1:
+            runs[int(c)] = at = np.flatnonzero(self.run_symbols == c)
+            before[at] = np.cumsum(self.run_sizes[at]) - self.run_sizes[at]
+        out = np.zeros(len(pattern), np.int64)
+        row = place = size = 0
+        for i in range(len(pattern) - 1, -1, -1):
+            c = int(self.code[pattern[i]])
+            if c == 0:
+                size = 0
+                continue
+            k = int(np.searchsorted(heads, row, "right")) - 1
+            if not size or self.run_symbols[k] != c:
+                j = int(np.searchsorted(runs[c], k))
+                ways = [(int(r), end) for r, end in ((runs[c][j - 1] if j else -1, True), (runs[c][j] if j < len(runs[c]) else -1, False)) if r >= 0]
+                found = []
+                for r, end in ways:
+                    to = int(self.last_place[r] if end else self.first_place[r])
+                    same = size if not size or to == place else min(size, int(self._common(np.array([place]), np.array([to]))[0]))
+                    found.append((same, r, int(heads[r] + self.run_sizes[r] - 1) if end else int(heads[r]), to))
+                size, k, row, place = max(found)
+            row, place, size = int(smaller[c] + before[k] + row - heads[k]), place - 1, size + 1
+            out[i] = size
+        return out
+
+
 def _segments(docs: DataFrame, least: int, gram: int) -> DataFrame:
     """f, g (128-bit digest of the segment and meta), meta (string starts << 32 | place of the fingerprint), doc_id, h (hash of the text), start."""
 
