@@ -132,6 +132,17 @@ def test_closure_with_insert_retract_and_magic(spark):
     assert rows(e.query("? path(1, 5).")) == [(1, 5)]
 
 
+def test_incremental_engine_equals_scratch(spark):
+    text = "edge(1, 2). edge(2, 3). edge(3, 1). " + TC + " apart(X, Y) :- v(X), v(Y), not path(X, Y). v(X) :- edge(X, _)."
+    kept, fresh = Engine(spark, text, incremental=True), Engine(spark, text)
+    kept.run()
+    for change, row in (("insert", (3, 4)), ("retract", (3, 1)), ("insert", (2, 3)), ("retract", (2, 3))):
+        for e in (kept, fresh):
+            getattr(e, change)("edge", row)
+        assert rows(kept.query("path")) == rows(fresh.query("path"))
+    assert rows(kept.query("apart")) == rows(fresh.query("apart"))
+
+
 def test_weights_and_set_mode(spark):
     bag, as_set = (Engine(spark, "f(1). g(X) :- f(X).", set_mode=m) for m in (False, True))
     for e in (bag, as_set):

@@ -113,19 +113,36 @@ class Holds:
 
     next: the condition holds at the key's following event. always: at every event from now to now + span.
     eventually: at one of them. Conditions combine with &, | and ~.
+
+    With `within`, spans go up to it and a key is worked on in slices of time: select from prepared(df) and keep the rows
+    with `__own`. The following event may be any time away, so `next` needs a key's events in one row and has no such form.
     """
 
-    def __init__(self, keys: Sequence[str], time: str) -> None:
-        self.order = Window.partitionBy(*keys).orderBy(time)
+    def __init__(self, keys: Sequence[str], time: str, within: int | None = None) -> None:
+        self.time, self.within = time, within
+        self.order = Window.partitionBy(*keys, *([] if within is None else ["__slice"])).orderBy(time)
+
+    def prepared(self, df: DataFrame) -> DataFrame:
+        """The rows with `__own`, and copies of those that a neighbouring slice looks at. Rows without a time go."""
+        if self.within is None:
+            return df.withColumn("__own", F.lit(True))
+        return _sliced(df, self.time, 64 * max(1, self.within), ahead=self.within)
+
+    def _span(self, span: int) -> int:
+        if self.within is not None and span > self.within:
+            raise ValueError(f"a span of {span} goes beyond {self.within}")
+        return span
 
     def next(self, cond: Column) -> Column:
+        if self.within is not None:
+            raise ValueError("next looks beyond a slice of time")
         return F.coalesce(F.lead(cond).over(self.order), F.lit(False))
 
     def always(self, cond: Column, span: int) -> Column:
-        return F.min(F.coalesce(cond, F.lit(False)).cast("int")).over(self.order.rangeBetween(0, span)) == 1
+        return F.min(F.coalesce(cond, F.lit(False)).cast("int")).over(self.order.rangeBetween(0, self._span(span))) == 1
 
     def eventually(self, cond: Column, span: int) -> Column:
-        return F.max(F.coalesce(cond, F.lit(False)).cast("int")).over(self.order.rangeBetween(0, span)) == 1
+        return F.max(F.coalesce(cond, F.lit(False)).cast("int")).over(self.order.rangeBetween(0, self._span(span))) == 1
 
 
 class SegmentTree:

@@ -384,11 +384,13 @@ class Engine:
     """A program over facts and registered tables.
 
     run() gives every derived relation, query() any relation or atom; insert() and retract() change facts. Facts are a
-    Z-set unless set_mode: each insert adds its weight, and a row is there while its weight is above zero.
+    Z-set unless set_mode: each insert adds its weight, and a row is there while its weight is above zero. With
+    incremental, what is derived is kept up from each change; else it is derived again when it is next asked for.
     """
 
-    def __init__(self, spark: SparkSession, program: Program | str, tables: dict[str, DataFrame] | None = None, *, set_mode: bool = False, optimize: bool = True, sizes: dict[str, int] | None = None, max_rounds: int = MAX_ROUNDS) -> None:
-        self.spark, self.set_mode, self.max_rounds = spark, set_mode, max_rounds
+    def __init__(self, spark: SparkSession, program: Program | str, tables: dict[str, DataFrame] | None = None, *, set_mode: bool = False, optimize: bool = True, sizes: dict[str, int] | None = None, max_rounds: int = MAX_ROUNDS, incremental: bool = False) -> None:
+        self.spark, self.set_mode, self.max_rounds, self.incremental = spark, set_mode, max_rounds, incremental
+        self._kept = None
         self.source = parse(program) if isinstance(program, str) else program
         check_safety(self.source)
         self.program = rewrite.optimize(self.source, {**_sizes(self.source, tables or {}), **(sizes or {})}.get) if optimize else self.source
@@ -411,8 +413,18 @@ class Engine:
 
     def insert(self, pred: str, row: Iterable[Value], weight: int = 1) -> None:
         self.epoch += 1
-        self._add(pred, tuple(plain(v) for v in row), weight)
+        values = tuple(plain(v) for v in row)
+        was = self.weights.get(pred, {}).get(values, 0) > 0
+        self._add(pred, values, weight)
         self._done = None
+        if self._kept is not None and was != (self.weights[pred][values] > 0):
+            like = self._kept.base.get(pred)
+            if like is None:
+                self._kept = None  # a relation that had no rows before: the program is started anew
+                return
+            types = [k for _, k in like.dtypes]
+            own = relation(self.spark, [tuple(float(v) if k == "double" and v is not None else str(v) if k == "string" and v is not None else v for v, k in zip(values, types, strict=True))], types)
+            self._kept.apply(pred, own.withColumn("__sign", F.lit(-1 if was else 1)), "__sign")
 
     def retract(self, pred: str, row: Iterable[Value], weight: int = 1) -> None:
         self.insert(pred, row, -weight)
@@ -436,6 +448,12 @@ class Engine:
 
     def run(self) -> dict[str, DataFrame]:
         """Derived relations by name, each a set."""
+        if self._done is None and self.incremental:
+            from weftline.streaming.incremental import Maintained
+
+            if self._kept is None:
+                self._kept = Maintained(self.spark, Program((), self.source.rules), self.facts(), self.max_rounds)
+            self._done = dict(self._kept.state)
         if self._done is None:
             ctx = Context(self.spark, self.facts())
             for component in self.components:

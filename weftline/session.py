@@ -66,11 +66,23 @@ def counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     return out, seen.get["n"]
 
 
+def _paths(df: DataFrame) -> list[str]:
+    return getattr(df, "_parts", None) or [df._scratch]
+
+
+#: Tables that are read as one at most; beyond, they are written as one.
+MOST_PARTS = 32
+
+
 def joined_parts(parts: list[DataFrame]) -> DataFrame:
-    """Scratch tables of one schema read as one, without writing them again."""
+    """Scratch tables of one schema (or what this made of some) read as one, without writing them again."""
     if len(parts) == 1:
         return parts[0]
-    out = parts[0].sparkSession.read.schema(parts[0].schema).parquet(*[p._scratch for p in parts])
+    paths = [p for df in parts for p in _paths(df)]
+    out = parts[0].sparkSession.read.schema(parts[0].schema).parquet(*paths)
+    if len(paths) > MOST_PARTS:
+        return scratch(out, "joined")
+    out._parts = paths
     return out
 
 

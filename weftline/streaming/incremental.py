@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from weftline.plans.analysis import Component
 from weftline.plans.engine import MAX_ROUNDS, Context, Engine, _union, anti, evaluate_component, numbered, rule_frame, semi
-from weftline.plans.ir import Compare, Positive
+from weftline.plans.ir import Compare, Positive, Program
 from weftline.session import counted, drop_scratch, joined_parts, scratch
 
 
@@ -40,7 +40,7 @@ def anti_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 class Maintained:
     """A program's relations and their upkeep. State is a set of rows for each base relation (an insert of a row that is there does nothing)."""
 
-    def __init__(self, spark: SparkSession, program: str, tables: dict[str, DataFrame] | None = None, max_rounds: int = MAX_ROUNDS) -> None:
+    def __init__(self, spark: SparkSession, program: Program | str, tables: dict[str, DataFrame] | None = None, max_rounds: int = MAX_ROUNDS) -> None:
         self.spark, self.max_rounds, self.epoch = spark, max_rounds, 0
         engine = Engine(spark, program, tables)
         self.components = engine.components
@@ -49,16 +49,19 @@ class Maintained:
         for c in self.components:
             evaluate_component(c, ctx, max_rounds)
         self.state = {n: scratch(df, f"state-{n}") for n, df in ctx.tables.items()}
-        self.log: dict[str, list[DataFrame]] = {}
+        self.log: dict[str, list[tuple[int, DataFrame]]] = {}
 
     def outputs(self, pred: str) -> DataFrame | None:
         """All changes of a derived relation so far: its columns, __w (+1 or -1) and __epoch; None before its first epoch."""
-        parts = self.log.get(pred)
-        return joined_parts(parts) if parts else None
+        out = None
+        for epoch, df in self.log.get(pred, []):
+            told = df.withColumn("__epoch", F.lit(epoch))
+            out = told if out is None else out.union(told)
+        return out
 
     def clear_outputs(self) -> None:
         """Forgets the changes told so far; the state stays."""
-        drop_scratch(self.spark, *[df for parts in self.log.values() for df in parts])
+        drop_scratch(self.spark, *[df for told in self.log.values() for _, df in told])
         self.log = {}
 
     def _reached(self, changed: set[str]) -> list[Component]:
@@ -74,10 +77,9 @@ class Maintained:
         self.epoch += 1
         changes = self._changed(pred, rows, weight)
         for p, df in changes.items():
-            changes[p] = scratch(df, f"changes-{p}")
-            like = self.log.get(p, [None])[0]
-            told = changes[p].withColumn("__epoch", F.lit(self.epoch))
-            self.log.setdefault(p, []).append(scratch(told if like is None else told.select(*[F.col(c).cast(k).alias(c) for c, k in like.dtypes]), f"log-{p}"))
+            changes[p], some = counted(df, f"changes-{p}")
+            if some:
+                self.log.setdefault(p, []).append((self.epoch, changes[p]))
         return changes
 
     def _changed(self, pred: str, rows: DataFrame, weight: str | None) -> dict[str, DataFrame]:
@@ -90,7 +92,7 @@ class Maintained:
             plus, minus = plus.select(*cast), minus.select(*cast)
             minus = anti(semi(minus, like), plus)
             plus = anti(plus, like)
-        plus, _ = counted(plus, f"plus-{pred}")
+        plus, some_come = counted(plus, f"plus-{pred}")
         minus, some_go = counted(minus if like is not None else minus.limit(0), f"minus-{pred}")
         kept = like if like is None or not some_go else scratch(anti(like, minus), f"base-{pred}")
         reached = self._reached({pred})
@@ -98,10 +100,13 @@ class Maintained:
         before = dict(self.state)
         if positive and like is not None:
             went = self._shrink(pred, minus, kept, reached) if some_go else {}
-            self.base[pred] = scratch(kept.union(plus), f"base-{pred}")
-            came = self._grow(pred, plus, reached)
+            self.base[pred] = joined_parts([kept, plus]) if some_come else kept
+            came = self._grow(pred, plus, reached) if some_come else {}
+            if not some_come:
+                self.state[pred] = self.state[pred] if any(pred in c.predicates for c in reached) else kept
+                return {p: df.withColumn("__w", F.lit(-1)) for p, df in went.items()}
             return {p: _net(came[p], went.get(p)) for p in came}
-        self.base[pred] = plus if kept is None else scratch(kept.union(plus), f"base-{pred}")
+        self.base[pred] = plus if kept is None else joined_parts([kept, plus])
         ctx = Context(self.spark, {**self.state, pred: self.base[pred]})
         changes = {}
         for c in reached:
@@ -159,7 +164,7 @@ class Maintained:
                     if some:
                         back[p] = new
                 for p, df in back.items():
-                    now[p] = scratch(now[p].union(df), f"state-{p}")
+                    now[p] = joined_parts([now[p], df])
                 if not back:
                     break
             for p, df in lost.items():
@@ -188,7 +193,7 @@ class Maintained:
         derived = any(pred in c.predicates for c in reached)
         if derived:
             plus = scratch(anti(plus, self.state[pred]), f"plus-{pred}")
-        tables = {**self.state, pred: scratch(self.state[pred].union(plus), f"state-{pred}") if derived else self.base[pred]}
+        tables = {**self.state, pred: joined_parts([self.state[pred], plus]) if derived else self.base[pred]}
         changes = {}
         for c in reached:
             new_all: dict[str, list[DataFrame]] = {p: [] for p in c.predicates}
@@ -205,7 +210,7 @@ class Maintained:
                         first[p] = new
                         new_all[p].append(new)
                 for p, new in first.items():
-                    tables[p] = scratch(tables[p].union(new), f"state-{p}")
+                    tables[p] = joined_parts([tables[p], new])
                 if not first:
                     break
                 if not c.recursive:

@@ -164,6 +164,16 @@ def program_profile(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(sorted(total.items()), "predicate string, n long")
 
 
+@_query("SELECT * FROM (VALUES (1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (5, 1), (5, 2), (5, 3), (5, 4)) AS t(a, b)")
+def incremental_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts inserted and retracted one by one into a program that is kept up to date."""
+    e = Engine(spark, "edge(1, 2). edge(2, 3). edge(3, 1). path(X, Y) :- edge(X, Y). path(X, Z) :- edge(X, Y), path(Y, Z).", incremental=True)
+    e.run()
+    for change, row in ((e.insert, (3, 4)), (e.retract, (3, 1)), (e.insert, (5, 1)), (e.insert, (5, 1)), (e.retract, (5, 1))):
+        change("edge", row)
+    return e.query("path").select(F.col("c0").cast("int").alias("a"), F.col("c1").cast("int").alias("b"))
+
+
 # Graphs.
 
 
@@ -211,6 +221,13 @@ def window_contains(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", temporal.contains(half, F.col("t")).alias("early"))
 
 
+@_query(f"SELECT event_id, min((event_type = 'view')::INT) OVER w = 1 AS alw, max((event_type = 'view')::INT) OVER w = 1 AS ev FROM events WINDOW w AS (PARTITION BY user_id ORDER BY {_MS} RANGE BETWEEN CURRENT ROW AND 36000000 FOLLOWING)")
+def temporal_logic_sliced(spark: SparkSession, sf: str) -> DataFrame:
+    """Always and eventually in slices of time, for keys of any size."""
+    h, p = temporal.Holds(["user_id"], "t", within=36_000_000), F.col("event_type") == "view"
+    return h.prepared(_events(spark, sf)).select("event_id", h.always(p, 36_000_000).alias("alw"), h.eventually(p, 36_000_000).alias("ev"), "__own").where("__own").drop("__own")
+
+
 def _streamed(spark: SparkSession, df: DataFrame, files: int = 4) -> DataFrame:
     """A table as a stream of a few micro-batches."""
     path = scratch_path(spark, "stream")
