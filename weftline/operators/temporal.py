@@ -188,6 +188,12 @@ def range_sum(df: DataFrame, position: str, value: str, start: int, end: int, ri
     return df.where(F.col(position).between(start, end)).agg(F.coalesce(ring.plus_agg(F.col(value)).cast(ring.type), ring.zero_col()).alias("total"))
 
 
+def updated(df: DataFrame, changes: DataFrame, position: str) -> DataFrame:
+    """A table of values by position after changes (rows of the same columns): they replace what stands at their positions, or are added."""
+    old = df.join(changes.select(F.col(position).alias("__at")).distinct(), F.col(position) == F.col("__at"), "left_anti")
+    return old.unionByName(changes.select(*df.columns))
+
+
 def rolling(df: DataFrame, keys: Sequence[str], position: str, value: str, back: int, ring) -> DataFrame:
     """Adds `rolling`: the sum over a row and the `back` rows before it, by key."""
     w = Window.partitionBy(*keys).orderBy(position).rowsBetween(-back, 0)

@@ -276,6 +276,14 @@ def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:
     return told.groupBy(F.col("start").cast("timestamp_ntz").alias("start"), "event_type").agg(F.max("events").alias("events"))
 
 
+@_query("SELECT sum(CASE WHEN o_orderkey % 10 = 3 THEN 7 ELSE o_custkey END)::BIGINT AS total FROM orders WHERE o_orderkey BETWEEN 100 AND 900")
+def range_total(spark: SparkSession, sf: str) -> DataFrame:
+    """The sum over a range of positions after some of them have changed."""
+    o = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_custkey").alias("v"))
+    now = temporal.updated(o, o.where("i % 10 = 3").select("i", F.lit(7).cast("long").alias("v")), "i")
+    return temporal.range_sum(now, "i", "v", 100, 900, semiring.COUNTING)
+
+
 # Vectors, positions, hashes.
 
 
