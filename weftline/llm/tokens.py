@@ -34,7 +34,7 @@ CACHE = 250_000
 PART_TEXTS, PART_CHARS = 4096, 200_000
 ROW = 1000
 #: Bytes of text that callers should pass at a time; one longer text goes alone.
-ENCODED_BYTES = 2_000_000
+ENCODED_BYTES = 1_500_000
 #: Marks that may follow letters in a piece: all of ASCII but the apostrophe, with which contractions begin.
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
@@ -68,6 +68,17 @@ class WordCache:
         self.known: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint16)
         self.at = np.zeros(1, np.int64)
+        self.used = np.zeros(0, bool)  # met again since they came
+
+    def _thin(self) -> None:
+        """Drops the pieces that were not met again (most are one of a kind); all of them if that leaves too many."""
+        keep = np.flatnonzero(self.used)
+        if len(keep) > self.most // 2:
+            self._forget()
+            return
+        words, n = list(self.known), np.diff(self.at)[keep]  # places follow the order of insertion
+        self.known = dict(zip([words[k] for k in keep.tolist()], range(len(keep)), strict=True))
+        self.ids, self.at, self.used = self.ids[ranges(self.at[keep], n)], ragged(n), np.zeros(len(keep), bool)
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts, some at a time: the library's encodings take far more memory than their ids."""
@@ -152,8 +163,9 @@ class WordCache:
     def _pieces(self, words: list[str]) -> np.ndarray:
         """Places of the (different) words in the cache, which takes up those it lacks."""
         if len(self.known) > self.most:
-            self._forget()
+            self._thin()
         where = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        self.used[where[where >= 0]] = True
         lacking = np.flatnonzero(where < 0)
         if len(lacking):
             new = [words[k] for k in lacking.tolist()]
@@ -169,6 +181,7 @@ class WordCache:
             self.known.update(zip(new, where[lacking].tolist(), strict=True))
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(n)])
             self.ids = np.concatenate([self.ids, ids])
+            self.used = np.concatenate([self.used, np.zeros(len(new), bool)])
         return where
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

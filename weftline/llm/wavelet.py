@@ -131,25 +131,19 @@ class WaveletMatrix(Planes):
             ones = _ONES[plane].reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.int64)
             counts.append(np.concatenate([[0], np.cumsum(ones)]).astype(np.uint32))
             planes.append(plane)
-            low, high = x[~bit], x[bit]
+            low, high = np.compress(~bit, x), np.compress(bit, x)
             zeros.append(len(low))
             x = np.concatenate([low, high])
         return cls(len(tokens), zeros, planes, counts)
 
     def tokens(self) -> np.ndarray:
         """All tokens in order: the planes are undone from the last to the first."""
-        bits = [np.unpackbits(p, count=self.n, bitorder="little").view(bool) for p in self.planes]
-        order = None
         x = np.zeros(self.n, np.uint16)
         for level in range(BITS - 1, -1, -1):
-            bit, out = bits[level], np.empty(self.n, np.uint16)
-            z = self.zeros[level]
-            if order is not None:
-                out[~bit], out[bit] = x[:z], x[z:]
-            else:
-                out[:] = 0
-                order = True
-            out |= bit.astype(np.uint16) << np.uint16(BITS - 1 - level)
+            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            z, out = self.zeros[level], np.empty(self.n, np.uint16)
+            out[np.flatnonzero(~bit)] = x[:z]
+            out[np.flatnonzero(bit)] = x[z:] | np.uint16(1 << (BITS - 1 - level))
             x = out
         return x
 
