@@ -14,9 +14,11 @@ either sketch bounds the overlap of pairs that meet there. Values that only one
 a class with many of its own words has few places left, and lists stay short.
 
 Lists are first compared with one pivot, the member with the fewest rarer values, which is the original of a family of edited
-copies if it is there. Each class confirms the pair that most lists name; pairs that then still stand between two components
-are confirmed next. Lists that still span several components yield their remaining pairs once each: a pair that has met in one
-of the NEAR preceding values of both is left to that list. Union sketches filter the candidates, and full sets confirm links.
+copies if it is there. Lists that still span several components yield their remaining pairs between components, once each: a
+pair that has met in one of the NEAR preceding values of both is left to that list.
+
+Candidates pass three filters, each on more bytes: signatures of one bit for each of SIGNS ranges of hash values (the lowest bit
+of the least value in the range), union sketches, and 16 bits of each value. Full sets confirm every link.
 """
 
 from __future__ import annotations
