@@ -98,6 +98,7 @@ def test_consolidate_as_of_compact(spark):
     trace = t(1, "home", 1).union(t(2, "cart", 1)).union(t(3, "home", -1))
     assert [rows(zset.as_of(trace, [e])) for e in (1, 2, 3)] == [[("home", 1)], [("cart", 1), ("home", 1)], [("cart", 1)]]
     assert rows(zset.as_of(zset.compact(trace, [2]), [3])) == [("cart", 1)]
+    assert [(r["p"], list(r["__t"])) for r in zset.ordered(trace).collect()] == [("cart", [2]), ("home", [1]), ("home", [3])]
 
 
 def test_windows_sessions_sequences(spark):

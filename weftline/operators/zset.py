@@ -25,6 +25,11 @@ def lift(df: DataFrame, *, epoch: int = 0, weight: object = None, ring: Semiring
     return df.withColumn(T, time).withColumn(W, w)
 
 
+def ordered(df: DataFrame) -> DataFrame:
+    """Rows by their data columns, then by time: the total order in which changes are shown."""
+    return df.orderBy(*data(df), *([T] if T in df.columns else []))
+
+
 def data(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in (T, W)]
 
