@@ -214,7 +214,7 @@ def test_steps_and_profile(spark):
 
 
 def test_sizes_of_relations_order_the_joins(spark):
-    small, large = spark.createDataFrame([(1, 2)], "a long, b long"), spark.range(10**6).selectExpr("id AS a", "id AS b")
+    small, large = (spark.range(n).selectExpr("id AS a", "id AS b") for n in (3, 10**6))
     e = Engine(spark, "p(X) :- big(X, Y), few(Y, Z), big(Z, X).", {"big": large, "few": small})
     assert e.program.rules[0].body[0].atom.pred == "few"
 

@@ -372,9 +372,9 @@ def _sizes(program: Program, tables: dict[str, DataFrame]) -> dict[str, int]:
         out[f.pred] = out.get(f.pred, 0) + 1
     for name, df in tables.items():
         stats = df._jdf.queryExecution().optimizedPlan().stats()
-        rows = stats.rowCount()
-        known = int(str(rows.get())) if rows.isDefined() else int(str(stats.sizeInBytes())) // (8 + 8 * max(1, len(df.columns)))
-        out[name] = out.get(name, 0) + min(known, 1 << 62)
+        rows, size = stats.rowCount(), int(str(stats.sizeInBytes()))
+        if rows.isDefined() or size < 1 << 60:  # beyond, the optimizer knows nothing
+            out[name] = out.get(name, 0) + (int(str(rows.get())) if rows.isDefined() else size // (8 + 8 * max(1, len(df.columns))))
     return out
 
 
