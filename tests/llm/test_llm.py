@@ -346,6 +346,17 @@ def test_word_cache_equals_the_library(name):
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == pieces_of(path, texts) * 2
 
 
+@pytest.mark.parametrize(("name", "words"), [("byte_bpe_50k.json", ["Señal", " señal", " Señal", " x9,"]), ("word_bpe_49k.json", ["señal", "x9,"])])
+def test_word_cache_holds_a_word_once_whatever_marks_follow(name, words):
+    path = tokens.vocabulary(name)
+    texts = ["Señal señal, señal. Señal!? señal;", "señal", "", "Señal...\nSeñal x9,", None]
+    cache = tokens.WordCache(path)
+    ids, n = cache(pa.array(texts))
+    at = kernels.ragged(n)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == pieces_of(path, [t or "" for t in texts])
+    assert set(cache.known) - {"", "\n"} == {*words, *(["señal"] if cache.spaced else [])}
+
+
 def test_packing(docs, empty):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     ids = dict(zip(texts, pieces_of(tokens.vocabulary("byte_bpe_50k.json"), list(texts.values())), strict=True))
