@@ -173,6 +173,44 @@ def test_upkeep_equals_scratch(spark):
         assert sorted(after) == closure(edges)
 
 
+def shuffled(spark, since: int = -1) -> tuple[int, int]:
+    """The last stage, and the rows that stages after `since` have shuffled."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark._jvm
+    sc.listenerBus().waitUntilEmpty()
+    found = sc.statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    told = [(found.apply(i).stageId(), found.apply(i).shuffleWriteRecords()) for i in range(found.size())]
+    return max(k for k, _ in told), sum(n for k, n in told if k > since)
+
+
+def test_upkeep_of_a_closure_shuffles_what_changes(spark):
+    chains = [(100 * c + i, 100 * c + i + 1) for c in range(10) for i in range(60)]
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large to broadcast
+    try:
+        m = Maintained(spark, TC, {"edge": spark.createDataFrame(chains, "a long, b long")})
+        last, _ = shuffled(spark)
+        m.apply("edge", spark.createDataFrame([(0, 1, -1), (99, 100, 1)], "a long, b long, w int"), "w")
+        told = shuffled(spark, last)[1]
+        pairs = {(100 * c + i, 100 * c + j) for c in range(10) for i in range(61) for j in range(i + 1, 61)}
+        assert rows(m.state["path"]) == sorted(pairs - {(0, i) for i in range(61)} | {(99, 100 + i) for i in range(61)})
+        assert told < len(pairs) == 18300
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_closure_in_many_buckets(spark, monkeypatch):
+    """Pairs that outgrow their buckets, nulls that come with a batch, rounds enough to join tables."""
+    monkeypatch.setattr("weftline.plans.engine.BUCKET_BITS", 4)
+    edges = {(i, i + 1) for i in range(12)} | {(20, 20), (21, 22), (22, 21)}
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    m = Maintained(spark, TC, {"edge": frame(sorted(edges))})
+    assert rows(m.state["path"]) == closure(edges)
+    go, come = {(10, 11), (21, 22)}, {(None, 0), (12, None), (5, 11)}
+    m.apply("edge", spark.createDataFrame([(*e, -1) for e in go] + [(*e, 1) for e in come], "a long, b long, w int"), "w")
+    named = lambda pairs: {tuple(-1 if v is None else v for v in pair) for pair in pairs}
+    assert sorted(named(m.state["path"].collect())) == closure(named((edges - go) | come))
+
+
 PROGRAMS = [
     (TC, ["path"]),
     ("odd(X, Y) :- edge(X, Y). even(X, Z) :- odd(X, Y), edge(Y, Z). odd(X, Z) :- even(X, Y), edge(Y, Z). two(X) :- even(X, X).", ["odd", "even", "two"]),

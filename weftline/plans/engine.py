@@ -21,7 +21,7 @@ from weftline.plans import rewrite
 from weftline.plans.analysis import Component, TypeConflict, check_safety, group_variables, stratify, unify, value_type
 from weftline.plans.ir import Aggregate, Arith, Atom, Compare, Const, Fact, Negated, Positive, Program, Rule, Sym, Term, Value, Var, variables
 from weftline.plans.parser import parse
-from weftline.session import counted, joined_parts, scratch
+from weftline.session import counted, dealt, is_scratch, joined_parts, scratch, without
 
 MAX_ROUNDS = 1000
 _COMPARE: dict[str, Callable[[Column, Column], Column]] = {"=": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
@@ -208,21 +208,26 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def anti(new: DataFrame, old: DataFrame) -> DataFrame:
+def same(a: Column, b: Column, nulls: bool) -> Column:
+    """Equality in which null equals null. Where there are none, plain equality does, by which tables in buckets are joined where they lie."""
+    return a.eqNullSafe(b) if nulls else a == b
+
+
+def anti(new: DataFrame, old: DataFrame, nulls: bool = True) -> DataFrame:
     """Rows of new that old lacks; null equals null."""
     side = old.toDF(*[f"o{i}" for i in range(len(old.columns))])
     cond = F.lit(True)
-    for i in range(len(new.columns)):
-        cond = cond & new[f"c{i}"].eqNullSafe(side[f"o{i}"])
+    for i in range(len(old.columns)):
+        cond = cond & same(new[f"c{i}"], side[f"o{i}"], nulls)
     return new.join(side, cond, "left_anti")
 
 
-def semi(new: DataFrame, old: DataFrame) -> DataFrame:
+def semi(new: DataFrame, old: DataFrame, nulls: bool = True) -> DataFrame:
     """Rows of new that old has too; null equals null."""
     side = old.toDF(*[f"o{i}" for i in range(len(old.columns))])
     cond = F.lit(True)
-    for i in range(len(new.columns)):
-        cond = cond & new[f"c{i}"].eqNullSafe(side[f"o{i}"])
+    for i in range(len(old.columns)):
+        cond = cond & same(new[f"c{i}"], side[f"o{i}"], nulls)
     return new.join(side, cond, "left_semi")
 
 
@@ -266,25 +271,57 @@ def _unwatched(round_: int, new: dict[str, int | None]) -> None:
     pass
 
 
+#: Pairs of a closure that a bucket is meant to hold, as a power of two.
+BUCKET_BITS = 17
+
+
+def bucket_count(spark: SparkSession, pairs: int) -> int:
+    """Buckets for so many pairs: as many as a shuffle has partitions, fewer where they would hold little."""
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs >> BUCKET_BITS))
+
+
+def has_nulls(df: DataFrame) -> bool:
+    return not df.where(F.col("c0").isNull() | F.col("c1").isNull()).isEmpty()
+
+
 def evaluate_closure(edges: DataFrame, max_rounds: int = MAX_ROUNDS, watch: Watch = _unwatched, name: str = "closure") -> DataFrame:
-    """All pairs (c0, c1) joined by a path: paths double in length each round, only new pairs are joined again.
+    """All pairs (c0, c1) joined by a path: paths double in length each round.
 
-    After k rounds all pairs at most 2**k edges apart are known, and the last round's are more than half of that apart. A pair
-    further apart, but not twice as far, has a midpoint exactly 2**k edges from its start, so a new pair comes first.
+    After k rounds all pairs at most 2**k edges apart are known. A pair further apart, but not twice as far, has a midpoint exactly
+    2**k edges from its start, so the pairs that far apart (their number of rounds is in __far) are joined with all: on a chain each
+    pair is found once. Pairs lie in buckets of c0, where they are written once and joined in place; what a round shuffles is the
+    pairs that it joins on the left, and those that it finds. Only where pairs outgrow their buckets are they dealt again, into more.
     """
-    full, some = counted(edges.distinct(), "closure")
-    watch(0, {name: some})
-    new, parts = full, [full]
+    spark = edges.sparkSession
+    edges, some = counted(edges, "closure-edges")
+    n, nulls = bucket_count(spark, 4 * some), has_nulls(edges)
+    new = dealt(edges.repartition(n, "c0").distinct().withColumn("__far", F.lit(0)), "c0", n, "closure", placed=True)
+    total = new.count()
+    watch(0, {name: total})
+    parts, full = [new], new
     for k in range(max_rounds):
-        a, b = new.toDF("x", "y"), full.toDF("u", "v")
-        steps = a.join(b, a.y.eqNullSafe(b.u)).select(F.col("x").alias("c0"), F.col("v").alias("c1"))
-        new, some = counted(anti(steps.distinct(), full), "closure-new")
+        far = new.where(F.col("__far") == k)
+        if far.isEmpty():
+            watch(k + 1, {name: 0})
+            break
+        a, b = far.select(F.col("c0").alias("x"), F.col("c1").alias("y")).repartition(n, "y"), full.toDF("u", "v", "far")
+        steps = a.join(b, same(a.y, b.u, nulls)).select(F.col("x").alias("c0"), F.col("v").alias("c1"), F.when(F.col("far") == k, k + 1).otherwise(-1).alias("__far"))
+        steps = steps.repartition(n, "c0").groupBy("c0", "c1").agg(F.max("__far").alias("__far"))
+        new = dealt(anti(steps, full.drop("__far"), nulls), "c0", n, "closure-new", placed=True)
+        some = new.count()
         watch(k + 1, {name: some})
         if not some:
-            return full
+            break
         parts.append(new)
-        full = joined_parts(parts)
-    raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
+        full, total = joined_parts(parts), total + some
+        if (more := bucket_count(spark, total)) > 4 * n:
+            n, full = more, dealt(full, "c0", more, "closure")
+            parts = [full]
+    else:
+        raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
+    out = without(full, "__far")
+    out._nulls = nulls
+    return out
 
 
 def evaluate_component(component: Component, ctx: Context, max_rounds: int = MAX_ROUNDS, watch: Watch = _unwatched) -> None:
@@ -301,7 +338,7 @@ def evaluate_component(component: Component, ctx: Context, max_rounds: int = MAX
     reads = {x.atom.pred for r in component.rules for x in r.body if not isinstance(x, Compare)} - inside
     kinds = column_types(component, seeds, ctx)
     for p in sorted(reads):  # every round reads them; they are worked out once
-        if p in ctx.tables:
+        if p in ctx.tables and not is_scratch(ctx.tables[p]):
             ctx.tables[p] = scratch(ctx.tables[p], f"input-{p}")
     if (found := closure_edges(component)) is not None:
         base, _ = found
