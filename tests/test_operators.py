@@ -233,3 +233,27 @@ def test_scratch_leaves_no_shuffle_files_and_no_setting(spark):
     assert out.count() == 10 and spark.conf.get(session.CLEANUP) == was
     session.drop_scratch(spark, out)
     assert out._scratch not in session._made
+
+
+def test_taint_and_hops_work_their_edges_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(rows):
+        for batch in rows:
+            seen.add(batch.num_rows)
+            yield batch
+
+    e = spark.createDataFrame([("t1", 1, 2), ("t2", 2, 3), ("t3", 3, 4), ("t4", 2, 4)], "id string, src long, dst long")
+    found = graph.taint(e.mapInArrow(told, e.schema), 1, max_hops=3)
+    assert rows(graph.sensitivity(found, "t2", {})) == [(1, 0.0), (2, 0.0), (3, 1.0), (4, 1.0)]
+    assert seen.value == 4
+    assert rows(graph.k_hops(e.mapInArrow(told, e.schema), 1, 3)) == [(1,), (2,), (3,), (4,)]
+    assert seen.value == 8
+
+
+def test_trade_reads_its_tables_once(spark):
+    """What the two cheapest sellers of each nation are is written once, whoever reads it and how often."""
+    from weftline.queries import trade
+
+    t = trade(spark, "/root/testdata/sf0.001")
+    assert all("scratch" in f or "weftline" in f for f in t.inputFiles()) and "lineitem" not in str(t._jdf.queryExecution().optimizedPlan())

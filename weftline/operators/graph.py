@@ -70,10 +70,11 @@ def shortest_paths(edges: DataFrame, source, *, max_rounds: int = 10_000) -> Dat
 def k_hops(edges: DataFrame, source, k: int) -> DataFrame:
     """id: vertices at most k edges from the source, itself included."""
     kind = dict(edges.dtypes)["src"]
+    edges = scratch(edges.select("src", "dst"), "edges") if k > 1 else edges.select("src", "dst")  # every hop reads them
     seen = near = scratch(edges.sparkSession.range(1).select(F.lit(source).cast(kind).alias("id")), "seen")
     parts = [seen]
     for _ in range(k):
-        step = near.join(edges.select("src", "dst"), near.id == F.col("src")).select(F.col("dst").alias("id")).distinct()
+        step = near.join(edges, near.id == F.col("src")).select(F.col("dst").alias("id")).distinct()
         near, some = counted(step.join(seen.select(F.col("id").alias("s")), F.col("id") == F.col("s"), "left_anti"), "hop")
         if not some:
             break
@@ -216,6 +217,8 @@ def taint(transfers: DataFrame, source, *, max_hops: int = 5) -> DataFrame:
     kind = dict(transfers.dtypes)["src"]
     start = transfers.sparkSession.range(1).select(F.lit(source).cast(kind).alias("account"), semiring.monomial(F.lit("source_" + str(source))).alias("mono"), F.lit(1).cast("bigint").alias("coeff"))
     step = transfers.select(F.col("id").alias("tx"), "src", "dst")
+    if max_hops > 1:  # every hop reads them; they are worked out once
+        step = scratch(step, "transfers")
     total, near = start, start
     for _ in range(max_hops):
         moved = near.join(step, near.account == step.src).select(F.col("dst").alias("account"), semiring.monomial_times(F.col("mono"), semiring.monomial(F.col("tx"))).alias("mono"), "coeff")

@@ -146,7 +146,7 @@ def incremental_retraction(spark: SparkSession, sf: str) -> DataFrame:
 @_query(f"WITH RECURSIVE {_TRADE}, tc(a, b) AS (SELECT a, b FROM e WHERE a <> 5 UNION SELECT tc.a, e.b FROM tc JOIN e ON tc.b = e.a AND e.a <> 5), was(a, b) AS (SELECT a, b FROM e WHERE a <> 3 UNION SELECT was.a, e.b FROM was JOIN e ON was.b = e.a AND e.a <> 3) SELECT a, b, 1::BIGINT AS w FROM (SELECT * FROM tc EXCEPT SELECT * FROM was) UNION ALL SELECT a, b, -1 FROM (SELECT * FROM was EXCEPT SELECT * FROM tc)")
 def incremental_outputs(spark: SparkSession, sf: str) -> DataFrame:
     """The change log of two epochs, summed."""
-    e = scratch(trade(spark, sf).select("a", "b"), "trade")
+    e = trade(spark, sf).select("a", "b")
     m = Maintained(spark, "path(X, Y) :- edge(X, Y). path(X, Z) :- edge(X, Y), path(Y, Z).", {"edge": e.where("a <> 3")})
     m.apply("edge", e.where("a = 3"))
     m.apply("edge", e.where("a = 5").withColumn("w", F.lit(-1)), "w")
