@@ -272,7 +272,7 @@ def _unwatched(round_: int, new: dict[str, int | None]) -> None:
 
 
 #: Pairs of a closure that a bucket is meant to hold, as a power of two.
-BUCKET_BITS = 17
+BUCKET_BITS = 19
 
 
 def bucket_count(spark: SparkSession, pairs: int) -> int:
